@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, secret_scan
+from . import bpe, pii, quality, secret_scan
 
-MODULES = (bpe, pii, secret_scan)
+MODULES = (bpe, pii, quality, secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
