@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, secret_scan
+from . import bpe, license_scan, packing, pii, quality, secret_scan, url_filter
 
-MODULES = (bpe, pii, quality, secret_scan)
+MODULES = (bpe, license_scan, packing, pii, quality, secret_scan, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
