@@ -142,8 +142,14 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text_col: str =
     """The rows of `docs` that no rule and neither base condition rejects, with the columns of `docs`."""
     columns = docs.columns
     rules = cascade(docs, default_rules() if rules is None else rules, text_col)
-    df = with_words(docs, text_col).where(~rejected(rules))
-    return with_repeats(df, "_n_repeat_words").where(100 * F.col("_n_repeat_words") <= 20 * n_words()).select(columns)
+    df = only_where(with_words(docs, text_col), ~rejected(rules))
+    return only_where(with_repeats(df, "_n_repeat_words"), 100 * F.col("_n_repeat_words") <= 20 * n_words()).select(columns)
+
+
+def only_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Like where(), but the condition stays where it is: pushed down, it would take in the array expressions that its
+    columns stand for and evaluate them again and again. A filter on a generated column isn't pushed down."""
+    return df.select("*", F.explode(F.array(condition)).alias("_ok")).where("_ok").drop("_ok")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
