@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage calls one operator; its rows are written as Parquet and read again for the next."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, packing.
+
+Each stage calls one operator on all rows that its predecessor kept. Its rows are written as Parquet and read again for
+the next stage, so a lost executor repeats one stage at most. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm.common import table, written
+from strandloom.llm.jaccard import one_of_each
+from strandloom.llm.packing import best_fit
+from strandloom.llm.pii import mask_personal
+from strandloom.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return mask_personal(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in training sequences."""
+    return best_fit(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: The stages' Python operators can't be expressed in SQL; the pipeline is tested against a brute-force version.
+#: Components of near duplicates and packing can't be expressed in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
