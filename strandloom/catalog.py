@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from strandloom.plans import quality_queries, retrieval_queries, text_queries
+
+MODULES = (retrieval_queries, text_queries, quality_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: f for module in MODULES for name, f in module.REGISTRY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for module in MODULES for name, sql in module.REGISTRY.oracles.items()}
