@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.text import sentences
 
-BLOCK = "<(h1|p|b|li)>([^<]+)"
+BLOCK = "<(h1|p|b|li)>(?:<a [^>]*>)?([^<]+)"
 #: Heading level of a tag, 0 for body text.
 LEVELS = (("h1", 1), ("b", 2))
 CHUNK_SIZE = 800

@@ -98,8 +98,8 @@ def extract_fields(spark, sf):
 
 
 BLOCKS = """
-raw AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(h1|p|b|li)>([^<]+)'), lambda x, i: {'idx': i - 1, 'x': x})) AS b FROM pages),
-bl AS (SELECT page_id, CAST(b.idx AS INTEGER) AS idx, regexp_extract(b.x, '<(h1|p|b|li)>', 1) AS tag, trim(regexp_replace(b.x, '^<(h1|p|b|li)>', ''), ' ') AS content FROM raw),
+raw AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(h1|p|b|li)>(?:<a [^>]*>)?([^<]+)'), lambda x, i: {'idx': i - 1, 'x': x})) AS b FROM pages),
+bl AS (SELECT page_id, CAST(b.idx AS INTEGER) AS idx, regexp_extract(b.x, '<(h1|p|b|li)>', 1) AS tag, trim(regexp_replace(b.x, '^<(h1|p|b|li)>(?:<a [^>]*>)?', ''), ' ') AS content FROM raw),
 blk AS (SELECT *, CASE tag WHEN 'h1' THEN 1 WHEN 'b' THEN 2 ELSE 0 END AS level FROM bl WHERE content <> '')
 """
 
