@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import rules
-from strandloom.functions.text import ABBREVIATIONS, sentences
-from strandloom.operators import structure
+from strandloom.functions.text import ABBREVIATIONS
+from strandloom.operators import chunking, structure
 from strandloom.plans.registry import Registry, table
 
 REGISTRY = query = Registry()
@@ -164,4 +164,14 @@ def context_anti_join(spark, sf):
     return rows.join(structure.context_of(rows.where("tag = 'li'"), rows), ["page_id", "idx"], "left_anti").select("page_id", "idx", "content")
 
 
-__all__ = ["sentences"]
+
+
+@query()
+def recursive_chunks(spark, sf):
+    """Order-dependent splitting; its invariants are held in the tests."""
+    return chunking.recursive_chunks(table(spark, sf, "documents"))
+
+
+@query()
+def structured_chunks(spark, sf):
+    return chunking.structured_chunks(table(spark, sf, "pages"))
