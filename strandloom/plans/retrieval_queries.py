@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.text import search_tokens
 from strandloom.operators import filters, retrieval
+from strandloom.plans import answering
 from strandloom.plans.registry import Registry, table
 
 REGISTRY = query = Registry()
@@ -200,3 +201,24 @@ def semantic_breakpoints(spark, sf):
     cosine = F.round(F.when(norm == 0, F.lit(0.0)).otherwise(dot("embedding", "nxt") / norm), 6)
     rows = rows.select("vec_id", "label", cosine.alias("cosine"))
     return rows.withColumn("segment", F.coalesce(F.sum((F.col("cosine") < 0.5).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def questions(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+@query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, b.score, rank, source, text FROM bm b JOIN documents USING (doc_id) WHERE rank <= 10 AND b.score > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, substr(text, 1, 100) ORDER BY score DESC, rank) AS k FROM r),
+c AS (SELECT query_id, doc_id, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INTEGER) AS rank FROM o WHERE k = 1),
+f AS (SELECT *, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY query_id), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM c WHERE rank <= 5)),
+p AS (SELECT *, max(CASE WHEN confidence < 0.1 AND rank > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS low FROM f)
+SELECT query_id, rank, doc_id, source, confidence FROM p WHERE low = 0""")
+def answer_context(spark, sf):
+    """What an answer is given: reranked, deduplicated, cut where confidence falls."""
+    return answering.retrieved(table(spark, sf, "documents"), questions(spark, sf), 5, answering.Models()).select("query_id", "rank", "doc_id", "source", "confidence")
+
+
+@query()
+def answer_events(spark, sf):
+    """Event rows of streamed answers; their order and contents are held in the tests."""
+    return answering.events(answering.answers(table(spark, sf, "documents"), questions(spark, sf)))
