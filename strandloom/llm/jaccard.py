@@ -7,15 +7,17 @@ same. Larger sets are posted in inverted lists of single elements, and so are th
 be partners of a larger one. The boundary is the one of the least estimated cost: rows of enumerated subsets against
 rows and pairs of scanned lists, on a bounded sample of texts.
 
-Frequent elements. Lists of many sets (a passage that many documents share) would give all pairs of these. Sets with
-such an element among their first are posted anew with all frequent elements last in the order, which moves the passage
-out of most. The order is global, so no link is lost. Only the frequent elements' hashes are broadcast: at most
-`MOST_FREQUENT` of them, the threshold rising until that holds.
+Frequent elements. Lists of many sets (a passage that many documents share) would give all pairs of these. Elements
+that lead in many sets, counted over all documents, go last in the order, so that they leave most sets' first elements;
+so do elements that are in several of a bounded sample of documents, as what comes in the place of a passage's first
+elements is mostly the rest of it. The order is global, so no link is lost whatever is in it; it decides costs alone.
+Only the frequent elements' hashes are broadcast: at most `MOST_FREQUENT`, the threshold rising until that holds.
 
 Links within a list. Equal sets are one class. In each list and size band, all classes are compared with one pivot; the
 links found give components. Then, in lists that still span components, the members outside of the list's main component
 are compared with those of other components. Pairs in one component need no comparison, so a group of m near copies
-costs about m comparisons, and no link between different components is missed. All comparisons are exact on the sets.
+costs about m comparisons, and no link between different components is missed. A pair is first bounded by bitmaps of both
+sets (an element of one whose bit the other lacks can't be common), then compared exactly on the sets.
 
 Defined results: a text without words (null, empty, blank) has an empty set, no links, and is its own component; fewer
 words than the n-gram make one element, the whole sequence; equal sets are linked; every row gives a row, repeated rows
@@ -38,15 +40,19 @@ from .common import BATCH_ROWS, arrow_schema, table, written
 
 #: Sets in a list from which on its element counts as frequent; most frequent elements that are broadcast.
 FREQUENT, MOST_FREQUENT = 32, 500_000
+#: Texts, about, of which all elements are counted besides; and texts of which one has an element at least.
+COUNTED_TEXTS, COUNTED_LEAST = 12_000, 3
+#: Tasks over which a frequent element's list is spread.
+SALTS = 64
 #: Texts, and characters of each, on which the boundary's costs are estimated; the largest boundary that is tried.
 SAMPLE_TEXTS, SAMPLE_CHARS, MOST_SMALL = 2000, 50_000, 64
 #: Slots of the filter that spares texts without candidates a second look; fixed, 8 MB.
 SLOTS = 1 << 26
 #: Tokens whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_FREQUENT_SPACE, _PAIR_SPACE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_PAIR_SPACE = np.uint64(0x14057B7EF767814F)
 
 
 class Tokens(dict):
@@ -65,17 +71,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int, tokens: Tokens) -> np.ndarray:
-    """The set of hashed word n-grams of a text, in ascending order, which is the global order."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    a = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(a) - size + 1)
-    h = np.full(n, len(a) if len(a) < size else 0, np.uint64)
-    for k in range(min(size, len(a))):
-        h = mixed(h * _MUL + a[k : k + n])
-    return np.unique(h)
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def shingle_sets(texts: list[str | None], size: int, tokens: Tokens):
+    """The sets of hashed word n-grams of texts, each in ascending order, which is the global order."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    n = [len(w) for w in words]
+    a = np.fromiter((tokens[x] for w in words for x in w), np.uint64, sum(n))
+    h = np.zeros(max(0, len(a) - size + 1), np.uint64)
+    for k in range(size):
+        h = mixed(h * _MUL + a[k : k + len(h)])
+    start = 0
+    for m in n:
+        if m >= size:
+            yield distinct(h[start : start + m - size + 1])
+        elif m:
+            one = np.full(1, m, np.uint64)
+            for x in a[start : start + m]:
+                one = mixed(one * _MUL + x)
+            yield one
+        else:
+            yield a[:0]
+        start += m
 
 
 def needed(n: int, percent: int) -> int:
@@ -101,10 +121,39 @@ def signatures(ordered: np.ndarray, percent: int, small: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set in the global order: frequent elements last."""
+    last = member(frequent, s)
+    return np.concatenate([s[~last], s[last]]) if last.any() else s
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set's elements, about four for each, 64 to 8192."""
+    size = 1 << min(13, max(6, (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(a: int, b: int, x: bytes, y: bytes) -> int:
+    """The most elements that sets of sizes a and b with bitmaps x and y can share."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(v.reshape(-1, size), 0) for v in (p, q))
+    return min(a - int(np.bitwise_count(p & ~q).sum()), b - int(np.bitwise_count(q & ~p).sum()))
+
+
 def boundary(texts: list[str], rows: int, size: int, percent: int) -> int:
     """The size up to which enumerating subsets costs less than scanning lists, on a sample of `rows` texts."""
     tokens = Tokens()
-    sets = [s for s in {x.tobytes(): x for x in (shingles(t, size, tokens) for t in texts)}.values() if len(s) > 1]
+    sets = [s for s in {x.tobytes(): x for x in shingle_sets(texts, size, tokens)}.values() if len(s) > 1]
     if not sets or percent <= 50:  # below that, partners may share less than a pair
         return 0
     lead = [leading(s, percent, 1) for s in sets]
@@ -137,7 +186,7 @@ def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int) -> Dat
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
                 cols = [c.to_pylist() for c in part.columns]
-                out = list(each(cols[:-1], (shingles(t, size, tokens) for t in cols[-1]), seen))
+                out = list(each(cols[:-1], shingle_sets(cols[-1], size, tokens), seen))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*out), target)], schema=target)
 
@@ -145,59 +194,37 @@ def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int) -> Dat
 
 
 def repeated(posted: DataFrame) -> DataFrame:
-    """Of (sig, key, n), the rows of lists of two classes or more, and for long lists a row (sig, null, null, df).
+    """Of (sig, key, n), the rows of lists of two classes or more; n is negative in lists of frequent elements.
 
-    The rows are dealt by list and sorted; runs are read as a stream, so a list of any length takes no memory."""
-
-    schema = StructType.fromDDL("sig bigint, key bigint, n int, df bigint")
+    The rows are dealt by list and sorted; runs are read as a stream, so a list of any length takes no memory. Lists of
+    frequent elements are spread over several tasks, and all of their rows stay."""
+    schema = StructType.fromDDL("sig bigint, key bigint, n int")
     target = arrow_schema(schema)
 
     def run(batches):
-        last_sig = last_key = None
-        count, held = 0, None  # classes so far in the open run; its first row while it is the only one
-
-        def out(sig, key, n, marks):
-            cols = [np.concatenate([sig, np.array([m[0] for m in marks], np.int64)]), key, n, [m[1] for m in marks]]
-            k, m = len(sig), len(marks)
-            return pa.RecordBatch.from_arrays([
-                pa.array(cols[0]), pa.array(np.concatenate([key, np.zeros(m, np.int64)]), mask=np.arange(k + m) >= k),
-                pa.array(np.concatenate([n, np.zeros(m, np.int32)]).astype(np.int32), mask=np.arange(k + m) >= k),
-                pa.array(np.concatenate([np.zeros(k, np.int64), np.array(cols[3], np.int64)]), mask=np.arange(k + m) < k)], schema=target)
-
+        last = held = None  # the last row; that row again while it is the only one of its list
         for batch in batches:
             sig, key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             if not len(sig):
                 continue
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            new[0] = (sig[0], key[0]) != (last_sig, last_key)
+            new[0] = last is None or (sig[0], key[0]) != last
             sig, key, n = sig[new], key[new], n[new]
             if not len(sig):
                 continue
-            marks = []
-            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            lengths = np.diff(np.r_[starts, len(sig)])
-            goes_on = sig[0] == last_sig
-            if last_sig is not None and not goes_on and count >= FREQUENT:
-                marks.append((last_sig, count))
-            keep = np.repeat(lengths, lengths) > 1
-            if goes_on:
-                keep[: lengths[0]] = True
-            total = lengths.copy()
-            total[0] += count if goes_on else 0
-            marks += [(int(sig[s]), int(t)) for s, t in zip(starts[:-1], total[:-1]) if t >= FREQUENT]
-            rows = [sig[keep], key[keep], n[keep]]
-            if goes_on and held is not None:
+            same = sig[1:] == sig[:-1]
+            keep = np.r_[last is not None and sig[0] == last[0], same] | np.r_[same, False] | (n < 0)
+            rows = [sig[keep], key[keep], np.abs(n[keep])]
+            if held is not None and sig[0] == held[0]:
                 rows = [np.r_[np.array([h], r.dtype), r] for h, r in zip(held, rows)]
-            last_sig, last_key, count = int(sig[-1]), int(key[-1]), int(total[-1])
+            last = (sig[-1], key[-1])
             held = None if keep[-1] else (sig[-1], key[-1], n[-1])
-            if len(rows[0]) or marks:
-                yield out(*rows, marks)
-        if count >= FREQUENT:
-            yield out(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), [(last_sig, count)])
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, target)], schema=target)
 
-    dealt = posted.repartition("sig").sortWithinPartitions("sig", "key")
-    return dealt.mapInArrow(run, schema)
+    salt = F.when(F.col("n") < 0, F.pmod("key", F.lit(SALTS))).otherwise(0)
+    return posted.repartition("sig", salt).sortWithinPartitions("sig", "key").mapInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,65 +250,61 @@ class Linker:
         text = F.col(text_col)
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         some = self.docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_TEXTS)
-        self.small = boundary([r[0] for r in some], self.docs.count(), size, percent) if some else 0
+        self.n_docs = self.docs.count()
+        self.small = boundary([r[0] for r in some], self.n_docs, size, percent) if some else 0
+        # Batches of few rows, as a row may hold a long text or two sets.
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    def rows(self) -> DataFrame:
-        """doc_id, text_key, key (64 bits of the set), set_key (128 bits), n, and the signatures, once for each class
-        and task."""
+    def frequent(self) -> np.ndarray:
+        """Hashes of frequent elements (and leading pairs), sorted; at most MOST_FREQUENT."""
         percent, small = self.percent, self.small
 
-        def each(cols, sets, seen):
-            for doc_id, text_key, s in zip(*cols, sets):
-                set_key = xxhash.xxh3_128_digest(s.tobytes())
-                key = int.from_bytes(set_key[:8], "big", signed=True)
-                fresh = set_key not in seen
-                seen.add(set_key)
-                yield doc_id, text_key, key, set_key, len(s), signed(signatures(s, percent, small)) if fresh else None
+        def leads(cols, sets, seen):
+            for s in sets:
+                if (mark := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                    seen.add(mark)
+                    yield (signed(signatures(s, percent, small)),)
 
-        return map_sets(self.docs, each, "doc_id bigint, text_key bigint, key bigint, set_key binary, n int, sigs array<bigint>", self.size, percent)
+        def whole(cols, sets, seen):
+            for s in sets:
+                if (mark := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                    seen.add(mark)
+                    yield (signed(s),)
+
+        some = self.docs.where(F.pmod("text_key", F.lit(max(1, self.n_docs // COUNTED_TEXTS))) == 0)
+        counted = [(self.docs, leads, FREQUENT), (some, whole, COUNTED_LEAST)]
+        hot = np.zeros(0, np.uint64)
+        for docs, each, least in counted:
+            sigs = map_sets(docs.select("text"), each, "sigs array<bigint>", self.size, percent).select(F.explode("sigs").alias("sig"))
+            counts = written(sigs.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= least))
+            steps = {r["power"]: r["count"] for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().collect()}
+            while sum(n for power, n in steps.items() if 2 ** (power + 1) > least) > MOST_FREQUENT - len(hot):
+                least *= 2
+            more = [r[0] for r in counts.where(F.col("c") >= least).select("sig").toLocalIterator()]
+            hot = np.union1d(hot, np.array(more, np.int64).view(np.uint64))
+        return hot
 
-    def posted_anew(self, frequent: np.ndarray) -> DataFrame:
-        """For sets with a frequent leading signature: signatures with frequent elements last, and which are frequent."""
+    def rows(self) -> DataFrame:
+        """doc_id, text_key, key (64 bits of the set), set_key (128 bits), n, and once for each class and task its
+        bitmap and signatures, negative n marking those of frequent elements."""
         percent, small = self.percent, self.small
-        shared = self.spark.sparkContext.broadcast(frequent)
-
-        def is_frequent(x):
-            hot = shared.value
-            at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-            return hot[at] == x
+        shared = self.spark.sparkContext.broadcast(self.frequent())
 
         def each(cols, sets, seen):
-            for s in sets:
-                if not is_frequent(signatures(s, percent, small)).any():
-                    continue
+            for doc_id, text_key, s in zip(*cols, sets):
                 set_key = xxhash.xxh3_128_digest(s.tobytes())
-                if set_key in seen:
-                    continue
+                key = int.from_bytes(set_key[:8], "big", signed=True)
+                fresh = set_key not in seen
                 seen.add(set_key)
-                hot = is_frequent(s)
-                ordered = np.concatenate([s[~hot], s[hot]])
-                sigs = signatures(ordered, percent, small)
-                yield int.from_bytes(set_key[:8], "big", signed=True), len(s), signed(sigs ^ _FREQUENT_SPACE), is_frequent(sigs).tolist()
+                sigs = signatures(ordered(s, shared.value), percent, small) if fresh else None
+                yield doc_id, text_key, key, set_key, len(s), bitmap(s) if fresh else None, signed(sigs) if fresh else None, member(shared.value, sigs) if fresh else None
 
-        return map_sets(self.docs.select("text"), each, "key bigint, n int, sigs array<bigint>, hot array<boolean>", self.size, percent)
+        return map_sets(self.docs, each, "doc_id bigint, text_key bigint, key bigint, set_key binary, n int, bits binary, sigs array<bigint>, hot array<boolean>", self.size, percent)
 
     def lists(self, rows: DataFrame) -> DataFrame:
         """(sig, key, n): every list of two classes or more that can hold partners."""
-        first = written(repeated(rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "key", "n")))
-        marks = first.where("df IS NOT NULL").select("sig", "df")
-        light = first.where("key IS NOT NULL").select("sig", "key", "n")
-        least = FREQUENT
-        steps = marks.groupBy(F.floor(F.log2("df")).cast("int").alias("power")).count().collect()
-        while sum(r["count"] for r in steps if 2 ** r["power"] >= least) > MOST_FREQUENT:
-            least *= 2
-        hot = marks.where(F.col("df") >= least).select("sig")
-        frequent = np.sort(np.array([r[0] for r in hot.toLocalIterator()], np.int64).view(np.uint64))
-        if not len(frequent):
-            return light
-        anew = written(self.posted_anew(frequent).select("key", "n", F.explode(F.arrays_zip("sigs", "hot")).alias("s")).select(F.col("s.sigs").alias("sig"), "key", "n", F.col("s.hot").alias("hot")))
-        # Frequent elements have long lists already; only the others need a look for lists of one.
-        others = repeated(anew.where("NOT hot").select("sig", "key", "n")).where("key IS NOT NULL").select("sig", "key", "n")
-        return light.join(hot, "sig", "left_anti").unionByName(others).unionByName(anew.where("hot").select("sig", "key", "n"))
+        posted = rows.where(F.size("sigs") > 0).select("key", "n", F.explode(F.arrays_zip("sigs", "hot")).alias("s"))
+        return repeated(posted.select(F.col("s.sigs").alias("sig"), "key", F.when(F.col("s.hot"), -F.col("n")).otherwise(F.col("n")).alias("n")))
 
     def sets_of(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, set_key, elements) of the classes with these keys, from one text of each."""
@@ -314,25 +337,34 @@ class Linker:
         found = map_sets(texts.select("text"), each, "key bigint, set_key binary, elements binary", self.size, self.percent)
         return written(found.join(keys.distinct(), "key", "left_semi").dropDuplicates(["set_key"]))
 
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs of keys (x, y), the linked pairs of sets (a, b), by exact comparison."""
+    def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Of pairs of keys (x, y), the linked pairs of sets (a, b): bounded by bitmaps, then compared exactly."""
         percent = self.percent
-        left = sets.select(F.col("key").alias("x"), F.col("set_key").alias("a"), F.col("elements").alias("ea"))
-        right = sets.select(F.col("key").alias("y"), F.col("set_key").alias("b"), F.col("elements").alias("eb"))
-        both = pairs.join(left, "x").join(right, "y").select("a", "b", "ea", "eb")
+        bits = rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key", "bits"])
+        both = pairs.join(bits.toDF("x", "n", "p"), "x").join(bits.toDF("y", "m", "q"), "y").select("x", "y", "n", "m", "p", "q")
+
+        def possible(batches):
+            for batch in batches:
+                n, m, p, q = (batch.column(c).to_pylist() for c in range(2, 6))
+                common = [most_common(*v) for v in zip(n, m, p, q)]
+                ok = [100 * c >= percent * (a + b - c) for c, a, b in zip(common, n, m)]
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[:2], names=["x", "y"])
+
+        left = written(both.mapInArrow(possible, "x bigint, y bigint"))
+        sets = self.sets_of(rows, left.select(F.col("x").alias("key")).unionByName(left.select(F.col("y").alias("key"))))
+        a = sets.select(F.col("key").alias("x"), F.col("set_key").alias("a"), F.col("elements").alias("ea"))
+        b = sets.select(F.col("key").alias("y"), F.col("set_key").alias("b"), F.col("elements").alias("eb"))
 
-        def run(batches):
+        def exact(batches):
             for batch in batches:
-                ea, eb = batch.column(2), batch.column(3)
                 ok = []
-                for x, y in zip(ea, eb):
+                for x, y in zip(batch.column(2), batch.column(3)):
                     p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                    at = np.searchsorted(p, q)
-                    common = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+                    common = int(member(p, q).sum())
                     ok.append(100 * common >= percent * (len(p) + len(q) - common))
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[:2], names=["a", "b"])
 
-        return both.mapInArrow(run, "a binary, b binary")
+        return left.join(a, "x").join(b, "y").select("a", "b", "ea", "eb").mapInArrow(exact, "a binary, b binary")
 
     def fits(self, m: str, n: str):
         """Whether sizes allow a link."""
@@ -361,14 +393,13 @@ class Linker:
         """Links (a, b) between different sets that connect what is connected."""
         lists = written(self.lists(rows))
         pairs = written(self.pivot_pairs(lists))
-        ends = lambda p: p.select(F.col("x").alias("key")).unionByName(p.select(F.col("y").alias("key")))
-        first = written(self.linked(pairs, self.sets_of(rows, ends(pairs))))
+        first = written(self.linked(pairs, rows))
         by_set = components(first)
         keys = by_set.select(self.key_of("node").alias("key"), self.key_of("label").alias("label")).groupBy("key").agg(F.min("label").alias("label"))
         more = written(self.rest_pairs(lists, keys).join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             return first
-        return first.unionByName(written(self.linked(more, self.sets_of(rows, ends(more)))))
+        return first.unionByName(written(self.linked(more, rows)))
 
     @staticmethod
     def key_of(set_key: str):
