@@ -14,8 +14,9 @@ elements is mostly the rest of it. The order is global, so no link is lost whate
 Only the frequent elements' hashes are broadcast: at most `MOST_FREQUENT`, the threshold rising until that holds.
 
 Links within a list. Equal sets are one class. In each list and size band, all classes are compared with one pivot; the
-links found give components. Then, in lists that still span components, the members outside of the list's main component
-are compared with those of other components. Pairs in one component need no comparison, so a group of m near copies
+links found give components. The pivot is the member that shares most lists with others: an original rather than an
+edited copy. Then, in lists that still span components, the members outside of the list's main component are compared
+with those of other components. Pairs in one component need no comparison, so a group of m near copies
 costs about m comparisons, and no link between different components is missed. A pair is first bounded by bitmaps of both
 sets (an element of one whose bit the other lacks can't be common), then compared exactly on the sets.
 
@@ -32,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -134,17 +135,17 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]]) if last.any() else s
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray) -> np.ndarray:
     """Bits of a set's elements, about four for each, 64 to 8192."""
     size = 1 << min(13, max(6, (4 * len(s) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def most_common(a: int, b: int, x: bytes, y: bytes) -> int:
+def most_common(a: int, b: int, x: list[int], y: list[int]) -> int:
     """The most elements that sets of sizes a and b with bitmaps x and y can share."""
-    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    p, q = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
     size = min(len(p), len(q))
     p, q = (np.bitwise_or.reduce(v.reshape(-1, size), 0) for v in (p, q))
     return min(a - int(np.bitwise_count(p & ~q).sum()), b - int(np.bitwise_count(q & ~p).sum()))
@@ -299,7 +300,7 @@ class Linker:
                 sigs = signatures(ordered(s, shared.value), percent, small) if fresh else None
                 yield doc_id, text_key, key, set_key, len(s), bitmap(s) if fresh else None, signed(sigs) if fresh else None, member(shared.value, sigs) if fresh else None
 
-        return map_sets(self.docs, each, "doc_id bigint, text_key bigint, key bigint, set_key binary, n int, bits binary, sigs array<bigint>, hot array<boolean>", self.size, percent)
+        return map_sets(self.docs, each, "doc_id bigint, text_key bigint, key bigint, set_key binary, n int, bits array<bigint>, sigs array<bigint>, hot array<boolean>", self.size, percent)
 
     def lists(self, rows: DataFrame) -> DataFrame:
         """(sig, key, n): every list of two classes or more that can hold partners."""
@@ -340,7 +341,7 @@ class Linker:
     def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """Of pairs of keys (x, y), the linked pairs of sets (a, b): bounded by bitmaps, then compared exactly."""
         percent = self.percent
-        bits = rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key", "bits"])
+        bits = rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"])
         both = pairs.join(bits.toDF("x", "n", "p"), "x").join(bits.toDF("y", "m", "q"), "y").select("x", "y", "n", "m", "p", "q")
 
         def possible(batches):
@@ -370,36 +371,52 @@ class Linker:
         """Whether sizes allow a link."""
         return (F.col(m) * 100 >= F.col(n) * self.percent) & (F.col(n) * 100 >= F.col(m) * self.percent)
 
+    def scored(self, lists: DataFrame) -> DataFrame:
+        """The lists with an order in which members come that share most with others: the sum of the sizes of all their
+        lists. An original precedes its edited copies, which are more like it than like each other."""
+        sizes = lists.groupBy("sig").agg(F.count("*").alias("m"))
+        score = lists.join(sizes, "sig").groupBy("key").agg((-F.sum("m")).alias("score"))
+        return lists.join(score, "key").select("sig", "key", "n", F.struct("score", F.xxhash64("key").alias("h")).alias("o"))
+
     def pivot_pairs(self, lists: DataFrame) -> DataFrame:
         """Each list member with the pivot of its list and size band; the pivot order is the same in all lists."""
         band = F.floor(F.log("n") / math.log(100 / self.percent)).cast("int") if self.percent < 100 else F.col("n")
         banded = lists.withColumn("band", band)
-        pivots = banded.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        pivots = banded.groupBy("sig", "band").agg(F.min(F.struct("o", "key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
         near = banded.join(pivots.select("sig", "band", F.col("p.key").alias("y"), F.col("p.n").alias("m")), ["sig", "band"])
         return near.where((F.col("key") != F.col("y")) & self.fits("n", "m")).select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct()
 
-    def rest_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs within lists that span components: members outside of a list's main component with all others."""
+    def spanning(self, lists: DataFrame, links: DataFrame) -> DataFrame:
+        """(sig, key, n, o, label, main): the lists that span components, with the component that has most of each."""
+        labels = components(links).select(self.key_of("node").alias("key"), self.key_of("label").alias("label")).groupBy("key").agg(F.min("label").alias("label"))
         named = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
         counts = named.groupBy("sig", "label").agg(F.count("*").alias("c"))
         mains = counts.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("m.label").alias("main"))
-        mixed_lists = written(named.join(mains, "sig"))
-        rest = mixed_lists.where("label <> main").select("sig", F.col("key").alias("x"), F.col("n").alias("m"), F.col("label").alias("lx"))
-        every = mixed_lists.select("sig", F.col("key").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-        met = rest.join(every, "sig").where((F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & self.fits("m", "n"))
+        return written(named.join(mains, "sig"))
+
+    def possible(self) -> Column:
+        """Whether bitmaps p and q of sizes m and n leave a link possible; those of different length are left for later."""
+        missing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+        common = F.least(F.col("m") - missing("p", "q"), F.col("n") - missing("q", "p"))
+        return F.when(F.size("p") == F.size("q"), common * 100 >= (F.col("m") + F.col("n") - common) * self.percent).otherwise(True)
+
+    def rest_pairs(self, spanning: DataFrame, rows: DataFrame) -> DataFrame:
+        """Members outside of a list's main component with members of other components, as far as bitmaps allow it."""
+        bits = rows.where("bits IS NOT NULL").select("key", "bits").dropDuplicates(["key"])
+        spanning = written(spanning.join(bits, "key"))
+        rest = spanning.where("label <> main").select(F.col("sig").alias("list"), F.col("key").alias("x"), F.col("n").alias("m"), F.col("label").alias("lx"), F.col("bits").alias("p"))
+        every = spanning.select("sig", F.col("key").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), F.col("bits").alias("q"))
+        same = F.col("lx") == F.col("ly")
+        met = rest.join(every, (F.col("list") == F.col("sig")) & ~same & (F.col("in_main") | (F.col("x") < F.col("y"))) & self.fits("m", "n") & self.possible())
         return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
     def links(self, rows: DataFrame) -> DataFrame:
         """Links (a, b) between different sets that connect what is connected."""
-        lists = written(self.lists(rows))
+        lists = written(self.scored(written(self.lists(rows))))
         pairs = written(self.pivot_pairs(lists))
-        first = written(self.linked(pairs, rows))
-        by_set = components(first)
-        keys = by_set.select(self.key_of("node").alias("key"), self.key_of("label").alias("label")).groupBy("key").agg(F.min("label").alias("label"))
-        more = written(self.rest_pairs(lists, keys).join(pairs, ["x", "y"], "left_anti"))
-        if more.isEmpty():
-            return first
-        return first.unionByName(written(self.linked(more, rows)))
+        found = written(self.linked(pairs, rows))
+        rest = written(self.rest_pairs(self.spanning(lists, found), rows).join(pairs, ["x", "y"], "left_anti"))
+        return found if rest.isEmpty() else found.unionByName(written(self.linked(rest, rows)))
 
     @staticmethod
     def key_of(set_key: str):
