@@ -6,8 +6,10 @@ them, as sorted arrays, to the segment of their hash; a segment adds them up. A
 level until one is absent gives the quantised count back. A pair's probability is smoothed with the word's (Dirichlet
 prior of weight `MU`), all from probed counts.
 
-The filter grows with the corpus. It is broadcast only while its measured size is at most `MOST_FILTER_BYTES`; beyond,
-the levels of a text's n-grams come from a join with the table of quantised counts, and the same code scores them.
+The filter grows with the corpus. It is broadcast only while its measured size is at most `MOST_FILTER_BYTES`; beyond, it
+stays in its segments: blocks of texts send their distinct n-grams to the segments, where they are counted and then probed
+in the segment's bits by the same code, and the levels go back to the block. So scores are the same at every size. A bound
+of 0 asks for no filter: levels then come from a join with the exact table of quantised counts, which no size leads to.
 Exact counts for the base score: at most `MOST_HEAVY` frequent words are broadcast (the threshold rises until that
 holds), and the rarer words of each text are joined, in which no key is frequent.
 
@@ -40,6 +42,8 @@ MOST_FILTER_BYTES, MOST_HEAVY = 128 << 20, 500_000
 MU = 3000.0
 #: Tokens of a chunk that a task counts at once, and n-grams of a segment, about.
 CHUNK, SEGMENT = 3_000_000, 3_000_000
+#: Text bytes of a block, about; n-grams for each byte of the bound from which on blocks are made without measuring first.
+BLOCK_BYTES, CLEARLY = 8 << 20, 8
 #: Rows on which the number of segments is estimated.
 SAMPLE_ROWS = 500
 
@@ -132,7 +136,7 @@ class Filter:
 
 
 class Table:
-    """Levels of n-grams that a join has brought: sorted hashes and their levels."""
+    """Levels of n-grams that were brought to their texts: sorted hashes and their levels."""
 
     def __init__(self, grams: np.ndarray, level: np.ndarray):
         order = np.argsort(grams)
@@ -207,6 +211,86 @@ def counted(docs: DataFrame, power: int, with_table: bool) -> DataFrame:
     return rows.groupBy("segment").applyInPandas(add_up, "segment bigint, bits binary, words binary, word_counts binary, tokens bigint, distinct bigint, grams binary, levels binary")
 
 
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(block, rows): the rows of `docs` packed in blocks; a block has the row number of its first row."""
+    struct = StructType.fromDDL("block bigint, rows binary")
+    target = arrow_schema(struct)
+
+    def pack(batches):
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([held[0].column(2).slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=target)
+
+        held, size = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS // 10):
+                held.append(batch.slice(start, BATCH_ROWS // 10))
+                size += held[-1].nbytes
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "held_out", "row", "text").mapInArrow(pack, struct)
+
+
+def rows_of(block: bytes):
+    """The rows of a block in batches."""
+    for batch in pa.ipc.open_stream(block).read_all().combine_chunks().to_batches():
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
+def counted_blocks(blocks: DataFrame, power: int) -> DataFrame:
+    """What `counted` gives of each segment (with block null), and the levels of every block's n-grams in the segment's
+    filter, in the order of the hashes."""
+    sent = StructType.fromDDL("block bigint, segment bigint, grams binary, counts binary")
+    target = arrow_schema(sent)
+
+    def send(batches):
+        np.seterr(over="ignore")
+        memo = Tokens()
+        for batch in batches:
+            for block, rows in zip(batch.column(0), batch.column(1)):
+                train, rest = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                for part in rows_of(rows.as_py()):
+                    tokens, n = tokens_of(part.column(3).to_pylist(), memo)
+                    pairs, away = pairs_of(tokens, n)[1], np.repeat(np.array(part.column(1).to_pylist(), bool), n)
+                    train += [tokens[~away], pairs[~away]]
+                    rest += [tokens[away], pairs[away]]
+                known, c = np.unique(np.concatenate(train), return_counts=True)
+                grams = np.union1d(known, np.concatenate(rest))
+                counts = np.zeros(len(grams), np.uint32)
+                counts[np.searchsorted(grams, known)] = c
+                cuts = np.searchsorted(segment_of(grams, power), np.arange((1 << power) + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                for part in np.array_split(full, max(1, len(full) // 64)):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([block.as_py()] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([grams[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary()),
+                        pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary())], schema=target)
+
+    def add_up(part: pd.DataFrame) -> pd.DataFrame:
+        np.seterr(over="ignore")
+        every = np.frombuffer(b"".join(part["grams"]), np.uint64)
+        grams, at = np.unique(every, return_inverse=True)
+        counts = np.bincount(at, np.frombuffer(b"".join(part["counts"]), np.uint32), len(grams)).astype(np.int64)
+        known = counts > 0
+        bits = filter_of(grams[known], levels(counts[known]))
+        found = Filter({0: bits.tobytes()}, 0).levels(grams).astype(np.uint8)[at]
+        word = known & ((grams & _ONE) == 0)
+        cuts = np.cumsum([0, *(len(g) // 8 for g in part["grams"])])
+        head = {"block": [None], "segment": [part["segment"].iloc[0]], "levels": [b""], "words": [grams[word].tobytes()], "word_counts": [counts[word].tobytes()], "tokens": [int(counts[word].sum())], "distinct": [int(word.sum())]}
+        back = {"block": part["block"], "segment": part["segment"], "levels": [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+        out = {k: [*v, *back.get(k, [None] * len(part))] for k, v in head.items()}
+        return pd.DataFrame({k: pd.array(v, "Int64") if k in ("block", "segment", "tokens", "distinct") else v for k, v in out.items()})
+
+    return blocks.mapInArrow(send, sent).groupBy("segment").applyInPandas(add_up, "block bigint, segment bigint, levels binary, words binary, word_counts binary, tokens bigint, distinct bigint")
+
+
 def unpacked(rows: DataFrame, hashes: str, values: str, kind, name: str, keep=None) -> DataFrame:
     """Packed arrays of hashes and values as rows (h, name); keep picks by value."""
     schema = StructType.fromDDL(f"h bigint, {name} bigint")
@@ -234,9 +318,18 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     grams = 2 * docs.count() * sum(some) / max(1, len(some))
     power = min(30, max(0, math.ceil(math.log2(max(1.0, grams / SEGMENT)))))
 
+    if most_filter_bytes == 0:
+        docs = written(docs)  # row numbers meet again in a join
     train = docs.where(~F.col("held_out"))
-    segments = written(counted(train, power, False))
-    sizes = segments.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("bytes")).first()
+    blocks = None
+    if most_filter_bytes == 0 or grams <= CLEARLY * most_filter_bytes:
+        segments = written(counted(train, power, False))
+        filter_bytes = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    if most_filter_bytes and (grams > CLEARLY * most_filter_bytes or filter_bytes > most_filter_bytes):
+        blocks = written(blocks_of(docs))
+        both = written(counted_blocks(blocks, power))
+        segments, replies = both.where("block IS NULL"), both.where("block IS NOT NULL").select("block", "segment", "levels")
+    sizes = segments.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     total, distinct = sizes["n"], sizes["v"]
 
     # The least power of two from which on at most `most_heavy` words are as frequent.
@@ -251,46 +344,63 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     heavy = spark.sparkContext.broadcast((heavy_rows["h"].to_numpy(), heavy_rows["c"].to_numpy()))
     all_heavy = len(heavy_rows) == distinct
 
-    if sizes["bytes"] <= most_filter_bytes:
-        model = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in segments.select("segment", "bits").toLocalIterator()}, power))
-        source = docs.withColumn("known", F.lit(None).cast("array<struct<h:bigint,l:bigint>>"))
-    else:
-        model = None
-        source = with_levels(docs, unpacked(written(counted(train, power, True)), "grams", "levels", np.uint8, "l"))
-
     schema = StructType.fromDDL("row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_heavy bigint, logs double, score double, rare array<struct<h:bigint,tf:bigint>>")
     target = arrow_schema(schema)
 
-    def run(batches):
-        np.seterr(over="ignore")
-        memo = Tokens()
+    def scores_of(part, memo, logs_of):
         heavy_h, heavy_c = heavy.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
+        tokens, n = tokens_of(part.column(3).to_pylist(), memo)
+        firsts = np.cumsum(n) - n
+        logs = logs_of(part, tokens, n)
+        if len(heavy_h):
+            at = np.minimum(np.searchsorted(heavy_h, tokens), len(heavy_h) - 1)
+            hit = heavy_h[at] == tokens
+            c = np.where(hit, heavy_c[at], 0)
+        else:
+            hit, c = np.zeros(len(tokens), bool), np.zeros(len(tokens))
+        rare = []
+        for a, k in zip(firsts, n):
+            own = [] if all_heavy else tokens[a : a + k][~hit[a : a + k]].view(np.int64)
+            rare.append([{"h": int(h), "tf": int(f)} for h, f in zip(*np.unique(own, return_counts=True))] if len(own) else [])
+        add = lambda x: np.add.reduceat(x, firsts)
+        return pa.RecordBatch.from_arrays([
+            part.column(2), part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(add(hit.astype(np.int64))), pa.array(add(np.log10(c + 1.0))), pa.array(add(logs)), pa.array(rare, target.field("rare").type)], schema=target)
+
+    def mapped(source: DataFrame, logs_of) -> DataFrame:
+        def run(batches):
+            np.seterr(over="ignore")
+            memo = Tokens()
+            for batch in batches:
+                for start in range(0, batch.num_rows, BATCH_ROWS):
+                    yield scores_of(batch.slice(start, BATCH_ROWS), memo, logs_of)
+
+        return source.mapInArrow(run, schema)
+
+    if blocks is not None:
+
+        def of_block(block: pa.Table, replied: pa.Table) -> pa.Table:
+            np.seterr(over="ignore")
+            memo, grams, parts = Tokens(), [], [p for rows in block.column("rows") for p in rows_of(rows.as_py())]
+            for part in parts:
                 tokens, n = tokens_of(part.column(3).to_pylist(), memo)
-                firsts = np.cumsum(n) - n
-                if model is not None:
-                    logs = log_probabilities(tokens, n, model.value, total, distinct)
-                else:
-                    logs = np.concatenate([
-                        log_probabilities(tokens[a : a + k], np.array([k]), Table(*(np.array([x[f] for x in known or ()], np.int64).view(np.uint64 if f == "h" else np.int64) for f in "hl")), total, distinct)
-                        for a, k, known in zip(firsts, n, part.column(4).to_pylist())])
-                if len(heavy_h):
-                    at = np.minimum(np.searchsorted(heavy_h, tokens), len(heavy_h) - 1)
-                    hit = heavy_h[at] == tokens
-                    c = np.where(hit, heavy_c[at], 0)
-                else:
-                    hit, c = np.zeros(len(tokens), bool), np.zeros(len(tokens))
-                rare = []
-                for a, k in zip(firsts, n):
-                    own = [] if all_heavy else tokens[a : a + k][~hit[a : a + k]].view(np.int64)
-                    rare.append([{"h": int(h), "tf": int(f)} for h, f in zip(*np.unique(own, return_counts=True))] if len(own) else [])
-                add = lambda x: np.add.reduceat(x, firsts)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(2), part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(add(hit.astype(np.int64))), pa.array(add(np.log10(c + 1.0))), pa.array(add(logs)), pa.array(rare, target.field("rare").type)], schema=target)
+                grams.append(np.union1d(tokens, pairs_of(tokens, n)[1]))
+            replied = replied.sort_by("segment")
+            model = Table(np.unique(np.concatenate(grams)), np.frombuffer(b"".join(replied.column("levels").to_pylist()), np.uint8).astype(np.int64))
+            return pa.Table.from_batches([scores_of(p, memo, lambda _, tokens, n: log_probabilities(tokens, n, model, total, distinct)) for p in parts], target)
+
+        scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(of_block, schema)
+    elif most_filter_bytes:
+        model = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in segments.select("segment", "bits").toLocalIterator()}, power))
+        scored = mapped(docs.select("doc_id", "held_out", "row", "text"), lambda _, tokens, n: log_probabilities(tokens, n, model.value, total, distinct))
+    else:
+        source = with_levels(docs, unpacked(written(counted(train, power, True)), "grams", "levels", np.uint8, "l"))
+
+        def one_by_one(part, tokens, n):
+            return np.concatenate([
+                log_probabilities(tokens[a : a + k], np.array([k]), Table(*(np.array([x[f] for x in known or ()], np.int64).view(np.uint64 if f == "h" else np.int64) for f in "hl")), total, distinct)
+                for a, k, known in zip(np.cumsum(n) - n, n, part.column(4).to_pylist())])
 
-    scored = source.select("doc_id", "held_out", "row", "text", "known").mapInArrow(run, schema)
+        scored = mapped(source.select("doc_id", "held_out", "row", "text", "known"), one_by_one)
     floor = math.log10(total + distinct + 1)
     if not all_heavy:
         scored = written(scored)

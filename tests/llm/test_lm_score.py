@@ -78,6 +78,18 @@ def test_join_beyond_the_bound(spark, docs):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("clearly", [1, 10**9])
+def test_same_scores_on_both_sides_of_the_bound(spark, docs, monkeypatch, clearly):
+    monkeypatch.setattr(M, "SEGMENT", 20_000)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(M, "CLEARLY", clearly, raising=False)
+    docs = docs + [(None, "a b"), (10**7, None), (10**7, None)]
+    below, _ = run(spark, docs, most_filter_bytes=1 << 40, most_heavy=50)
+    beyond, _ = run(spark, docs, most_filter_bytes=1, most_heavy=50)
+    for a, b in zip(below, beyond, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+
+
 def test_filter_has_all_levels_and_few_others():
     rng = np.random.default_rng(0)
     np.seterr(over="ignore")
