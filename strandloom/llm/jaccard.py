@@ -439,10 +439,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row of the least id stays (rows without an id
-    come last, then the first row), and every row without words. `docs` must give the same rows in the same partitions
-    whenever it is read, as a table of files does."""
+    come last, then the first row), and every row without words. The row numbers are written once with the rows, as they
+    follow the partitions of a scan, which change with the executors that are alive."""
     columns, row = docs.columns, "_strandloom_row"
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = similar_documents(docs, size, percent, row, text_col).withColumnRenamed("doc_id", row)
     named = groups.join(docs.select(row, F.col(id_col).alias("id")), row)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))

@@ -113,3 +113,26 @@ def test_edge_rows(spark):
     docs = [(1, None), (2, ""), (3, " \n"), (None, text), (4, text + " x"), (4, text + " x"), (None, "lone words here"), (5, "a b"), (6, "A  b"), (7, "a c"), (8, text * 3000)]
     assert joined(spark, docs) == brute(docs)
     assert joined(spark, []) == []
+
+
+def test_one_of_each_when_partitions_change(spark, tmp_path, monkeypatch):
+    """Other partitions in every later scan, as after the loss of an executor."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(30)) for _ in range(60)]
+    docs = [(k, texts[k % 60]) for k in range(240)]
+    rnd.shuffle(docs)
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
+    size, real = iter(range(10**6)), J.written
+
+    def changed(df):
+        out = real(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1500 + 1500 * (next(size) % 5)))
+        return out
+
+    monkeypatch.setattr(J, "written", changed)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        out = J.one_of_each(spark.read.parquet(f"{tmp_path}/d")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((k, texts[k]) for k in range(60))
