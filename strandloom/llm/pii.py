@@ -7,8 +7,9 @@ check digits). Kinds email, ip, card and phone are the base; `url` (mailto: and
 host) and `account` (an identifier after its cue) are what the anchors add.
 
 Defined results: a null or empty text has no spans and gives a row of zeros; every row gives a row, repeated rows too;
-texts are scanned whole; a span that fails validation is dropped without another try; columns other than the id and the
-text are ignored. Offsets are in code points, ends exclusive. Cues are known in lower, title and upper case.
+texts are scanned whole; a span that fails validation is dropped without another try, but an account number is tried
+from its longest to its shortest sequence of groups, as an IBAN first; columns other than the id and the text are ignored.
+Offsets are in code points, ends exclusive. The case (A-Z) of cues, what follows them, and schemes does not matter.
 """
 
 from __future__ import annotations
@@ -36,8 +37,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[A-Za-z0-9._~:/?#@!$&*+,;=%\[\]-]+")
 HOST_IP = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z.])")
 CUE_TAIL = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id|code|#))?\x20?(?:[:=#]\x20?|\x20is\x20)?", re.ASCII)
-IDENTIFIER = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20-][A-Z0-9]{2,6})*")
+IDENTIFIER = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:-[A-Z0-9]{2,6})*")
+IBAN_GROUP = re.compile(r"[\x20-]?[A-Z0-9]{1,34}(?![A-Za-z0-9])")
+DIGIT_GROUP = re.compile(r"[\x20-][0-9]{1,30}(?![A-Za-z0-9_@%]|[.,:/][0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
+#: Most characters of an IBAN, and most digits of another account number of several groups.
+MOST_IBAN, MOST_DIGITS = 34, 30
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -46,8 +52,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(sign, (sign if sign in "@+" else "0", 1))
     for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
         for word in words:
-            for form in {word, word.upper(), word.title(), word.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(word, (kind, len(word)))
     a.make_automaton()
     return a
 
@@ -124,28 +129,36 @@ def urls(text: str, anchors: list[tuple[int, int]]):
                 yield at, (end := stop)
 
 
-def accounts(text: str, anchors: list[tuple[int, int]]):
+def group_ends(text: str, start: int, end: int, group: re.Pattern, most: int) -> list[int]:
+    """`end` and the ends of the groups that follow it, while they have at most so many letters and digits from `start`."""
+    ends, size = [end], sum(c.isalnum() for c in text[start:end])
+    while (m := group.match(text, ends[-1])) and (size := size + len(m[0].lstrip(" -"))) <= most:
+        ends.append(m.end())
+    return ends
+
+
+def accounts(text: str, low: str, anchors: list[tuple[int, int]]):
     end = 0
     for at, length in anchors:
         if at < end or at and text[at - 1].isalnum():
             continue
-        tail = CUE_TAIL.match(text, at + length)
+        tail = CUE_TAIL.match(low, at + length)
         m = IDENTIFIER.match(text, tail.end()) if tail.end() > at + length else None
         if m:
-            words, stop = m[0].split(" "), m.end()
-            if not iban(m[0]):
-                stop = m.start() + len(words[0])
-            value = text[m.start() : stop]
-            if iban(value) or len(digits_of(value)) >= 6:
+            start = m.start()
+            stop = next((e for e in reversed(group_ends(text, start, start, IBAN_GROUP, MOST_IBAN)) if iban(text[start:e])), None)
+            stop = stop or next((e for e in reversed(group_ends(text, start, m.end(), DIGIT_GROUP, MOST_DIGITS)) if len(digits_of(text[start:e])) >= 6), None)
+            if stop:
                 end = stop
-                yield m.start(), stop
+                yield start, stop
 
 
 def scan(text: str | None, finder: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind in the order of KINDS, then start."""
     text = text or ""
     at: dict[str, list] = {"@": [], "+": [], "0": [], "scheme": [], "cue": []}
-    for last, (kind, length) in finder.iter(text):
+    low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)  # the offsets stay
+    for last, (kind, length) in finder.iter(low):
         at[kind].append(last if length == 1 else (last + 1 - length, length))
     for kind in ("scheme", "cue"):  # an anchor in a longer one at the same place gives way
         best = {}
@@ -153,7 +166,7 @@ def scan(text: str | None, finder: ahocorasick.Automaton) -> list[tuple[str, int
             best[start] = max(best.get(start, 0), length)
         at[kind] = sorted(best.items())
     starts = run_starts(at["0"])
-    found = {"email": emails(text, at["@"]), "ip": ips(text, starts), "card": cards(text, starts), "phone": phones(text, at["+"]), "url": urls(text, at["scheme"]), "account": accounts(text, at["cue"])}
+    found = {"email": emails(text, at["@"]), "ip": ips(text, starts), "card": cards(text, starts), "phone": phones(text, at["+"]), "url": urls(text, at["scheme"]), "account": accounts(text, low, at["cue"])}
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
 
 

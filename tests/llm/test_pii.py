@@ -44,6 +44,22 @@ def test_added_spans():
     assert kinds("accountant 12345678, account 1234, on account of 3 things") == []
 
 
+def test_ordinary_forms_of_accounts():
+    finder = P.automaton()
+    accounts = lambda t: [t[a:b] for k, a, b in P.scan(t, finder) if k == "account"]
+    for cue in ("Customer ID", "User ID: ", "Member ID ", "member Id=", "İ IBAN: ", "Account Number: ", "ACCOUNT No. "):
+        assert accounts(f"É {cue.strip()} 12345678.") == ["12345678"], cue
+    assert accounts("Account: 1234 5678 9012") == ["1234 5678 9012"] and accounts("SSN 123 45 6789, 77") == ["123 45 6789"]
+    assert accounts("SSN 123-45-6789") == ["123-45-6789"] and accounts("account AB12-3456-CD78 and") == ["AB12-3456-CD78"]
+    for iban in ("DE89 3704 0044 0532 0130 00", "CH93 0076 2011 6238 5295 7", "DE89370400440532013000", "LC55HEMM000100010012001200023015", "GB29 NWBK 6016 1331 9268 19", "DE89 370400440532013000"):
+        assert accounts(f"IBAN: {iban} BIC COBADEFF 12") == [iban]
+        assert accounts(f"IBAN {iban}. BIC") == [iban]
+    assert accounts("Account 12345678 10.0.0.1") == ["12345678"] and accounts("account 1234 of 5678") == []
+    text = "Pay Customer ID: 1234 5678 9012 now"
+    assert P.masked(text, P.scan(text, finder)) == "Pay Customer ID: [ACCOUNT] now"
+    assert len(accounts("account 1 " + "1 " * 200_000)) == 1
+
+
 def test_long_digit_runs_are_linear():
     assert P.scan("1" * 300_000 + "." + "2" * 300_000, P.automaton()) == []
 
