@@ -42,8 +42,14 @@ SENTENCES = (
     ("gpl3", "licensed under the gnu general public license version 3"),
     ("gpl2", "licensed under the gnu general public license version 2"),
     ("gpl_free", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl_free", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl_free", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl_v2", "either version 2 of the license"),
+    ("gpl_v21", "either version 2 1 of the license"),
+    ("gpl_v3", "either version 3 of the license"),
     ("gpl_later", "or at your option any later version"),
     ("gpl_warranty", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl_warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("bsd", "licensed under the bsd license"),
@@ -73,6 +79,16 @@ RULES = (
     ("Apache-2.0", "apache2 apache2_use apache2_copy apache2_basis"),
     ("Apache-2.0", "apache2 apache2_use apache2_copy"),
     ("Apache-2.0", "apache2"),
+    ("GPL-3.0-or-later", "gpl_free gpl_v3 gpl_later gpl_warranty"),
+    ("GPL-3.0-or-later", "gpl_free gpl_v3 gpl_later"),
+    ("GPL-2.0-or-later", "gpl_free gpl_v2 gpl_later gpl_warranty"),
+    ("GPL-2.0-or-later", "gpl_free gpl_v2 gpl_later"),
+    ("LGPL-3.0-or-later", "lgpl_free gpl_v3 gpl_later gpl_warranty"),
+    ("LGPL-3.0-or-later", "lgpl_free gpl_v3 gpl_later"),
+    ("LGPL-2.1-or-later", "lgpl_free gpl_v21 gpl_later gpl_warranty"),
+    ("LGPL-2.1-or-later", "lgpl_free gpl_v21 gpl_later"),
+    ("AGPL-3.0-or-later", "agpl_free gpl_v3 gpl_later gpl_warranty"),
+    ("AGPL-3.0-or-later", "agpl_free gpl_v3 gpl_later"),
     ("GPL-2.0-or-later", "gpl_free gpl_later gpl_warranty"),
     ("GPL-2.0-or-later", "gpl_free gpl_later"),
     ("GPL", "gpl_free gpl_warranty"),
@@ -99,8 +115,8 @@ RULES = (
 # Words of which every licence sentence has one; a text without them is not cut.
 CUES = ("licen", "permission", "copyright", "redistribut", "warrant", "neither", "public", "option", "reserved")
 
-#: Where sentences end: after . ! ? ; : before white space, and at blank lines.
-ENDS = "(?<=[.!?;:])\\s+|\\n\\s*\\n"
+#: Where sentences end: after . ! ? ; : before white space, except after the v. of a version, and at blank lines.
+ENDS = "(?<=[.!?;:])(?<!\\b[vV]\\.)\\s+|\\n\\s*\\n"
 
 
 def has_cue(text: Column) -> Column:

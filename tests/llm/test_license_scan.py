@@ -38,6 +38,56 @@ def test_every_sentence_has_a_cue_and_is_found(spark):
     assert {i for _, ids in L.RULES for i in ids.split()} == {i for i, _ in L.SENTENCES}
 
 
+GPL = """    This {what} is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {kind}General Public License as published by
+    the Free Software Foundation, either version {version} of the License, or
+    (at your option) any later version.
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+NUMBERED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list.
+2. Redistributions in binary form must reproduce the above copyright notice.{endorse}
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND"""
+HEADERS = [
+    ("MIT", MIT), ("ISC", ISC), ("MPL-2.0", MPL), ("MPL-2.0", MPL.replace("v. 2.0", "V.\n * 2.0")), ("Apache-2.0", APACHE), ("BSD-2-Clause", NUMBERED.format(endorse="")),
+    ("BSD-3-Clause", NUMBERED.format(endorse="\n3. Neither the name of the copyright holder nor others may be used.")),
+    ("GPL-3.0-or-later", GPL.format(what="program", kind="", version="3")), ("GPL-2.0-or-later", GPL.format(what="program", kind="", version="2")),
+    ("LGPL-3.0-or-later", GPL.format(what="library", kind="Lesser ", version="3")), ("LGPL-2.1-or-later", GPL.format(what="library", kind="Lesser ", version="2.1")),
+    ("AGPL-3.0-or-later", GPL.format(what="program", kind="Affero ", version="3")), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."), ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("BSD", "Licensed under the BSD License."), ("CC0-1.0", "Dedicated to the public domain under CC0."), ("all-rights-reserved", "(c) X. All rights reserved."),
+    *((f"CC-{k}-4.0", f"This work is licensed under CC {k} 4.0.") for k in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    ("GPL", GPL.format(what="program", kind="", version="9").replace("either version 9 of the License, or\n    (at your option) any later version", "any version")),
+]
+
+
+def test_rules_on_headers(spark):
+    out = report(spark, [text for _, text in HEADERS])
+    assert [(out[k].licences, out[k].unmatched) for k in range(len(HEADERS))] == [(name, "") for name, _ in HEADERS]
+    assert {name for name, _ in HEADERS} == {name for name, _ in L.RULES}
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (None, "All rights reserved", 7), (2, "", 6), (3, "Licensed under CC BY-NC 4.0. " * 5000, 1)], "doc_id bigint, text string, licences int")
     out = rows_by(L.license_report(df), "doc_id")
