@@ -7,7 +7,7 @@ check digits). Kinds email, ip, card and phone are the base; `url` (mailto: and
 host) and `account` (an identifier after its cue) are what the anchors add.
 
 Defined results: a null or empty text has no spans and gives a row of zeros; every row gives a row, repeated rows too;
-texts are scanned whole; a span that fails validation is dropped without another try, but an account number is tried
+texts are scanned whole, in time linear in their length; a span that fails validation is dropped without another try, but an account number is tried
 from its longest to its shortest sequence of groups, as an IBAN first; columns other than the id and the text are ignored.
 Offsets are in code points, ends exclusive. The case (A-Z) of cues, what follows them, and schemes does not matter.
 """
@@ -40,6 +40,7 @@ CUE_TAIL = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id|code|#))?\x20?(?:[:=#]\x
 IDENTIFIER = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:-[A-Z0-9]{2,6})*")
 IBAN_GROUP = re.compile(r"[\x20-]?[A-Z0-9]{1,34}(?![A-Za-z0-9])")
 DIGIT_GROUP = re.compile(r"[\x20-][0-9]{1,30}(?![A-Za-z0-9_@%]|[.,:/][0-9])")
+IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 #: Most characters of an IBAN, and most digits of another account number of several groups.
@@ -119,14 +120,22 @@ def phones(text: str, anchors: list[int]):
 
 
 def urls(text: str, anchors: list[tuple[int, int]]):
-    end = 0
+    """Expand right over the run of address characters, which is measured once however many anchors are in it."""
+    end, run, last = 0, (0, 0), 0
     for at, length in anchors:
-        m = ADDRESS.match(text, at + length) if at >= end and not (at and text[at - 1].isalnum()) else None
-        if m:
-            stop = at + length + len(m[0].rstrip(".,;:!?*"))
-            host = text[at + length : stop].split("/", 1)[0]
-            if text[at : at + 1] in "mM" or "@" in host or HOST_IP.match(text, at + length):
-                yield at, (end := stop)
+        if at < end or at and text[at - 1].isalnum():
+            continue
+        start = at + length
+        if not run[0] <= start < run[1]:
+            m = ADDRESS.match(text, start)
+            if not m:
+                continue
+            run, last = m.span(), start + len(m[0].rstrip(".,;:!?*"))
+        stop = max(start, last)
+        slash = text.find("/", start, stop)
+        at_sign = text.find("@", start, stop if slash < 0 else slash)
+        if text[at] in "mM" or at_sign >= 0 or HOST_IP.match(text, start):
+            yield at, (end := stop)
 
 
 def group_ends(text: str, start: int, end: int, group: re.Pattern, most: int) -> list[int]:
@@ -146,7 +155,8 @@ def accounts(text: str, low: str, anchors: list[tuple[int, int]]):
         m = IDENTIFIER.match(text, tail.end()) if tail.end() > at + length else None
         if m:
             start = m.start()
-            stop = next((e for e in reversed(group_ends(text, start, start, IBAN_GROUP, MOST_IBAN)) if iban(text[start:e])), None)
+            groups = group_ends(text, start, start, IBAN_GROUP, MOST_IBAN) if IBAN_HEAD.match(text, start) else []
+            stop = next((e for e in reversed(groups) if iban(text[start:e])), None)
             stop = stop or next((e for e in reversed(group_ends(text, start, m.end(), DIGIT_GROUP, MOST_DIGITS)) if len(digits_of(text[start:e])) >= 6), None)
             if stop:
                 end = stop

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from strandloom.llm import pii as P
 
@@ -64,6 +67,32 @@ def test_long_digit_runs_are_linear():
     assert P.scan("1" * 300_000 + "." + "2" * 300_000, P.automaton()) == []
 
 
+@pytest.mark.parametrize("part", ["http://", "IBAN 11-", "IBAN:1", "a@", "+1", "ssh://a@", "http://a", "iban 1-AB", "account 1 ", "mailto:", "http://1.", "1.1.", "4111-"])
+def test_linear_on_hostile_texts(part):
+    began = time.perf_counter()
+    P.scan(part * 100_000, P.automaton())
+    assert time.perf_counter() - began < 2
+
+
+def test_urls_equal_a_scan_from_each_anchor():
+    def slow(text, anchors):
+        end = 0
+        for at, length in anchors:
+            m = P.ADDRESS.match(text, at + length) if at >= end and not (at and text[at - 1].isalnum()) else None
+            if m:
+                stop = at + length + len(m[0].rstrip(".,;:!?*"))
+                host = text[at + length : stop].split("/", 1)[0]
+                if text[at] in "mM" or "@" in host or P.HOST_IP.match(text, at + length):
+                    yield at, (end := stop)
+
+    rnd, finder = random.Random(2), P.automaton()
+    for _ in range(8000):
+        text = "".join(rnd.choice(["http://", "ftp://", "mailto:", "a", "@", "/", ".", ",", " ", "10.0.0.1", "é", "!"]) for _ in range(rnd.randrange(0, 14)))
+        found = [(last + 1 - n, n) for last, (kind, n) in finder.iter(text) if kind == "scheme"]
+        best = sorted({a: max(n for b, n in found if a == b) for a, _ in found}.items())
+        assert list(P.urls(text, best)) == list(slow(text, best)), text
+
+
 def test_mask():
     text = "mail a@b.cd now"
     assert P.masked(text, P.scan(text, P.automaton())) == "mail [EMAIL] now"
