@@ -51,9 +51,12 @@ def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple]], schem
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under `spark.checkpoint.dir`; the setting is made only where it is unset (local tests)."""
+    """A new folder name under `spark.checkpoint.dir`. Where that is unset, a local session (as in tests) gets a temporary
+    folder; on a cluster there is none that all machines share, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")
@@ -65,4 +68,14 @@ def written(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,16 +1,17 @@
 """Operator 5: quality rules as a short-circuit cascade, on DataFrame functions alone.
 
-A rule is a condition on a text under which it is rejected. On a bounded sample the cascade measures each rule's cost
-(seconds to evaluate it alone, beyond reading the sample) and selectivity (the share it rejects), and puts the rules in
-order of rejection per cost. They are then tried in that order within one CASE expression, so that a rejected text is
-spared the rest. The order decides what is saved, never the verdict: a text is kept if no rule rejects it.
+A rule is a condition on a text under which it is rejected. On a bounded random sample the cascade measures each rule's
+cost (seconds to evaluate it alone, beyond reading the sample) and selectivity (the share it rejects), and puts the rules
+in order of rejection per cost. They are then tried in that order within one CASE expression, so that a rejected text is
+spared the rest. The order decides what is saved, never the verdict: a text is kept if no rule rejects it. The costliest
+rule, on repeated windows, is one of them; `quality_report` reports its count for every row, so there it is not tried again.
 
 There is no shuffle: all statistics of a text are array expressions over the row. Repeated 5-word windows are found by
 sorting a text's window hashes with their positions, which is n log n in the words of the text.
 
 Defined results: a null or empty text has no words, zero counts, and is rejected (fewer than 10 words); every row gives
 a row, repeated rows too; whole texts are read; on an empty table the rules stay in the given order; other columns are
-ignored by `quality_report` and kept by `keep_good`.
+ignored by `quality_report` and kept by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from .common import SPACE_CLASS, table, words_of
 
 #: Words of the window whose repetition counts.
 WINDOW = 5
-#: Rows of the sample on which costs and selectivities are measured, and characters of its longest text. The sample is the
-#: first such rows, so that only as many partitions are read as it takes; texts beyond that length are judged like all
-#: others, but not timed.
+#: Rows, about, of the random sample on which costs and selectivities are measured, and characters of its longest text;
+#: texts beyond that length are judged like all others, but not timed.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 50_000
+#: Name of the rule on repeated windows.
+REPEATS = "repeated_windows"
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -60,6 +62,25 @@ def count_of(pattern: str) -> Column:
     return F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(pattern)).cast("bigint")
 
 
+def let(value: Column, then) -> Column:
+    """An expression of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def n_repeat_words() -> Column:
+    """Words that lie in a window found twice or more in the text. The hashes are sorted only if two are the same."""
+    n = F.size("_words")
+    window = lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)])
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), window)
+    same = lambda s, x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+    gaps = lambda p: F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
+    total = lambda p: F.aggregate(gaps(p), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    places = lambda s: F.array_sort(F.transform(F.filter(s, lambda x, j: same(s, x, j - 1) | same(s, x, j + 1)), lambda x: x["i"]))
+    of = lambda h: let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: let(places(s), total))
+    none = F.lit(0).cast("bigint")
+    return F.when(n < WINDOW, none).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), of(h)).otherwise(none)))
+
+
 def default_rules() -> list[Rule]:
     lines = word_lines()
     return [
@@ -70,6 +91,7 @@ def default_rules() -> list[Rule]:
         Rule("shouting", 100 * count_of("!!") > 20 * n_words()),
         Rule("few_letters", 100 * count_of("\\p{L}") < 50 * word_chars()),
         Rule("repeated_lines", 100 * n_dup_lines(lines) > 40 * F.size(lines)),
+        Rule(REPEATS, 100 * n_repeat_words() > 20 * n_words()),
     ]
 
 
@@ -77,24 +99,12 @@ def with_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"_text": F.col(text_col), "_words": words_of(F.col(text_col))})
 
 
-def with_repeats(df: DataFrame, out: str) -> DataFrame:
-    """Adds the number of words that lie in a window found twice or more in the text."""
-    n = F.size("_words")
-    window = lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)])
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(pairs)).otherwise(none))
-    same = lambda s, j: F.coalesce(F.get("_s", j)["h"] == s["h"], F.lit(False))
-    places = F.transform(F.filter("_s", lambda s, j: same(s, j - 1) | same(s, j + 1)), lambda s: s["i"])
-    df = df.withColumn("_p", F.sort_array(places))
-    gaps = F.transform("_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", j + 1) - p, F.lit(WINDOW))))
-    return df.withColumn(out, F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("_h", "_s", "_p")
-
-
 def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, measured on at most `sample_rows` rows."""
-    some = docs.select(F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).take(sample_rows)
+    """The rules by rejection per cost, measured on a random sample of about `sample_rows` rows of the whole table."""
+    texts = docs.select(F.col(text_col).alias("_t"))
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    some = texts.where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS)
+    some = (some if share == 1 else some.sample(share, seed=5)).limit(2 * sample_rows).collect()
     sample = with_words(docs.sparkSession.createDataFrame(some, "_t string").repartition(4), "_t").select("_text", "_words").persist()
     try:
         total = sample.count()
@@ -128,8 +138,9 @@ def rejected(rules: list[Rule]) -> Column:
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics and verdict of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    rules = cascade(docs, default_rules() if rules is None else rules, "_t")
-    df = with_repeats(with_words(docs, "_t"), "n_repeat_words")
+    rules = default_rules() if rules is None else rules
+    rules = cascade(docs, [rule for rule in rules if rule.name != REPEATS], "_t")
+    df = with_words(docs, "_t").withColumn("n_repeat_words", n_repeat_words())
     df = df.select("doc_id", "_text", "_words", "n_repeat_words", n_words().cast("bigint").alias("n_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.select(
@@ -139,17 +150,15 @@ def quality_report(docs: DataFrame, rules: list[Rule] | None = None, id_col: str
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that no rule and neither base condition rejects, with the columns of `docs`."""
-    columns = docs.columns
-    rules = cascade(docs, default_rules() if rules is None else rules, text_col)
-    df = only_where(with_words(docs, text_col), ~rejected(rules))
-    return only_where(with_repeats(df, "_n_repeat_words"), 100 * F.col("_n_repeat_words") <= 20 * n_words()).select(columns)
-
+    """The rows of `docs` that no rule rejects, with the columns of `docs`, which travel as one struct, so that no name of
+    theirs meets one of the cascade's.
 
-def only_where(df: DataFrame, condition: Column) -> DataFrame:
-    """Like where(), but the condition stays where it is: pushed down, it would take in the array expressions that its
-    columns stand for and evaluate them again and again. A filter on a generated column isn't pushed down."""
-    return df.select("*", F.explode(F.array(condition)).alias("_ok")).where("_ok").drop("_ok")
+    The verdict is put in by a generator: as a plain filter it would be pushed down to the scan and would evaluate the
+    array expressions that `_words` stands for again and again."""
+    rules = cascade(docs, default_rules() if rules is None else rules, text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    df = with_words(docs.select(row, F.col(f"`{text_col}`").alias("text")), "text")
+    return df.select("row", F.explode(F.array(~rejected(rules))).alias("ok")).where("ok").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

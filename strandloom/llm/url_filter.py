@@ -9,6 +9,8 @@ per place, so that captures are joined by one equality, one row to one row at mo
 an array. A host with a third of all captures is a skewed left side of an outer join, which adaptive execution splits;
 the distinct places are counted with map-side combining. The array of a place is bounded by the history of its patterns.
 
+Hosts have no case; paths have. Addresses (IPv4, or IPv6 in brackets) have no domains above them.
+
 Defined results: a null, empty or unreadable URL has a null host and no entries; a null time finds no entry; every
 capture gives a row, repeated ones too; of actions on one pattern and day, removals come first; actions with a null
 pattern, date or action are ignored; other columns are ignored.
@@ -22,7 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
+ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
@@ -38,14 +41,20 @@ def patterns_of(host: Column, segment: Column) -> Column:
     """The host, the domains above it, and the host with its first path segment."""
     labels = F.split(host, "\\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    above = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(above)
     return F.when(segment == "", above).otherwise(F.array_append(above, F.concat_ws("/", host, segment)))
 
 
+def normalised(pattern: Column) -> Column:
+    """The host of a pattern in lower case; its path stays as it is."""
+    return F.concat(F.lower(F.substring_index(pattern, "/", 1)), F.regexp_extract(pattern, "/.*$", 0))
+
+
 def intervals(actions: DataFrame) -> DataFrame:
     """pattern, category, valid_from, valid_to (null: open) from pattern, category, action, dated."""
     known = actions.where(F.col("pattern").isNotNull() & F.col("dated").isNotNull() & F.col("action").isin("add", "remove"))
     w = Window.partitionBy("pattern", "category").orderBy("dated", F.desc("action"))
-    ends = known.select(F.lower("pattern").alias("pattern"), "category", "action", "dated").withColumn("valid_to", F.lead("dated").over(w))
+    ends = known.select(normalised(F.col("pattern")).alias("pattern"), "category", "action", "dated").withColumn("valid_to", F.lead("dated").over(w))
     return ends.where((F.col("action") == "add") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("dated")))).select("pattern", "category", F.col("dated").alias("valid_from"), "valid_to")
 
 
@@ -72,25 +81,21 @@ def captures_of(pages: DataFrame) -> DataFrame:
 def actions_of(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of the pages, by fixed rules."""
     hosts = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment")).where(F.col("host").isNotNull()).distinct()
-    hosts = hosts.withColumn("n", F.length("host")).withColumn("c", F.ascii("host"))
-    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
-
-    def some(where, pattern, category, action, dated):
-        return hosts.where(where).select(pattern.alias("pattern"), F.lit(category).alias("category"), F.lit(action).alias("action"), day(dated).alias("dated")).distinct()
-
-    host, n, first = F.col("host"), F.col("n"), (F.col("c") * 7 + F.col("n") * 13) % 200
-    ads, sub, es = (n + F.col("c")) % 3 == 0, host.rlike("^(m|blog)\\."), (F.col("segment") == "es") & (n % 4 == 1)
-    above, path = F.regexp_replace(host, "^(m|blog)\\.", ""), F.concat_ws("/", host, "segment")
-    parts = [
-        some(ads, host, "ads", "add", first), some(ads, host, "ads", "remove", first + 60), some(ads, host, "ads", "add", first + 120),
-        some(host.rlike("casino|bet|xxx"), host, "adult", "add", F.lit(0)),
-        some(sub, above, "spam", "add", n % 5 * 30), some(sub, above, "spam", "remove", n % 5 * 30 + 45),
-        some(es, path, "phish", "add", F.lit(100)), some(es, path, "phish", "remove", F.lit(250)),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    host, n, c = F.col("host"), F.length("host"), F.ascii("host")
+    ads, first = (n + c) % 3 == 0, (c * 7 + n * 13) % 200
+    sub, above, spam = host.rlike("^(m|blog)\\."), F.regexp_replace(host, "^(m|blog)\\.", ""), n % 5 * 30
+    es, path = (F.col("segment") == "es") & (n % 4 == 1), F.concat_ws("/", host, "segment")
+
+    def one(where, pattern, category, action, day):
+        return F.when(where, F.struct(pattern.alias("pattern"), F.lit(category).alias("category"), F.lit(action).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("dated")))
+
+    parts = F.array(
+        one(ads, host, "ads", "add", first), one(ads, host, "ads", "remove", first + 60), one(ads, host, "ads", "add", first + 120),
+        one(host.rlike("casino|bet|xxx"), host, "adult", "add", F.lit(0)),
+        one(sub, above, "spam", "add", spam), one(sub, above, "spam", "remove", spam + 45),
+        one(es, path, "phish", "add", F.lit(100)), one(es, path, "phish", "remove", F.lit(250)),
+    )
+    return hosts.select(F.explode(F.array_compact(parts)).alias("a")).select("a.*").distinct()
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = {
     "op7_url_filter": r"""
 WITH c AS (
-  SELECT row_number() OVER () AS k, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+  SELECT row_number() OVER () AS k, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '') AS host,
          coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_on
   FROM pages
 ), h AS (SELECT DISTINCT host, segment, length(host) AS n, ascii(host) AS c FROM c WHERE host IS NOT NULL),

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import quality as Q
 
 from ..helpers import SF, rows_by
@@ -39,14 +41,25 @@ def test_order_does_not_change_the_verdict(spark):
 
 
 def test_cheap_selective_rules_come_first(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([("some words here " * 200,)] * 300, "text string")
     slow = F.length(F.array_join(F.transform("_words", lambda w: F.sha2(w, 512)), "")) > 0
     order = Q.cascade(docs, [Q.Rule("never", F.lit(False)), Q.Rule("slow", slow), Q.Rule("quick", F.length("_text") > 0)])
     assert [r.name for r in order] == ["quick", "slow", "never"]
 
 
+def test_the_rule_on_repeats_is_measured_too(spark):
+    prose = "the quick fox of the farm and that old dog were in a long quiet field by the water for a while "
+    docs = spark.createDataFrame([(k, prose * (1 + k % 2)) for k in range(400)], "doc_id bigint, text string")
+    assert [r.name for r in Q.cascade(docs, Q.default_rules())][0] == Q.REPEATS
+    assert sorted(r.doc_id for r in Q.keep_good(docs).collect()) == list(range(0, 400, 2))
+
+
+def test_sample_covers_the_whole_table(spark):
+    docs = spark.createDataFrame([("few" if k < 5000 else "some words here !! !! " * 4,) for k in range(20_000)], "text string").coalesce(1)
+    order = Q.cascade(docs, [Q.Rule("first", F.length("_text") < 4), Q.Rule("rest", F.length("_text") >= 4)], sample_rows=800)
+    assert [r.name for r in order] == ["rest", "first"]
+
+
 def test_junk_goes_and_prose_stays(spark):
     prose = "the quick fox of the farm and that old dog were in a long quiet field by the water for a while"
     texts = [prose, prose.upper(), "ab### cd%%% ef&&& gh*** ij$$$ kl### mn%%% op&&& qr*** st$$$", "same line\n" * 12, "x1 " * 3]
@@ -59,5 +72,9 @@ def test_edge_rows(spark):
     out = Q.quality_report(df)
     assert out.count() == 4 and Q.quality_report(df.limit(0)).count() == 0
     assert Q.keep_good(df).columns == df.columns and Q.keep_good(df.limit(0)).count() == 0
+    names = ["_ok", "_h", "_words", "_text", "_s", "_p", "_t", "row", "ok", "a.b"]
+    prose = "the quick fox of the farm and that old dog were in a long quiet field by the water for a while"
+    clash = spark.createDataFrame([(prose, *range(len(names)))], ["text", *names])
+    assert Q.keep_good(clash).columns == clash.columns and Q.keep_good(clash).collect() == clash.collect()
     long = spark.createDataFrame([(1, " ".join(str(k % 9000) for k in range(30_000)))], "doc_id bigint, text string")
     assert Q.quality_report(long).first().n_repeat_words == 30_000

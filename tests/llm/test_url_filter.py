@@ -36,6 +36,15 @@ def test_replay(spark):
     assert all(r[0].listed == (r[0].n_active > 0) == bool(r[0].entries) for r in out.values())
 
 
+def test_case_of_paths_and_addresses(spark):
+    urls = ["http://C.example/Login?x", "http://c.example/login", "http://[2001:DB8::1]:80/a", "http://10.0.1.1/", "ftp://u:p@[::1]", "http://a.1.1/"]
+    df = spark.createDataFrame([(k, u, D(9), "") for k, u in enumerate(urls)], CAPTURE)
+    patterns = ["C.Example/Login", "[2001:db8::1]", "1.1", "[::1]", "10.0.1.1"]
+    actions = [(p, "x", "add", D(1), 0) for p in patterns] + [("c.example/login", "y", "add", D(1), 0), ("C.example/login", "y", "remove", D(2), 0)]
+    out = rows_by(U.active_entries(df, spark.createDataFrame(actions, ACTION), "id", "url", "at"), "id")
+    assert [out[k][0].entries for k in range(6)] == ["x:c.example/Login", "", "x:[2001:db8::1]", "x:10.0.1.1", "x:[::1]", "x:1.1"]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, D(1), ""), (2, "nonsense", D(1), ""), (3, "http://a.example", None, ""), (None, "http://a.example.", D(5), ""), (None, "http://a.example.", D(5), "")], CAPTURE)
     actions = spark.createDataFrame([("a.example", "ads", "add", D(5), 1), ("a.example", "ads", "remove", D(6), 1), (None, "ads", "add", D(1), 1), ("a.example", "x", "remove", D(1), 1)], ACTION)
