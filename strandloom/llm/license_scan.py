@@ -10,7 +10,8 @@ There is no shuffle or join: the tables of sentences and rules are literals of f
 are cut.
 
 Defined results: every row gives a row, repeated rows too; a null, empty or licence-free text has empty strings and no
-match; whole texts are read; other columns are ignored. A licence is named once however often it occurs.
+match; whole texts are read; other columns are ignored. A licence is named once however often it occurs, an identifier
+counts once for each sentence, and a known sentence after the word `not` is none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SENTENCES = (
     ("bsd_endorse", "neither the name of"),
     ("bsd_warranty", "this software is provided by the copyright holders and contributors as is"),
     ("isc_grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc_notice", "provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc_warranty", "the software is provided as is and the author disclaims all warranties"),
     ("apache2", "licensed under the apache license version 2 0"),
     ("apache2_use", "you may not use this file except in compliance with the license"),
@@ -50,6 +52,31 @@ SENTENCES = (
     ("gpl_later", "or at your option any later version"),
     ("gpl_warranty", "this program is distributed in the hope that it will be useful but without any warranty"),
     ("gpl_warranty", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("bsl1_grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("zlib_warranty", "this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("epl2", "made available under the terms of the eclipse public license v 2 0"),
+    ("epl2", "made available under the terms of the eclipse public license 2 0"),
+    ("epl1", "made available under the terms of the eclipse public license v 1 0"),
+    ("afl", "licensed under the academic free license version 3 0"),
+    ("artistic2", "licensed under the artistic license 2 0"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("apache2", "licensed under the apache license 2 0"),
+    ("apache2", "released under the apache license version 2 0"),
+    ("bsd3", "licensed under the bsd 3 clause license"),
+    ("bsd2", "licensed under the bsd 2 clause license"),
+    ("isc", "licensed under the isc license"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("spdx_mit", "spdx license identifier mit"),
+    ("spdx_apache2", "spdx license identifier apache 2 0"),
+    ("spdx_bsd2", "spdx license identifier bsd 2 clause"),
+    ("spdx_bsd3", "spdx license identifier bsd 3 clause"),
+    ("spdx_isc", "spdx license identifier isc"),
+    ("spdx_mpl2", "spdx license identifier mpl 2 0"),
+    ("spdx_gpl2", "spdx license identifier gpl 2 0"),
+    ("spdx_gpl2_later", "spdx license identifier gpl 2 0 or later"),
+    ("spdx_gpl3", "spdx license identifier gpl 3 0"),
+    ("spdx_gpl3_later", "spdx license identifier gpl 3 0 or later"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("bsd", "licensed under the bsd license"),
@@ -74,8 +101,13 @@ RULES = (
     ("BSD-3-Clause", "bsd_grant bsd_source bsd_binary bsd_endorse"),
     ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary bsd_warranty"),
     ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
-    ("ISC", "isc_grant isc_warranty"),
-    ("ISC", "isc_grant"),
+    ("ISC", "isc_grant isc_notice isc_warranty"),
+    ("ISC", "isc_grant isc_notice"),
+    ("0BSD", "isc_grant isc_warranty"),
+    ("0BSD", "isc_grant"),
+    ("BSL-1.0", "bsl1_grant"),
+    ("Zlib", "zlib_warranty zlib_grant"),
+    ("Zlib", "zlib_grant"),
     ("Apache-2.0", "apache2 apache2_use apache2_copy apache2_basis"),
     ("Apache-2.0", "apache2 apache2_use apache2_copy"),
     ("Apache-2.0", "apache2"),
@@ -99,6 +131,25 @@ RULES = (
     ("GPL-3.0", "gpl3"),
     ("GPL-2.0", "gpl2"),
     ("MIT", "mit"),
+    ("EPL-2.0", "epl2"),
+    ("EPL-1.0", "epl1"),
+    ("AFL-3.0", "afl"),
+    ("Artistic-2.0", "artistic2"),
+    ("WTFPL", "wtfpl"),
+    ("BSD-3-Clause", "bsd3"),
+    ("BSD-2-Clause", "bsd2"),
+    ("ISC", "isc"),
+    ("BSL-1.0", "boost"),
+    ("MIT", "spdx_mit"),
+    ("Apache-2.0", "spdx_apache2"),
+    ("BSD-2-Clause", "spdx_bsd2"),
+    ("BSD-3-Clause", "spdx_bsd3"),
+    ("ISC", "spdx_isc"),
+    ("MPL-2.0", "spdx_mpl2"),
+    ("GPL-2.0-or-later", "spdx_gpl2 spdx_gpl2_later"),
+    ("GPL-2.0", "spdx_gpl2"),
+    ("GPL-3.0-or-later", "spdx_gpl3 spdx_gpl3_later"),
+    ("GPL-3.0", "spdx_gpl3"),
     ("BSD", "bsd"),
     ("MPL-2.0", "mpl2"),
     ("CC-BY-NC-ND-4.0", "cc_by_nc_nd"),
@@ -115,8 +166,9 @@ RULES = (
 # Words of which every licence sentence has one; a text without them is not cut.
 CUES = ("licen", "permission", "copyright", "redistribut", "warrant", "neither", "public", "option", "reserved")
 
-#: Where sentences end: after . ! ? ; : before white space, except after the v. of a version, and at blank lines.
-ENDS = "(?<=[.!?;:])(?<!\\b[vV]\\.)\\s+|\\n\\s*\\n"
+#: Where sentences end: after . ! ? ; : before white space, except after the v. of a version or the colon of an SPDX
+#: identifier, and at blank lines.
+ENDS = "(?<=[.!?;:])(?<!\\b[vV]\\.)(?<!License-Identifier:)\\s+|\\n\\s*\\n"
 
 
 def has_cue(text: Column) -> Column:
@@ -141,7 +193,7 @@ def identifiers(text: Column, sentences: tuple[tuple[str, str], ...]) -> Column:
 
     def of(sentence: Column) -> Column:
         # A sentence may hold several; they are put in order of their place, then identifier.
-        hits = F.filter(known, lambda k: F.contains(sentence, k["s"]))
+        hits = F.filter(known, lambda k: F.contains(sentence, k["s"]) & ~F.contains(sentence, F.concat(F.lit(" not"), k["s"])))
         placed = F.transform(hits, lambda k: F.struct(F.position(k["s"], sentence).alias("at"), k["id"].alias("id")))
         return F.transform(F.sort_array(placed), lambda p: p["id"])
 
@@ -187,7 +239,7 @@ def _oracle() -> str:
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT k, u.n, ' ' || trim(regexp_replace(lower(u.x), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s
       FROM (SELECT k, unnest(list_transform(string_split_regex(regexp_replace(t, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n'), lambda x, i: {{'n': i, 'x': x}})) AS u FROM d)),
-h AS (SELECT k, n, strpos(s, e.s) AS plc, e.id AS id FROM (SELECT k, n, s, unnest([{known}]) AS e FROM s) WHERE contains(s, e.s)),
+h AS (SELECT k, n, strpos(s, e.s) AS plc, e.id AS id FROM (SELECT k, n, s, unnest([{known}]) AS e FROM s) WHERE contains(s, e.s) AND NOT contains(s, ' not' || e.s)),
 r0 AS (SELECT k, list(id ORDER BY n, plc, id) AS ids, string_agg('|' || id || '|', '' ORDER BY n, plc, id) AS rest, CAST([] AS VARCHAR[]) AS found FROM h GROUP BY k),
 {", ".join(steps)}
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences,

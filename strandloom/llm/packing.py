@@ -10,6 +10,9 @@ Pieces are dealt out by row number into shards of bounded size, so no key and no
 packed by itself, and only lengths and identifiers are moved, never texts. What is packed is written to the shared
 folder first, so that a lost executor repeats the same shards.
 
+Lengths are in words, or in the tokens of any tokenizer if a column has their number for each row (that of operator 6, say);
+pieces are then ranges of tokens. `sequences` gathers the pieces of each sequence in order, to assemble it from.
+
 Defined results: a null, empty or blank text has no piece; repeated rows are packed as often as they occur; ties in
 length go by identifier, piece and row number; an empty table gives no rows; other columns are ignored.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table, words_of, written
 
-#: Permitted sequence lengths, in words.
+#: Permitted sequence lengths.
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: Pieces of a shard, about.
 SHARD_PIECES = 50_000
@@ -64,17 +67,18 @@ def pack(sizes: list[int], lengths: tuple[int, ...]) -> list[tuple[int, int, int
     return [(k, final[k], offset) for k, offset in placed]
 
 
-def pieces_of(docs: DataFrame, lengths: tuple[int, ...], id_col: str, text_col: str) -> DataFrame:
-    """One row for each piece: doc_id, piece, start and size in words, and a row number."""
+def pieces_of(docs: DataFrame, lengths: tuple[int, ...], id_col: str, text_col: str, size_col: str | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, start and size, and a row number."""
     top = max(lengths)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.size(words_of(F.col(text_col))).cast("bigint").alias("n"), F.monotonically_increasing_id().alias("row")).where("n > 0")
+    size = F.size(words_of(F.col(text_col))) if size_col is None else F.col(size_col)
+    sized = docs.select(F.col(id_col).alias("doc_id"), size.cast("bigint").alias("n"), F.monotonically_increasing_id().alias("row")).where("n > 0")
     cut = sized.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {top}"))).alias("piece"))
     return cut.select("doc_id", "row", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("bigint").alias("size"))
 
 
-def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """Per piece its sequence, the permitted length of that, and the place of the piece in it."""
-    pieces = written(pieces_of(docs, lengths, id_col, text_col))
+    pieces = written(pieces_of(docs, lengths, id_col, text_col, size_col))
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("bigint"))
 
@@ -89,5 +93,13 @@ def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces:
     return packed.select("doc_id", "piece", "start", "size", F.concat_ws("-", "shard", "bin").alias("sequence_id"), "bin_length", "offset")
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row for each sequence: its permitted length, how much of it is used, and its pieces (document, start, size) in
+    order; at most as many pieces as the longest permitted length."""
+    piece = F.struct("offset", "doc_id", "start", "size")
+    rows = packed.groupBy("sequence_id", "bin_length").agg(F.sum("size").alias("used"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return rows.select("sequence_id", "bin_length", "used", "pieces")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ The centroids and the number of lists that a query probes are fitted on a bounde
 lists that `TARGET` of the sample's true neighbours lie in them. Every vector is indexed. Lists and their queries are
 cut into blocks of bounded size, so that a long list or a popular region is many tasks. Equal vectors are one class, of
 which the k + 1 least ids are kept: more can't be needed, and however many copies there are, a class is searched once.
+A query whose probed lists hold fewer vectors than it asks for is searched once more, in all lists.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, rows without an id, and
 vectors of another length than the most frequent one take no part; repeated rows of one id and vector count once; ties
@@ -33,8 +34,8 @@ from .common import table, written
 SAMPLE, MOST_LISTS = 20_000, 1024
 #: Share of the sample's true neighbours that the probed lists must hold.
 TARGET = 0.99
-#: Rows of a block: vectors, and queries against them.
-BLOCK, QUERY_BLOCK = 4096, 2048
+#: Rows of a block: vectors, and queries against them; queries whose bounds are held at once.
+BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 2048, 256
 #: Standard deviations of the estimate's error that its bounds allow for.
 EPSILON = 3.0
 
@@ -136,6 +137,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     if found is None:
         return empty
     shared = spark.sparkContext.broadcast(found[0])
+    kind = valid.schema["embedding"].dataType.simpleString()  # floats or doubles, as they come
     wanted = written(valid.where("is_query").select("vec_id", "embedding").distinct().join(classes.select("embedding", "class"), "embedding").select("vec_id", "class"))
     asked = classes.join(wanted.select("class").distinct(), "class").select("class", "embedding")
 
@@ -155,35 +157,48 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
                 order = index.order(unit(matrix(part["embedding"])), index.probes)
                 yield part.assign(lists=list(order.astype("int32")))
 
-    coded = written(classes.mapInPandas(code, "embedding array<float>, ids array<bigint>, class bigint, list int, code binary, length double, fit double"))
-    probed = written(asked.mapInPandas(probe, "class bigint, embedding array<float>, lists array<int>").select(F.col("class").alias("query"), F.col("embedding").alias("q"), F.explode("lists").alias("list")))
-    # Numbers of blocks of each list (at most MOST_LISTS rows, so a broadcast).
+    coded = written(classes.mapInPandas(code, f"embedding {kind}, ids array<bigint>, class bigint, list int, code binary, length double, fit double"))
+    probed = written(asked.mapInPandas(probe, f"class bigint, embedding {kind}, lists array<int>").select(F.col("class").alias("query"), F.col("embedding").alias("q"), F.explode("lists").alias("list")))
     v = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks"))
-    q = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    blocks = F.broadcast(v.join(q, "list"))
-    left = coded.join(blocks, "list").withColumn("v", F.pmod(F.xxhash64("class"), F.col("v_blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    right = probed.join(blocks, "list").withColumn("b", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
     keys = ["list", "v", "b"]
 
     def search(key, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "ids": [], "score": []}
         if len(base) and len(queries):
-            index, rows, ask = shared.value, matrix(base["embedding"]), matrix(queries["q"])
+            index, rows, every = shared.value, matrix(base["embedding"]), queries["query"].tolist()
             packed = np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(base), -1)
-            low, high = index.bounds(unit(ask), int(key[0]), packed, base["length"].to_numpy(), base["fit"].to_numpy())
             n = min(k + 1, len(base))
-            kth = np.partition(low, len(base) - n, axis=1)[:, len(base) - n]
             norms, ids, least_id = np.sqrt((rows * rows).sum(1)), base["ids"].tolist(), base["class"].to_numpy()
-            for i, query in enumerate(queries["query"]):
-                pick = np.flatnonzero(high[i] >= kth[i])
-                score = (rows[pick] * ask[i]).sum(1) / (norms[pick] * np.sqrt((ask[i] * ask[i]).sum()))
-                for j in np.lexsort((least_id[pick], -score))[: k + 1]:
-                    out["query"].append(query)
-                    out["ids"].append(ids[pick[j]])
-                    out["score"].append(score[j])
+            for start in range(0, len(every), AT_ONCE):
+                ask = matrix(queries["q"].iloc[start : start + AT_ONCE])
+                low, high = index.bounds(unit(ask), int(key[0]), packed, base["length"].to_numpy(), base["fit"].to_numpy())
+                kth = np.partition(low, len(base) - n, axis=1)[:, len(base) - n]
+                for i, query in enumerate(every[start : start + AT_ONCE]):
+                    pick = np.flatnonzero(high[i] >= kth[i])
+                    score = (rows[pick] * ask[i]).sum(1) / (norms[pick] * np.sqrt((ask[i] * ask[i]).sum()))
+                    for j in np.lexsort((least_id[pick], -score))[: k + 1]:
+                        out["query"].append(query)
+                        out["ids"].append(ids[pick[j]])
+                        out["score"].append(score[j])
         return pd.DataFrame(out)
 
-    hits = left.select(*keys, "embedding", "ids", "class", "code", "length", "fit").groupBy(*keys).cogroup(right.select(*keys, "query", "q").groupBy(*keys)).applyInPandas(search, "query bigint, ids array<bigint>, score double")
+    def searched(probed: DataFrame) -> DataFrame:
+        """Hits of (query, q, list): lists and their queries in blocks. The numbers of blocks, at most MOST_LISTS rows, are
+        broadcast."""
+        q = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
+        blocks = F.broadcast(v.join(q, "list"))
+        left = coded.join(blocks, "list").withColumn("v", F.pmod(F.xxhash64("class"), F.col("v_blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+        right = probed.join(blocks, "list").withColumn("b", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
+        left, right = left.select(*keys, "embedding", "ids", "class", "code", "length", "fit"), right.select(*keys, "query", "q")
+        return written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query bigint, ids array<bigint>, score double"))
+
+    hits = searched(probed)
+    held = classes.agg(F.sum(F.size("ids"))).first()[0]
+    short = asked.select(F.col("class").alias("query"), F.col("embedding").alias("q")).join(hits.groupBy("query").agg(F.sum(F.size("ids")).alias("n")), "query", "left")
+    short = written(short.where(F.coalesce("n", F.lit(0)) < min(k + 1, held)).select("query", "q"))
+    if not short.isEmpty():
+        again = searched(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(found[0].centroids) - 1)))))
+        hits = hits.join(short, "query", "left_anti").unionByName(again)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = hits.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "score", "vec_id")
     own = wanted.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query"))

@@ -63,6 +63,25 @@ def test_documents(spark):
     assert sum(r.size for r in rows) / sum({r.sequence_id: r.bin_length for r in rows}.values()) > 0.6
 
 
+def test_sequences_in_tokens(spark):
+    import public_tokenizers
+
+    from strandloom.llm import bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    tokens = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).cache()
+    ids = {r.doc_id: r.ids for r in tokens.collect()}
+    packed = K.best_fit(tokens, size_col="n_tokens", text_col=None).cache()
+    check(packed.collect(), {k: len(v) for k, v in ids.items()}, K.LENGTHS)
+    rebuilt = {}
+    for r in K.sequences(packed).collect():
+        assert [p.offset for p in r.pieces] == [sum(q.size for q in r.pieces[:k]) for k in range(len(r.pieces))]
+        assert r.used == sum(p.size for p in r.pieces) <= r.bin_length
+        for p in r.pieces:
+            rebuilt.setdefault(p.doc_id, {})[p.start] = ids[p.doc_id][p.start : p.start + p.size]
+    assert {k: sum((v[s] for s in sorted(v)), []) for k, v in rebuilt.items()} == {k: v for k, v in ids.items() if v}
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (None, "a b", 7), (None, "a b", 7), (3, "w " * 10_000, 1)], "doc_id bigint, text string, shard int")
     rows = K.best_fit(df).collect()

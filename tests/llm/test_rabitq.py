@@ -47,6 +47,20 @@ def test_copies_and_ties(spark):
     assert {q: [a for a, _ in v] for q, v in search(spark, rows).items()} == {q: [a for a, _ in v] for q, v in brute(rows).items()}
 
 
+def test_short_lists_are_made_up_for(spark, monkeypatch):
+    """Outliers alone in their lists, with one list probed, still get k neighbours; doubles keep their precision."""
+    monkeypatch.setattr(R.Index, "fitted", lambda self, sample, k: 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(16) * 0.05 + (np.eye(16)[0] if i % 40 else np.eye(16)[1 + i // 40 % 15])]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = R.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
+    counts = {q: sum(r.query_id == q for r in out) for q in range(0, 1200, 50)}
+    assert set(counts.values()) == {5}
+    v = np.array([x for _, x in rows])
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    assert all(r.score == pytest.approx(v[r.query_id] @ v[r.vec_id], abs=1e-13) for r in out)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     rows = R.unit(rng.standard_normal((2000, 64)))
