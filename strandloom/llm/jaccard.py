@@ -20,6 +20,10 @@ with those of other components. Pairs in one component need no comparison, so a
 costs about m comparisons, and no link between different components is missed. A pair is first bounded by bitmaps of both
 sets (an element of one whose bit the other lacks can't be common), then compared exactly on the sets.
 
+Hot keys. A list, a pivot, a class of copies or a component may be very large. What is counted for each of these is
+combined before it is shuffled and written as a table, so that every join on such a key is one of two plain tables, whose
+large partitions adaptive execution splits; no join waits in one task for an aggregation on the same key.
+
 Defined results: a text without words (null, empty, blank) has an empty set, no links, and is its own component; fewer
 words than the n-gram make one element, the whole sequence; equal sets are linked; every row gives a row, repeated rows
 too; rows without an id are linked but don't give a component its id (it is null if no member has one); whole texts are
@@ -29,6 +33,7 @@ read; an empty table gives no rows; other columns are ignored. n-grams are compa
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BATCH_ROWS, arrow_schema, table, written
+from .common import BATCH_ROWS, arrow_schema, discard, table, written
 
 #: Sets in a list from which on its element counts as frequent; most frequent elements that are broadcast.
 FREQUENT, MOST_FREQUENT = 32, 500_000
@@ -230,7 +235,7 @@ def repeated(posted: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for all nodes of links (a, b). Least neighbours, then labels of labels,
-    which halves the distances; each round is written to the shared folder."""
+    which halves the distances; each round is written to the shared folder, and the one before is removed."""
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
@@ -238,9 +243,23 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         after = written(step.join(jump, "to").select("node", "old", F.least("to", "far").alias("label")))
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("label <> old").isEmpty():
-            return labels
+            discard(edges)
+            return after.select("node", "label")
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows for what is run within, as a row may hold a long text or two sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Linker:
@@ -253,8 +272,6 @@ class Linker:
         some = self.docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_TEXTS)
         self.n_docs = self.docs.count()
         self.small = boundary([r[0] for r in some], self.n_docs, size, percent) if some else 0
-        # Batches of few rows, as a row may hold a long text or two sets.
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def frequent(self) -> np.ndarray:
         """Hashes of frequent elements (and leading pairs), sorted; at most MOST_FREQUENT."""
@@ -282,6 +299,7 @@ class Linker:
             while sum(n for power, n in steps.items() if 2 ** (power + 1) > least) > MOST_FREQUENT - len(hot):
                 least *= 2
             more = [r[0] for r in counts.where(F.col("c") >= least).select("sig").toLocalIterator()]
+            discard(counts)
             hot = np.union1d(hot, np.array(more, np.int64).view(np.uint64))
         return hot
 
@@ -309,7 +327,8 @@ class Linker:
 
     def sets_of(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, set_key, elements) of the classes with these keys, from one text of each."""
-        one = rows.join(keys.distinct(), "key", "left_semi").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+        keys = written(keys.distinct())
+        one = rows.join(keys, "key", "left_semi").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
         slot = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SLOTS))
         words = one.select(F.pmod(F.xxhash64("r.doc_id", "r.text_key"), F.lit(SLOTS)).alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
         bits = np.zeros(SLOTS // 64, np.int64)
@@ -336,12 +355,13 @@ class Linker:
 
         texts = self.docs.withColumn("slot", slot).mapInArrow(wanted, struct)
         found = map_sets(texts.select("text"), each, "key bigint, set_key binary, elements binary", self.size, self.percent)
-        return written(found.join(keys.distinct(), "key", "left_semi").dropDuplicates(["set_key"]))
+        out = written(found.join(keys, "key", "left_semi").dropDuplicates(["set_key"]))
+        discard(keys)
+        return out
 
-    def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, rows: DataFrame, bits: DataFrame) -> DataFrame:
         """Of pairs of keys (x, y), the linked pairs of sets (a, b): bounded by bitmaps, then compared exactly."""
         percent = self.percent
-        bits = rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"])
         both = pairs.join(bits.toDF("x", "n", "p"), "x").join(bits.toDF("y", "m", "q"), "y").select("x", "y", "n", "m", "p", "q")
 
         def possible(batches):
@@ -365,7 +385,9 @@ class Linker:
                     ok.append(100 * common >= percent * (len(p) + len(q) - common))
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[:2], names=["a", "b"])
 
-        return left.join(a, "x").join(b, "y").select("a", "b", "ea", "eb").mapInArrow(exact, "a binary, b binary")
+        out = written(left.join(a, "x").join(b, "y").select("a", "b", "ea", "eb").mapInArrow(exact, "a binary, b binary"))
+        discard(left, sets)
+        return out
 
     def fits(self, m: str, n: str):
         """Whether sizes allow a link."""
@@ -374,25 +396,31 @@ class Linker:
     def scored(self, lists: DataFrame) -> DataFrame:
         """The lists with an order in which members come that share most with others: the sum of the sizes of all their
         lists. An original precedes its edited copies, which are more like it than like each other."""
-        sizes = lists.groupBy("sig").agg(F.count("*").alias("m"))
+        sizes = written(lists.groupBy("sig").agg(F.count("*").alias("m")))
         score = lists.join(sizes, "sig").groupBy("key").agg((-F.sum("m")).alias("score"))
-        return lists.join(score, "key").select("sig", "key", "n", F.struct("score", F.xxhash64("key").alias("h")).alias("o"))
+        out = written(lists.join(score, "key").select("sig", "key", "n", F.struct("score", F.xxhash64("key").alias("h")).alias("o")))
+        discard(lists, sizes)
+        return out
 
     def pivot_pairs(self, lists: DataFrame) -> DataFrame:
         """Each list member with the pivot of its list and size band; the pivot order is the same in all lists."""
         band = F.floor(F.log("n") / math.log(100 / self.percent)).cast("int") if self.percent < 100 else F.col("n")
         banded = lists.withColumn("band", band)
-        pivots = banded.groupBy("sig", "band").agg(F.min(F.struct("o", "key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-        near = banded.join(pivots.select("sig", "band", F.col("p.key").alias("y"), F.col("p.n").alias("m")), ["sig", "band"])
-        return near.where((F.col("key") != F.col("y")) & self.fits("n", "m")).select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct()
+        pivots = written(banded.groupBy("sig", "band").agg(F.min(F.struct("o", "key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("sig", "band", F.col("p.key").alias("y"), F.col("p.n").alias("m")))
+        near = banded.join(pivots, ["sig", "band"])
+        out = written(near.where((F.col("key") != F.col("y")) & self.fits("n", "m")).select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct())
+        discard(pivots)
+        return out
 
     def spanning(self, lists: DataFrame, links: DataFrame) -> DataFrame:
         """(sig, key, n, o, label, main): the lists that span components, with the component that has most of each."""
         labels = components(links).select(self.key_of("node").alias("key"), self.key_of("label").alias("label")).groupBy("key").agg(F.min("label").alias("label"))
         named = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
         counts = named.groupBy("sig", "label").agg(F.count("*").alias("c"))
-        mains = counts.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("m.label").alias("main"))
-        return written(named.join(mains, "sig"))
+        mains = written(counts.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("m.label").alias("main")))
+        out = written(named.join(mains, "sig"))
+        discard(mains)
+        return out
 
     def possible(self) -> Column:
         """Whether bitmaps p and q of sizes m and n leave a link possible; those of different length are left for later."""
@@ -400,10 +428,9 @@ class Linker:
         common = F.least(F.col("m") - missing("p", "q"), F.col("n") - missing("q", "p"))
         return F.when(F.size("p") == F.size("q"), common * 100 >= (F.col("m") + F.col("n") - common) * self.percent).otherwise(True)
 
-    def rest_pairs(self, spanning: DataFrame, rows: DataFrame) -> DataFrame:
+    def rest_pairs(self, spanning: DataFrame, bits: DataFrame) -> DataFrame:
         """Members outside of a list's main component with members of other components, as far as bitmaps allow it."""
-        bits = rows.where("bits IS NOT NULL").select("key", "bits").dropDuplicates(["key"])
-        spanning = written(spanning.join(bits, "key"))
+        spanning = spanning.join(bits.select("key", "bits"), "key")
         rest = spanning.where("label <> main").select(F.col("sig").alias("list"), F.col("key").alias("x"), F.col("n").alias("m"), F.col("label").alias("lx"), F.col("bits").alias("p"))
         every = spanning.select("sig", F.col("key").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), F.col("bits").alias("q"))
         same = F.col("lx") == F.col("ly")
@@ -412,11 +439,17 @@ class Linker:
 
     def links(self, rows: DataFrame) -> DataFrame:
         """Links (a, b) between different sets that connect what is connected."""
-        lists = written(self.scored(written(self.lists(rows))))
-        pairs = written(self.pivot_pairs(lists))
-        found = written(self.linked(pairs, rows))
-        rest = written(self.rest_pairs(self.spanning(lists, found), rows).join(pairs, ["x", "y"], "left_anti"))
-        return found if rest.isEmpty() else found.unionByName(written(self.linked(rest, rows)))
+        bits = written(rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"]))
+        lists = self.scored(written(self.lists(rows)))
+        pairs = self.pivot_pairs(lists)
+        found = self.linked(pairs, rows, bits)
+        spanning = self.spanning(lists, found)
+        rest = written(self.rest_pairs(spanning, bits).join(pairs, ["x", "y"], "left_anti"))
+        discard(lists, pairs, spanning)
+        if not rest.isEmpty():
+            found = found.unionByName(self.linked(rest, rows, bits))
+        discard(rest, bits)
+        return found
 
     @staticmethod
     def key_of(set_key: str):
@@ -427,12 +460,15 @@ class Linker:
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that is reachable by links."""
     linker = Linker(docs, size, percent, id_col, text_col)
-    rows = written(linker.rows())
-    labels = components(linker.links(rows)).select(F.col("node").alias("set_key"), "label")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    named = classes.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", F.col("set_key")))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.select("set_key", "label").join(least, "label").select("set_key", "component_id")
+    with small_batches(docs.sparkSession):
+        rows = written(linker.rows())
+        labels = components(linker.links(rows)).select(F.col("node").alias("set_key"), "label")
+        classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+        linked = written(labels.join(classes, "set_key"))
+        least = written(linked.groupBy("label").agg(F.min("least").alias("of_links")))
+        by_links = linked.join(least, "label").select("set_key", "of_links", F.lit(True).alias("links"))
+        by_set = written(classes.join(by_links, "set_key", "left").select("set_key", F.when(F.col("links"), F.col("of_links")).otherwise(F.col("least")).alias("component_id")))
+        discard(linked, least)
     out = rows.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

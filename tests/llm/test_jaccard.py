@@ -108,6 +108,23 @@ def test_boundary_follows_costs():
     assert J.boundary(unlike, 300, 5, 80) < J.boundary(alike, 3000, 5, 80)
 
 
+def test_boundary_at_scale(spark):
+    """Both branches are in use on the tenth-scale table; the boundary of the smaller one is 0, so that it has lists alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    linker = J.Linker(docs, 5, 80, "doc_id", "text")
+    sizes = [len(s) for s in J.shingle_sets([r.text for r in docs.select("text").collect()], 5, J.Tokens())]
+    pairs, lists = sum(1 < n <= linker.small for n in sizes), sum(100 * n > 80 * linker.small for n in sizes)
+    assert 10 <= linker.small <= J.MOST_SMALL and pairs > 100 and lists > 5000
+    assert J.Linker(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 5, 80, "doc_id", "text").small == 0
+
+
+def test_session_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert J.similar_documents(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).count() == 1
+    assert spark.conf.get(name) == before
+
+
 def test_edge_rows(spark):
     text = " ".join(f"t{k}" for k in range(50))
     docs = [(1, None), (2, ""), (3, " \n"), (None, text), (4, text + " x"), (4, text + " x"), (None, "lone words here"), (5, "a b"), (6, "A  b"), (7, "a c"), (8, text * 3000)]
@@ -124,6 +141,8 @@ def test_one_of_each_when_partitions_change(spark, tmp_path, monkeypatch):
     spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
     size, real = iter(range(10**6)), J.written
 
+    monkeypatch.setattr(J, "discard", lambda *_: None)
+
     def changed(df):
         out = real(df)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(1500 + 1500 * (next(size) % 5)))
