@@ -6,13 +6,16 @@ them, as sorted arrays, to the segment of their hash; a segment adds them up. A
 level until one is absent gives the quantised count back. A pair's probability is smoothed with the word's (Dirichlet
 prior of weight `MU`), all from probed counts.
 
-The filter grows with the corpus. It is broadcast only while its measured size is at most `MOST_FILTER_BYTES`; beyond, it
-stays in its segments: blocks of texts send their distinct n-grams to the segments, where they are counted and then probed
-in the segment's bits by the same code, and the levels go back to the block. So scores are the same at every size. A bound
-of 0 asks for no filter: levels then come from a join with the exact table of quantised counts, which no size leads to.
+The filter grows with the corpus, in segments sized on the number of words of all training texts. It is broadcast only
+while its measured size is at most `MOST_FILTER_BYTES`; beyond, it stays in its segments: blocks of texts send their
+distinct n-grams to the segments, each once for a block however frequent it is, where they are counted and then probed in
+the segment's bits by the same code, and the levels go back to the block. So scores are the same at every size.
 Exact counts for the base score: at most `MOST_HEAVY` frequent words are broadcast (the threshold rises until that
 holds), and the rarer words of each text are joined, in which no key is frequent.
 
+A pair's probability is that of counts which are quantised and may be found too high, so that a context's
+probabilities sum to about 1, not exactly; it is a score.
+
 Tokens are the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case, then one end.
 
 Defined results: a null or empty text is the end alone; every row gives a row, repeated rows too; a row without an id is
@@ -44,8 +47,8 @@ MU = 3000.0
 CHUNK, SEGMENT = 3_000_000, 3_000_000
 #: Text bytes of a block, about; n-grams for each byte of the bound from which on blocks are made without measuring first.
 BLOCK_BYTES, CLEARLY = 8 << 20, 8
-#: Rows on which the number of segments is estimated.
-SAMPLE_ROWS = 500
+#: Words of a text.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _MUL, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
@@ -165,8 +168,8 @@ def log_probabilities(tokens: np.ndarray, n: np.ndarray, model, total: int, dist
     return np.log10((pair + MU * alone) / (context + MU))
 
 
-def counted(docs: DataFrame, power: int, with_table: bool) -> DataFrame:
-    """One row for each segment: its filter, its words with exact counts, and, if asked for, all its n-grams' levels."""
+def counted(docs: DataFrame, power: int) -> DataFrame:
+    """One row for each segment: its filter, and its words with exact counts."""
     sent = StructType.fromDDL("segment bigint, grams binary, counts binary")
     target = arrow_schema(sent)
 
@@ -205,10 +208,10 @@ def counted(docs: DataFrame, power: int, with_table: bool) -> DataFrame:
         word = (grams & _ONE) == 0
         return pd.DataFrame({
             "segment": [part["segment"].iloc[0]], "bits": [filter_of(grams, level).tobytes()], "words": [grams[word].tobytes()], "word_counts": [counts[word].tobytes()],
-            "tokens": [int(counts[word].sum())], "distinct": [int(word.sum())], "grams": [grams.tobytes() if with_table else b""], "levels": [level.astype(np.uint8).tobytes() if with_table else b""]})
+            "tokens": [int(counts[word].sum())], "distinct": [int(word.sum())]})
 
     rows = docs.select("text").mapInArrow(send, sent)
-    return rows.groupBy("segment").applyInPandas(add_up, "segment bigint, bits binary, words binary, word_counts binary, tokens bigint, distinct bigint, grams binary, levels binary")
+    return rows.groupBy("segment").applyInPandas(add_up, "segment bigint, bits binary, words binary, word_counts binary, tokens bigint, distinct bigint")
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -314,18 +317,16 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     most_filter_bytes = MOST_FILTER_BYTES if most_filter_bytes is None else most_filter_bytes
     most_heavy = MOST_HEAVY if most_heavy is None else most_heavy
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    some = [len((r[0] or "").split()) + 1 for r in docs.select("text").take(SAMPLE_ROWS)]
-    grams = 2 * docs.count() * sum(some) / max(1, len(some))
+    train = docs.where(~F.col("held_out"))
+    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint") + 1
+    grams = 2 * (docs.agg(F.sum(tokens)).first()[0] or 0)
     power = min(30, max(0, math.ceil(math.log2(max(1.0, grams / SEGMENT)))))
 
-    if most_filter_bytes == 0:
-        docs = written(docs)  # row numbers meet again in a join
-    train = docs.where(~F.col("held_out"))
     blocks = None
-    if most_filter_bytes == 0 or grams <= CLEARLY * most_filter_bytes:
-        segments = written(counted(train, power, False))
+    if grams <= CLEARLY * most_filter_bytes:
+        segments = written(counted(train, power))
         filter_bytes = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    if most_filter_bytes and (grams > CLEARLY * most_filter_bytes or filter_bytes > most_filter_bytes):
+    if grams > CLEARLY * most_filter_bytes or filter_bytes > most_filter_bytes:
         blocks = written(blocks_of(docs))
         both = written(counted_blocks(blocks, power))
         segments, replies = both.where("block IS NULL"), both.where("block IS NOT NULL").select("block", "segment", "levels")
@@ -389,18 +390,9 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             return pa.Table.from_batches([scores_of(p, memo, lambda _, tokens, n: log_probabilities(tokens, n, model, total, distinct)) for p in parts], target)
 
         scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(of_block, schema)
-    elif most_filter_bytes:
+    else:
         model = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in segments.select("segment", "bits").toLocalIterator()}, power))
         scored = mapped(docs.select("doc_id", "held_out", "row", "text"), lambda _, tokens, n: log_probabilities(tokens, n, model.value, total, distinct))
-    else:
-        source = with_levels(docs, unpacked(written(counted(train, power, True)), "grams", "levels", np.uint8, "l"))
-
-        def one_by_one(part, tokens, n):
-            return np.concatenate([
-                log_probabilities(tokens[a : a + k], np.array([k]), Table(*(np.array([x[f] for x in known or ()], np.int64).view(np.uint64 if f == "h" else np.int64) for f in "hl")), total, distinct)
-                for a, k, known in zip(np.cumsum(n) - n, n, part.column(4).to_pylist())])
-
-        scored = mapped(source.select("doc_id", "held_out", "row", "text", "known"), one_by_one)
     floor = math.log10(total + distinct + 1)
     if not all_heavy:
         scored = written(scored)
@@ -416,24 +408,6 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     )
 
 
-def with_levels(docs: DataFrame, table_: DataFrame) -> DataFrame:
-    """Rows with the levels of their own n-grams, by a join with the table of quantised counts (h, l)."""
-    schema = StructType.fromDDL("row bigint, h bigint")
-    target = arrow_schema(schema)
-
-    def probes(batches):
-        np.seterr(over="ignore")
-        memo = Tokens()
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, n = tokens_of([text], memo)
-                h = np.unique(np.concatenate([tokens, pairs_of(tokens, n)[1]])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row)), pa.array(h)], schema=target)
-
-    found = docs.select("row", "text").mapInArrow(probes, schema).join(table_, "h").groupBy("row").agg(F.collect_list(F.struct("h", "l")).alias("known"))
-    return docs.join(found, "row", "left")
-
-
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     return lm_scores(table(spark, sf_dir, "documents"), held_out)

@@ -72,12 +72,6 @@ def test_filter_on_documents(spark, docs, most_heavy):
         assert a[6] == pytest.approx(b[6], rel=0.03, abs=0.5)
 
 
-def test_join_beyond_the_bound(spark, docs):
-    found, truth = run(spark, docs, most_filter_bytes=0)
-    for a, b in zip(found, truth, strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-
-
 @pytest.mark.parametrize("clearly", [1, 10**9])
 def test_same_scores_on_both_sides_of_the_bound(spark, docs, monkeypatch, clearly):
     monkeypatch.setattr(M, "SEGMENT", 20_000)
@@ -90,6 +84,22 @@ def test_same_scores_on_both_sides_of_the_bound(spark, docs, monkeypatch, clearl
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
 
 
+def test_segments_are_sized_on_all_texts(spark, monkeypatch):
+    """Short texts first, long ones last: segments are as many as all words ask for, and a word of all texts is no hot key."""
+    sent = []
+    monkeypatch.setattr(M, "SEGMENT", 5000)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 50_000)
+    real = M.counted_blocks
+    monkeypatch.setattr(M, "counted_blocks", lambda blocks, power: sent.append((blocks.count(), power)) or real(blocks, power))
+    docs = [(k, "a") for k in range(3000)] + [(k, " ".join(f"the w{(k * 7 + j) % 5000}" for j in range(400))) for k in range(3000, 3100)]
+    beyond, truth = run(spark, docs, most_filter_bytes=1, most_heavy=50)
+    blocks, power = sent[0]
+    assert blocks > 4 and 2 ** power * 5000 >= 2 * sum(t[2] for t in truth) > 2 ** (power - 1) * 5000
+    below, _ = run(spark, docs, most_heavy=50)
+    for a, b, c in zip(below, beyond, truth, strict=True):
+        assert a[:5] == b[:5] == c[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+
+
 def test_filter_has_all_levels_and_few_others():
     rng = np.random.default_rng(0)
     np.seterr(over="ignore")
