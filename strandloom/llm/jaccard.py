@@ -437,10 +437,9 @@ class Linker:
         met = rest.join(every, (F.col("list") == F.col("sig")) & ~same & (F.col("in_main") | (F.col("x") < F.col("y"))) & self.fits("m", "n") & self.possible())
         return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    def links(self, rows: DataFrame) -> DataFrame:
+    def links(self, rows: DataFrame, lists: DataFrame, bits: DataFrame) -> DataFrame:
         """Links (a, b) between different sets that connect what is connected."""
-        bits = written(rows.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"]))
-        lists = self.scored(written(self.lists(rows)))
+        lists = self.scored(lists)
         pairs = self.pivot_pairs(lists)
         found = self.linked(pairs, rows, bits)
         spanning = self.spanning(lists, found)
@@ -461,8 +460,11 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id: the least id that is reachable by links."""
     linker = Linker(docs, size, percent, id_col, text_col)
     with small_batches(docs.sparkSession):
-        rows = written(linker.rows())
-        labels = components(linker.links(rows)).select(F.col("node").alias("set_key"), "label")
+        wide = written(linker.rows())
+        lists, bits = written(linker.lists(wide)), written(wide.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"]))
+        rows = written(wide.select("doc_id", "text_key", "key", "set_key", "n"))
+        discard(wide)
+        labels = components(linker.links(rows, lists, bits)).select(F.col("node").alias("set_key"), "label")
         classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
         linked = written(labels.join(classes, "set_key"))
         least = written(linked.groupBy("label").agg(F.min("least").alias("of_links")))
