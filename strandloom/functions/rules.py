@@ -70,58 +70,102 @@ def first_match(text: Column, rules: Rules, default: str = "general") -> Column:
     return out.otherwise(F.lit(default))
 
 
+def once(value: Column, then) -> Column:
+    """An expression of a value that is evaluated once, however often the expression has it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def flat(text: Column) -> Column:
+    """Lower case, white space collapsed."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+
+
 def all_matches(text: Column, rules: Rules) -> Column:
     """Names of all rules that match the lower-case, space-collapsed text, in the rules' order."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    return F.filter(F.array(*[F.when(low.rlike("(?d)" + pattern), F.lit(name)) for name, pattern in rules]), lambda x: x.isNotNull())
+    return once(flat(text), lambda low: F.array_compact(F.array(*[F.when(low.rlike("(?d)" + pattern), F.lit(name)) for name, pattern in rules])))
 
 
 def tags(text: Column, rules: Rules, section: Column) -> Column:
     """All matching tags, and the section's own tag if it is not general and absent."""
-    found = all_matches(text, rules)
-    return F.when(section == "general", found).otherwise(F.array_union(found, F.array(section)))
+    return once(all_matches(text, rules), lambda found: F.when(section == "general", found).otherwise(F.array_union(found, F.array(section))))
+
+
+# Patterns over lower-case text of the signs of a chunk's contents.
+HINT_RULES: Rules = (
+    ("money", r"₹|rs\.?\s*\d|rupees|\d+,\d{2,3},\d{3}|premium|sum\s*assured|annuity|surrender\s*value|fund\s*value|\bnav\b|lakh|crore|\d+(?:\.\d+)?\s*%"),
+    ("number", r"\d+(?:\.\d+)?\s*%|\d{1,3}(?:,\d{3})+|\d+\s*(?:lakh|crore)"),
+    ("age", r"(?:minimum|maximum|entry|maturity|vesting)\s+age|age\s+(?:at\s+)?(?:entry|maturity|vesting)|\d+\s*days?\s*\(completed\)|\d+\s*years?\s*\((?:completed|nearer\s+birthday)\)|age\s+range|age\s+limit|eligibility.*age|(?:minimum|maximum).*\d+\s*(?:years?|days?)|policy\s*term|premium\s*paying\s*term|ppt\s*[=:]"),
+    ("date", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*\d{1,2}"),
+    ("legal", r"section\s*\d+|irdai|irda|exclusion|clause|non.?disclosure|terms?\s*(?:and|&)\s*conditions?|regulatory|compliance"),
+    ("process", r"claim\s*(?:process|procedure|settlement)|how\s*to|step\s*\d|documents?\s*required|procedure|process\s*for"),
+)
+HINTS = dict(HINT_RULES)
+# Patterns of extracted fields.
+FIELDS = {
+    "plan_number": r"(?i)(?:plan|table)\s*(?:no\.?|number)\s*[:.]?\s*(\d{2,4})",
+    "uin": r"\b(\d{3}[A-Z]\d{3}[A-Z]\d{2})\b",
+    "age_range": r"(?i)(\d+)\s*(?:to|-)\s*(\d+)\s*(?:years?|yrs?)",
+    "age": r"(?i)(?:minimum|maximum|min\.?|max\.?|entry)\s*(?:age)?\s*[:.]?\s*(\d+)\s*(?:years?|yrs?)",
+    "money": r"(?i)(?:rs\.?|₹|inr)\s*([\d,]+(?:\.\d+)?)",
+    "lakh": r"(?i)(\d+(?:\.\d+)?)\s*lakh",
+    "crore": r"(?i)(\d+(?:\.\d+)?)\s*crore",
+    "terms": r"(?i)(\d+(?:\s*/\s*\d+)+)\s*(?:years?|yrs?)",
+    "term_range": r"(?i)(?:policy\s*term|ppt|premium\s*paying\s*term)\s*[:.]?\s*(\d+)\s*(?:to|-)\s*(\d+)\s*(?:years?|yrs?)",
+    "percent": r"(\d+(?:\.\d+)?)\s*%",
+}
+
+
+def signs(text: Column) -> Column:
+    """Which of the signs a text has: an array of their names."""
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(low.rlike("(?d)" + pattern), F.lit(name)) for name, pattern in HINT_RULES])))
 
 
 def hints(text: Column) -> Column:
     """Entity hints: numbers only where nothing financial, dates only where no duration."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    money = low.rlike(r"₹|rs\.?\s*\d|rupees|\d+,\d{2,3},\d{3}|premium|sum\s*assured|annuity|surrender\s*value|fund\s*value|\bnav\b|lakh|crore|\d+(?:\.\d+)?\s*%")
-    number = low.rlike(r"\d+(?:\.\d+)?\s*%|\d{1,3}(?:,\d{3})+|\d+\s*(?:lakh|crore)")
-    age = low.rlike(r"(?d)(?:minimum|maximum|entry|maturity|vesting)\s+age|age\s+(?:at\s+)?(?:entry|maturity|vesting)|\d+\s*days?\s*\(completed\)|\d+\s*years?\s*\((?:completed|nearer\s+birthday)\)|age\s+range|age\s+limit|eligibility.*age|(?:minimum|maximum).*\d+\s*(?:years?|days?)|policy\s*term|premium\s*paying\s*term|ppt\s*[=:]")
-    date = low.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*\d{1,2}")
-    legal = low.rlike(r"section\s*\d+|irdai|irda|exclusion|clause|non.?disclosure|terms?\s*(?:and|&)\s*conditions?|regulatory|compliance")
-    process = low.rlike(r"claim\s*(?:process|procedure|settlement)|how\s*to|step\s*\d|documents?\s*required|procedure|process\s*for")
-    parts = (("Financial", money), ("Numerical", number & ~money), ("Time/Duration", age), ("Date", date & ~age), ("Legal/Regulatory", legal), ("Process/Procedure", process))
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in parts]), lambda x: x.isNotNull())
+
+    def of(found: Column) -> Column:
+        has = lambda name: F.array_contains(found, name)
+        parts = (("Financial", has("money")), ("Numerical", has("number") & ~has("money")), ("Time/Duration", has("age")), ("Date", has("date") & ~has("age")), ("Legal/Regulatory", has("legal")), ("Process/Procedure", has("process")))
+        return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in parts]))
+
+    return once(signs(text), of)
 
 
 def plan_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?i)(?:plan|table)\s*(?:no\.?|number)\s*[:.]?\s*(\d{2,4})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, FIELDS["plan_number"], 1), F.lit(""))
 
 
 def uin(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"\b(\d{3}[A-Z]\d{3}[A-Z]\d{2})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, FIELDS["uin"], 1), F.lit(""))
+
 
+def every(text: Column, field: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(FIELDS[field]), F.lit(group))
 
-def pairs(text: Column, pattern: str, template: str) -> Column:
+
+def pairs(text: Column, field: str, template: str) -> Column:
     """All matches of a pattern of two groups, put into a template."""
-    a, b = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(a, b, lambda x, y: F.format_string(template, x, y))
+    return F.zip_with(every(text, field, 1), every(text, field, 2), lambda x, y: F.format_string(template, x, y))
 
 
 def age_ranges(text: Column) -> Column:
     """Sorted distinct age ranges and single ages."""
-    spans = pairs(text, r"(?i)(\d+)\s*(?:to|-)\s*(\d+)\s*(?:years?|yrs?)", "%s-%s years")
-    ages = F.regexp_extract_all(text, F.lit(r"(?i)(?:minimum|maximum|min\.?|max\.?|entry)\s*(?:age)?\s*[:.]?\s*(\d+)\s*(?:years?|yrs?)"), F.lit(1))
-    return F.array_sort(F.array_union(spans, F.transform(ages, lambda x: F.concat(x, F.lit(" years")))))
+    return F.array_sort(F.array_union(pairs(text, "age_range", "%s-%s years"), F.transform(every(text, "age"), lambda x: F.concat(x, F.lit(" years")))))
 
 
 def amounts(text: Column) -> Column:
     """Sorted distinct amounts of money, ten at most."""
-    prefixed = F.regexp_extract_all(text, F.lit(r"(?i)(?:rs\.?|₹|inr)\s*([\d,]+(?:\.\d+)?)"), F.lit(1))
-    counted = F.transform(F.array(F.lit("lakh"), F.lit("crore")), lambda u: F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"(?i)(\d+(?:\.\d+)?)\s*"), u), F.lit(1)), lambda x: F.concat_ws(" ", x, u)))
-    return F.slice(F.array_sort(F.array_union(F.transform(prefixed, lambda x: F.concat(F.lit("Rs. "), x)), F.flatten(counted))), 1, 10)
+    prefixed = F.transform(every(text, "money"), lambda x: F.concat(F.lit("Rs. "), x))
+    with_unit = lambda unit: F.transform(every(text, unit), lambda x: F.concat(x, F.lit(f" {unit}")))
+    counted = [with_unit("lakh"), with_unit("crore")]
+    return F.slice(F.array_sort(F.array_union(prefixed, F.concat(*counted))), 1, 10)
+
+
+def policy_terms(text: Column) -> Column:
+    """Sorted distinct terms: lists such as 15/20/25 years, as they are written, and ranges after a word for terms."""
+    lists = F.transform(F.regexp_extract_all(text, F.lit(FIELDS["terms"]), F.lit(0)), lambda x: F.btrim(x))
+    return F.array_sort(F.array_union(lists, pairs(text, "term_range", "%s-%s years")))
 
 
 def percentages(text: Column) -> Column:
-    return F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1)), 1, 10), lambda x: F.concat(x, F.lit("%")))
+    return F.transform(F.slice(every(text, "percent"), 1, 10), lambda x: F.concat(x, F.lit("%")))

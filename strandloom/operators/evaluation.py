@@ -64,5 +64,3 @@ def histogram(df: DataFrame, size: Column) -> DataFrame:
         bucket = F.when((size >= low) & (size < high), F.lit(low)).otherwise(bucket)
     return df.select(bucket.alias("low")).where("low IS NOT NULL").groupBy("low").agg(F.count("*").alias("n"))
 
-
-__all__ = ["citations", "grounding", "histogram", "hit_metrics", "keyword_overlap", "refuses", "verdict"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,9 @@ def condition(df: DataFrame, key: str, value, strict: bool) -> Column | None:
         bounds = [(OPERATORS[k], v) for k, v in value.items() if k in OPERATORS]
         if key in DATE_KEYS:
             stamp = column.cast("timestamp").cast("double")
-            return reduce(Column.__and__, [getattr(stamp, op)(F.try_to_timestamp(F.lit(v)).cast("double")) for op, v in bounds]) if bounds else None
+            for _, v in bounds:
+                datetime.fromisoformat(str(v))  # a bound that is no date raises, rather than match no row
+            return reduce(Column.__and__, [getattr(stamp, op)(F.to_timestamp(F.lit(str(v))).cast("double")) for op, v in bounds]) if bounds else None
         return reduce(Column.__and__, [getattr(column, op)(F.lit(v)) for op, v in bounds]) if bounds else None
     if many:
         if strict:
@@ -32,6 +35,28 @@ def condition(df: DataFrame, key: str, value, strict: bool) -> Column | None:
     return column.isin(list(value)) if isinstance(value, (list, tuple)) else column == F.lit(value)
 
 
+# Keys of filters that always hold, and of those that may be loosened.
+HARD_KEYS = ("plan_name", "plan_number", "source", "category")
+SOFT_KEYS = ("section_type", "content_type", "chunk_tags", "contains_age_info", "contains_currency", "plan_type", "premium_type", "document_date")
+
+
+def split_filter(conditions: dict, always: tuple[str, ...] = ("project_ids",)) -> tuple[dict, dict]:
+    """The hard and the soft part of a filter. Keys of `always` (tenants) stay in both, so that no relaxation crosses
+    tenants; with always=() they vanish, as other unknown keys do."""
+    keep = {k: v for k, v in conditions.items() if k in always}
+    pick = lambda keys: {k: v for k, v in conditions.items() if k in keys} | keep
+    return pick(HARD_KEYS), pick(SOFT_KEYS)
+
+
+def temporal_presets(today: Column) -> dict[str, tuple[Column, Column | None]]:
+    """Named ranges of dates, relative to a given day: first and last day, the last open if null."""
+    year = F.trunc(today, "year")
+    return {
+        "last_30_days": (F.date_sub(today, 30), None), "last_90_days": (F.date_sub(today, 90), None), "this_year": (year, None),
+        "last_year": (F.add_months(year, -12), F.date_sub(year, 1)),
+    }
+
+
 def apply_filter(df: DataFrame, conditions: dict, strict: bool = False) -> DataFrame:
     """The rows that meet all conditions; an empty filter keeps all."""
     found = [c for k, v in conditions.items() if (c := condition(df, k, v, strict)) is not None]

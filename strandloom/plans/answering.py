@@ -42,11 +42,11 @@ def sub_queries(reply: Column, question: Column) -> Column:
     return F.when(F.array_contains(lines, question), lines).otherwise(F.array_prepend(lines, question))
 
 
-def retrieved(docs: DataFrame, questions: DataFrame, limit: int, models: Models) -> DataFrame:
+def retrieved(docs: DataFrame, questions: DataFrame, limit: int, models: Models, index: retrieval.SearchIndex | None = None) -> DataFrame:
     """(query_id, rank, doc_id, source, text, score, confidence): over-fetched, reranked, one row for each source and
     beginning, cut, with confidences, and without what follows the first low one."""
     asked = questions.where(allowed(F.col("question"), models)).select("query_id", "question", models.rewrite(F.col("question")).alias("text"))
-    hits = retrieval.bm25_search(docs, asked, 2 * limit, "query_id")
+    hits = retrieval.bm25_search(index or docs, asked, 2 * limit, "query_id")
     rows = hits.join(docs.select("doc_id", "source", F.col("text").alias("found")), "doc_id").join(asked.select("query_id", "question"), "query_id")
     rows = rows.withColumn("score", models.rerank(F.col("question"), F.col("found"), F.col("score")))
     order = [F.desc("score"), F.col("rank")]
@@ -55,9 +55,9 @@ def retrieved(docs: DataFrame, questions: DataFrame, limit: int, models: Models)
     return retrieval.confident_prefix(retrieval.confidence(cut)).select("query_id", "rank", "doc_id", "source", F.col("found").alias("text"), "score", "confidence")
 
 
-def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Models = Models()) -> DataFrame:
+def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Models = Models(), index: retrieval.SearchIndex | None = None) -> DataFrame:
     """One row for each question: allowed, answer, and its citations in order."""
-    rows = retrieved(docs, questions, limit, models)
+    rows = retrieved(docs, questions, limit, models, index)
     cited = rows.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source", "confidence"))).alias("citations"), F.min_by("text", "rank").alias("best"),
     )

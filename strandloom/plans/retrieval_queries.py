@@ -30,8 +30,12 @@ kn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, c.label AS label, round(
 """
 
 
+def index(spark, sf) -> retrieval.SearchIndex:
+    return retrieval.index_of(table(spark, sf, "documents"), f"{sf}/documents")
+
+
 def bm25(spark, sf, k=10) -> DataFrame:
-    return retrieval.bm25_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k)
+    return retrieval.bm25_search(index(spark, sf), table(spark, sf, "benchmark"), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5 AND score > 0")
@@ -41,10 +45,7 @@ def bm25_topk(spark, sf):
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, CAST(sum(tf) AS BIGINT) AS total FROM tf JOIN idf USING (term) GROUP BY term, df, idf")
 def bm25_corpus_stats(spark, sf):
-    docs = table(spark, sf, "documents")
-    index = retrieval.postings(docs)
-    totals = index.groupBy("term").agg(F.sum("tf").alias("total"))
-    return retrieval.inverse_frequencies(index, docs.count()).join(totals, "term").select("term", "df", F.round("idf", 6).alias("idf"), "total")
+    return index(spark, sf).weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"), "total")
 
 
 @query(f"WITH {TOP10} SELECT query_id, doc_id, score, rank FROM top JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr') AND n_chars >= 500")
@@ -81,9 +82,8 @@ top2 AS (SELECT * FROM by_len WHERE rank <= 10)
 
 def by_length(spark, sf) -> DataFrame:
     """A second ranking: shares of a document's words that a query has."""
-    index = retrieval.postings(table(spark, sf, "documents"))
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(search_tokens(F.col("text"))).alias("term")).distinct()
-    return retrieval.ranked(index.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") / F.col("dl")), 6).alias("score")), 10)
+    return retrieval.ranked(index(spark, sf).meet(terms).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") / F.col("dl")), 6).alias("score")), 10)
 
 
 FUSED = """
@@ -215,10 +215,10 @@ p AS (SELECT *, max(CASE WHEN confidence < 0.1 AND rank > 1 THEN 1 ELSE 0 END) O
 SELECT query_id, rank, doc_id, source, confidence FROM p WHERE low = 0""")
 def answer_context(spark, sf):
     """What an answer is given: reranked, deduplicated, cut where confidence falls."""
-    return answering.retrieved(table(spark, sf, "documents"), questions(spark, sf), 5, answering.Models()).select("query_id", "rank", "doc_id", "source", "confidence")
+    return answering.retrieved(table(spark, sf, "documents"), questions(spark, sf), 5, answering.Models(), index(spark, sf)).select("query_id", "rank", "doc_id", "source", "confidence")
 
 
 @query()
 def answer_events(spark, sf):
     """Event rows of streamed answers; their order and contents are held in the tests."""
-    return answering.events(answering.answers(table(spark, sf, "documents"), questions(spark, sf)))
+    return answering.events(answering.answers(table(spark, sf, "documents"), questions(spark, sf), index=index(spark, sf)))

@@ -81,29 +81,60 @@ def tag_coverage(spark, sf):
     return rows.withColumn("percent", F.round(100.0 * F.col("n") / docs.count(), 6))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(text), '₹|rs\.?\s*\d|rupees|\d+,\d{2,3},\d{3}|premium|sum\s*assured|annuity|surrender\s*value|fund\s*value|\bnav\b|lakh|crore|\d+(?:\.\d+)?\s*%') AS financial,
-regexp_matches(lower(text), '\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*\d{1,2}') AS date FROM documents WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id, regexp_matches(low, '{rules.HINTS["money"]}') AS financial, regexp_matches(low, '{rules.HINTS["number"]}') AND NOT regexp_matches(low, '{rules.HINTS["money"]}') AS numerical,
+regexp_matches(low, '{rules.HINTS["age"]}') AS duration, regexp_matches(low, '{rules.HINTS["date"]}') AND NOT regexp_matches(low, '{rules.HINTS["age"]}') AS date, regexp_matches(low, '{rules.HINTS["legal"]}') AS legal, regexp_matches(low, '{rules.HINTS["process"]}') AS process,
+regexp_matches(low, '{rules.HINTS["number"]}') AS contains_numbers, regexp_matches(low, '{rules.HINTS["date"]}') AS contains_date_info FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)""")
 def content_flags(spark, sf):
-    found = rules.hints(F.col("text"))
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_contains(found, "Financial").alias("financial"), F.array_contains(found, "Date").alias("date"))
+    """The six hints, and the flags of numbers and dates, which hints may suppress."""
+    found = table(spark, sf, "documents").select("doc_id", rules.hints(F.col("text")).alias("h"), rules.signs(F.col("text")).alias("s"))
+    names = (("financial", "Financial"), ("numerical", "Numerical"), ("duration", "Time/Duration"), ("date", "Date"), ("legal", "Legal/Regulatory"), ("process", "Process/Procedure"))
+    return found.select("doc_id", *[F.array_contains("h", label).alias(name) for name, label in names], F.array_contains("s", "number").alias("contains_numbers"), F.array_contains("s", "date").alias("contains_date_info"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%')) AS INTEGER) AS n_percent, array_to_string(list_transform(list_slice(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%', 1), 1, 10), lambda x: x || '%'), ',') AS percentages,
-array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:rs\.?|₹|inr)\s*([\d,]+(?:\.\d+)?)', 1), lambda x: 'Rs. ' || x))), ',') AS amounts,
-nullif(regexp_extract(text, '(?i)(?:plan|table)\s*(?:no\.?|number)\s*[:.]?\s*(\d{2,4})', 1), '') AS plan_number, nullif(regexp_extract(text, '\b(\d{3}[A-Z]\d{3}[A-Z]\d{2})\b', 1), '') AS uin FROM documents WHERE text IS NOT NULL""")
-def extract_fields(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").where("text IS NOT NULL").select(
-        "doc_id", F.regexp_count(t, F.lit(r"(\d+(?:\.\d+)?)\s*%")).alias("n_percent"), F.array_join(rules.percentages(t), ",").alias("percentages"), F.array_join(rules.amounts(t), ",").alias("amounts"), rules.plan_number(t).alias("plan_number"), rules.uin(t).alias("uin"))
+def _all(field: str, group: int = 1) -> str:
+    return f"regexp_extract_all(t, '{rules.FIELDS[field]}', {group})"
+
+
+def _range(field: str) -> str:
+    return f"list_transform(list_zip({_all(field, 1)}, {_all(field, 2)}), lambda p: p[1] || '-' || p[2] || ' years')"
 
 
-BLOCKS = """
-raw AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(h1|p|b|li)>(?:<a [^>]*>)?([^<]+)'), lambda x, i: {'idx': i - 1, 'x': x})) AS b FROM pages),
-bl AS (SELECT page_id, CAST(b.idx AS INTEGER) AS idx, regexp_extract(b.x, '<(h1|p|b|li)>', 1) AS tag, trim(regexp_replace(b.x, '^<(h1|p|b|li)>(?:<a [^>]*>)?', ''), ' ') AS content FROM raw),
-blk AS (SELECT *, CASE tag WHEN 'h1' THEN 1 WHEN 'b' THEN 2 ELSE 0 END AS level FROM bl WHERE content <> '')
+def _flags(rules_: rules.Rules) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{n}' END" for n, p in rules_) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(list_slice({_all("percent")}, 1, 10), lambda x: x || '%'), ',') AS percentages,
+array_to_string(list_slice(list_sort(list_distinct(list_concat(list_transform({_all("money")}, lambda x: 'Rs. ' || x), list_transform({_all("lakh")}, lambda x: x || ' lakh'), list_transform({_all("crore")}, lambda x: x || ' crore')))), 1, 10), ',') AS amounts,
+array_to_string(list_sort(list_distinct(list_concat({_range("age_range")}, list_transform({_all("age")}, lambda x: x || ' years')))), ',') AS age_ranges,
+array_to_string(list_sort(list_distinct(list_concat(list_transform({_all("terms", 0)}, lambda x: trim(x)), {_range("term_range")}))), ',') AS policy_terms,
+array_to_string({_flags(rules.BENEFIT_RULES)}, ',') AS benefit_types, array_to_string({_flags(rules.RIDER_RULES)}, ',') AS riders,
+nullif(regexp_extract(t, '{rules.FIELDS["plan_number"]}', 1), '') AS plan_number, nullif(regexp_extract(t, '{rules.FIELDS["uin"]}', 1), '') AS uin FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS low FROM documents)""")
+def extract_fields(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    t, listed = F.col("t"), lambda c, name: F.array_join(c, ",").alias(name)
+    return rows.select(
+        "doc_id", listed(rules.percentages(t), "percentages"), listed(rules.amounts(t), "amounts"), listed(rules.age_ranges(t), "age_ranges"), listed(rules.policy_terms(t), "policy_terms"),
+        listed(rules.all_matches(t, rules.BENEFIT_RULES), "benefit_types"), listed(rules.all_matches(t, rules.RIDER_RULES), "riders"), rules.plan_number(t).alias("plan_number"), rules.uin(t).alias("uin"),
+    )
+
+
+def _blocks() -> str:
+    x = f"regexp_replace(coalesce(html, ''), '{structure.DROPPED}', ' ', 'g')"
+    for pattern, to in ((structure.BOLD, "'\\1' || chr(1) || 'b' || chr(2) || '\\2' || chr(1) || 'p' || chr(2)"), (structure.CLOSE, "chr(1) || 'text' || chr(2)"), (structure.OPEN, "chr(1) || '\\1' || chr(2)"), (structure.INLINE, "''")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    for entity, char in structure.ENTITIES:
+        x = "replace({}, '{}', '{}')".format(x, entity, char.replace("'", "''"))
+    levels = " ".join(f"WHEN '{t}' THEN {n}" for t, n in structure.LEVELS)
+    return f"""
+raw AS (SELECT page_id, unnest(list_transform(string_split({x}, chr(1)), lambda x, i: {{'idx': i - 1, 'x': x}})) AS b FROM pages),
+bl AS (SELECT page_id, CAST(b.idx AS INTEGER) AS idx, CASE WHEN contains(b.x, chr(2)) THEN lower(string_split(b.x, chr(2))[1]) ELSE 'text' END AS tag, trim(regexp_replace(CASE WHEN contains(b.x, chr(2)) THEN string_split(b.x, chr(2))[2] ELSE b.x END, '\\s+', ' ', 'g'), ' ') AS content FROM raw),
+blk AS (SELECT *, CASE tag {levels} ELSE 0 END AS level FROM bl WHERE content <> '')
 """
 
 
+BLOCKS = _blocks()
+
+
 def _sections(top: int) -> str:
     return f"""
 num AS (SELECT *, level BETWEEN 1 AND {top} AS opens, CAST(sum(CASE WHEN level BETWEEN 1 AND {top} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY idx) AS BIGINT) AS section FROM blk),
@@ -121,11 +152,14 @@ def major_sections(spark, sf):
     return structure.sections(structure.blocks(table(spark, sf, "pages")), top=1)
 
 
-METRICS = """
-met AS (SELECT page_id, count(*) FILTER (level > 0) AS n_headings, CAST(max(level) AS INTEGER) AS depth, CAST(sum(length(content)) AS BIGINT) AS n_chars,
-  CAST(round(CAST(sum(CASE WHEN tag = 'li' THEN length(content) ELSE 0 END) AS DOUBLE) / sum(length(content)), 6) AS DOUBLE) AS list_coverage,
-  round(coalesce(avg(length(content)) FILTER (tag = 'p' AND length(content) > 50), 0.0), 6) AS mean_paragraph, round(CAST(sum(length(content)) AS DOUBLE) / greatest(count(*) FILTER (level > 0), 1), 6) AS mean_section,
-  CAST(sum(len(regexp_extract_all(content, '\\?'))) AS BIGINT) AS n_questions FROM blk GROUP BY page_id)
+_LISTED = f"(tag = 'li' OR regexp_matches(content, '{structure.LIST_LINE}'))"
+_QA = " + ".join(f"len(regexp_extract_all(string_agg(content, chr(10) ORDER BY idx), '(?im){p}'))" for p in structure.QA_LINES)
+METRICS = f"""
+met AS (SELECT page_id, count(*) FILTER (level > 0) AS n_headings, CAST(max(level) AS INTEGER) AS depth, count(*) FILTER (level = 1) AS n_level1, count(*) FILTER (level = 2) AS n_level2, count(*) FILTER (level = 3) AS n_level3,
+  CAST(sum(length(content)) AS BIGINT) AS n_chars, count(*) FILTER ({_LISTED}) AS n_lists, CAST(round(CAST(sum(CASE WHEN {_LISTED} THEN length(content) ELSE 0 END) AS DOUBLE) / sum(length(content)), 6) AS DOUBLE) AS list_coverage,
+  CAST(round(CAST(sum(CASE WHEN tag IN ('td', 'th') THEN length(content) ELSE 0 END) AS DOUBLE) / sum(length(content)), 6) AS DOUBLE) AS table_coverage,
+  round(coalesce(avg(length(content)) FILTER (level = 0 AND tag NOT IN ('li', 'td', 'th') AND length(content) > 50), 0.0), 6) AS mean_paragraph,
+  round(CAST(sum(length(content)) AS DOUBLE) / greatest(count(*) FILTER (level > 0), 1), 6) AS mean_section, CAST(({_QA}) // 2 AS BIGINT) AS n_qa FROM blk GROUP BY page_id)
 """
 
 
@@ -134,14 +168,26 @@ def doc_metrics(spark, sf):
     return structure.metrics(structure.blocks(table(spark, sf, "pages")))
 
 
-@query(f"""WITH {BLOCKS}, {METRICS}, s AS (SELECT *, n_questions // 2 AS qa, CASE WHEN n_questions // 2 >= 3 THEN 'qa' WHEN n_headings >= 3 AND depth >= 2 THEN 'hierarchical' WHEN list_coverage > 0.3 THEN 'list'
-WHEN mean_paragraph > 400 AND n_headings < 3 THEN 'narrative' WHEN n_headings > 0 THEN 'mixed' ELSE 'unknown' END AS structure, depth >= 2 AND n_headings >= 3 AND mean_section >= 500 AS deep FROM met)
-SELECT page_id, structure, round(CASE structure WHEN 'qa' THEN least(0.95, 0.6 + 0.05 * qa) WHEN 'hierarchical' THEN least(0.95, CAST(0.7 + 0.02 * n_headings AS DOUBLE)) WHEN 'list' THEN 0.75 WHEN 'narrative' THEN 0.75 WHEN 'mixed' THEN 0.55 ELSE 0.3 END, 6)::DOUBLE AS confidence,
-deep AS supports_hierarchy, CASE WHEN structure = 'qa' THEN 'qa' WHEN deep THEN 'hierarchical' WHEN structure = 'narrative' THEN 'semantic' ELSE 'structured' END AS chunker FROM s""")
+@query(f"""WITH {BLOCKS}, {METRICS}, s AS (SELECT *, CASE WHEN n_qa >= 3 THEN 'qa' WHEN table_coverage > 0.4 THEN 'tabular' WHEN n_headings >= 3 AND depth >= 2 THEN 'hierarchical' WHEN list_coverage > 0.3 THEN 'list'
+WHEN mean_paragraph > 400 AND n_headings < 3 THEN 'narrative' WHEN n_headings > 0 OR table_coverage > 0 THEN 'mixed' ELSE 'unknown' END AS structure, depth >= 2 AND n_headings >= 3 AND mean_section >= 500 AS deep FROM met),
+t AS (SELECT *, CASE WHEN structure = 'mixed' AND table_coverage > 0.15 THEN 'tabular' WHEN structure = 'mixed' AND depth >= 2 THEN 'hierarchical' WHEN structure = 'hierarchical' AND table_coverage > 0.2 THEN 'tabular' END AS secondary,
+  CASE WHEN structure = 'qa' OR (structure = 'tabular' AND NOT deep) THEN 1.5 ELSE 1.0 END::DOUBLE AS size_factor FROM s)
+SELECT page_id, structure, secondary, round(CASE structure WHEN 'qa' THEN least(0.95, 0.6 + 0.05 * n_qa) WHEN 'tabular' THEN 0.85 + least(0.1, (table_coverage - 0.4) / 2) WHEN 'hierarchical' THEN least(0.95, CAST(0.7 + 0.02 * n_headings AS DOUBLE)) WHEN 'list' THEN 0.75 WHEN 'narrative' THEN 0.75 WHEN 'mixed' THEN 0.55 ELSE 0.3 END, 6)::DOUBLE AS confidence,
+deep AS supports_hierarchy, CASE WHEN structure = 'qa' THEN 'qa' WHEN (structure = 'tabular' AND deep) OR (structure = 'hierarchical' AND coalesce(secondary = 'tabular', false)) OR structure = 'mixed' THEN 'hybrid_section' WHEN structure = 'tabular' THEN 'table_aware'
+WHEN structure = 'hierarchical' AND deep THEN 'hierarchical' WHEN structure = 'narrative' THEN 'semantic' ELSE 'structured' END AS chunker, size_factor, CAST(800 * size_factor AS INTEGER) AS chunk_size,
+concat_ws('; ', 'Structure: ' || structure, 'Pages: 1, Headings: ' || n_headings, CASE WHEN table_coverage > 0 THEN 'Tables: ' || CAST(round(100 * table_coverage) AS INTEGER) || '% coverage' END, CASE WHEN n_qa > 0 THEN 'Q&A pairs: ' || n_qa END,
+  CASE WHEN depth > 0 THEN 'Heading depth: ' || depth END, CASE WHEN deep THEN 'Supports parent-child chunking' END) AS notes FROM t""")
 def chunker_route(spark, sf):
     return structure.structure(structure.metrics(structure.blocks(table(spark, sf, "pages"))))
 
 
+@query(f"""WITH RECURSIVE {BLOCKS}, p AS (SELECT c.page_id, c.idx, h.idx AS h, h.level AS hl FROM blk c JOIN blk h ON c.page_id = h.page_id AND h.idx < c.idx AND h.level > 0 AND (c.level = 0 OR h.level < c.level)
+  WHERE NOT EXISTS (SELECT 1 FROM blk o WHERE o.page_id = c.page_id AND o.idx > h.idx AND o.idx < c.idx AND o.level > 0 AND o.level <= h.level))
+SELECT b.page_id, b.idx, max(p.h) AS parent_idx, CAST(count(DISTINCT hl) AS INTEGER) AS depth FROM blk b LEFT JOIN p ON p.page_id = b.page_id AND p.idx = b.idx GROUP BY 1, 2""")
+def heading_parents(spark, sf):
+    return structure.parents(structure.blocks(table(spark, sf, "pages")))
+
+
 @query(f"WITH {BLOCKS}, {_sections(3)} SELECT b.page_id, b.idx, min(section) AS section FROM blk b JOIN sec s ON b.page_id = s.page_id AND b.idx BETWEEN start_idx AND end_idx WHERE b.tag = 'li' GROUP BY 1, 2")
 def section_range_join(spark, sf):
     rows = structure.blocks(table(spark, sf, "pages"))
@@ -165,7 +211,6 @@ def context_anti_join(spark, sf):
 
 
 
-
 @query()
 def recursive_chunks(spark, sf):
     """Order-dependent splitting; its invariants are held in the tests."""

@@ -14,7 +14,9 @@ def upsert(new: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the table at `path` lacks; ids are hashes of contents, so equal keys are equal rows."""
     try:
         known = new.sparkSession.read.parquet(path).select(key)
-    except AnalysisException:
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = None
     fresh = new.dropDuplicates([key])
     (fresh if known is None else fresh.join(known, key, "left_anti")).write.mode("append").parquet(path)

@@ -110,3 +110,48 @@ def test_grounding(spark):
 def test_verdicts(spark):
     df = spark.createDataFrame([(None, False, 0.0), (0.6, False, 0.0), (0.2, True, 1.0), (0.4, False, 1.0), (0.4, True, 0.05), (0.4, True, 0.5)], "t double, m boolean, o double")
     assert [r[0] for r in df.select(evaluation.verdict(F.col("t"), F.col("m"), F.col("o"))).collect()] == ["NO_RESULTS", "RELEVANT", "LOW_SIMILARITY", "WRONG_PLAN", "WRONG_SECTION", "UNCERTAIN"]
+
+
+def test_blocks_hold_all_text(spark):
+    html = """<html><head><title>no</title></head><body class="a">start<nav><ul><li><a href="/x">one</a> more</li></ul></nav><h1 id="t">Big <i>title</i></h1>after
+    <script>var t="</p>";</script><P style="x">some <b>bold</b> and <a href="#">linked</a> text &amp; &lt;more&gt;<br>next<!-- <p>no</p> --></P><p><strong>Head</strong> rest</p>
+    <table><tr><th>a</th><td>b <em>c</em></td></tr></table><h3>Deep</h3><div>loose</div>end</body></html>"""
+    rows = structure.blocks(spark.createDataFrame([(1, html), (2, None), (3, "plain")], "page_id bigint, html string")).orderBy("page_id", "idx").collect()
+    assert [(r.tag, r.level, r.content) for r in rows if r.page_id == 1] == [
+        ("body", 0, "start"), ("li", 0, "one more"), ("h1", 1, "Big title"), ("text", 0, "after"), ("p", 0, "some bold and linked text & <more>next"), ("b", 2, "Head"), ("p", 0, "rest"),
+        ("th", 0, "a"), ("td", 0, "b c"), ("h3", 3, "Deep"), ("div", 0, "loose"), ("text", 0, "end"),
+    ]
+    assert [(r.page_id, r.tag, r.content) for r in rows if r.page_id > 1] == [(3, "text", "plain")]
+
+
+def test_parents(spark):
+    levels = [0, 1, 0, 3, 0, 2, 0, 3, 1, 0, 2]
+    rows = spark.createDataFrame([(1, k, n) for k, n in enumerate(levels)], "page_id bigint, idx int, level int")
+    found = {r.idx: (r.parent_idx, r.depth) for r in structure.parents(rows).collect()}
+    assert found == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (3, 2), 5: (1, 1), 6: (5, 2), 7: (5, 2), 8: (None, 0), 9: (8, 1), 10: (8, 1)}
+
+
+def test_routing(spark):
+    base = dict(n_headings=0, depth=0, n_chars=4000, list_coverage=0.0, table_coverage=0.0, mean_paragraph=100.0, mean_section=600.0, n_qa=0, n_pages=1, landscape=False, font=12.0)
+    cases = [
+        (dict(n_pages=10, landscape=True), ("slide", None, "structured", 2.0)), (dict(n_pages=10, font=20.0), ("slide", None, "structured", 2.0)), (dict(n_pages=2, landscape=True, font=20.0), ("unknown", None, "structured", 1.0)),
+        (dict(n_qa=3), ("qa", None, "qa", 1.5)), (dict(table_coverage=0.5), ("tabular", None, "table_aware", 1.5)), (dict(table_coverage=0.5, n_headings=3, depth=2), ("tabular", None, "hybrid_section", 1.0)),
+        (dict(n_headings=3, depth=2), ("hierarchical", None, "hierarchical", 1.0)), (dict(n_headings=3, depth=2, mean_section=100.0), ("hierarchical", None, "structured", 1.0)),
+        (dict(n_headings=3, depth=2, table_coverage=0.3), ("hierarchical", "tabular", "hybrid_section", 1.0)), (dict(list_coverage=0.4), ("list", None, "structured", 1.0)), (dict(mean_paragraph=500.0), ("narrative", None, "semantic", 1.0)),
+        (dict(n_headings=1, depth=1, table_coverage=0.2), ("mixed", "tabular", "hybrid_section", 1.0)), (dict(n_headings=1, depth=2), ("mixed", "hierarchical", "hybrid_section", 1.0)),
+    ]
+    df = spark.createDataFrame([(k, *{**base, **c}.values()) for k, (c, _) in enumerate(cases)], ["page_id", *base])
+    found = {r.page_id: (r.structure, r.secondary, r.chunker, r.size_factor) for r in structure.structure(df).collect()}
+    assert found == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_filter_split_and_presets(spark):
+    import datetime as dt
+
+    assert filters.split_filter({"plan_name": "a", "section_type": "b", "x": 1, "project_ids": ["p"]}) == ({"plan_name": "a", "project_ids": ["p"]}, {"section_type": "b", "project_ids": ["p"]})
+    assert filters.split_filter({"plan_name": "a", "project_ids": ["p"]}, ()) == ({"plan_name": "a"}, {})
+    found = spark.range(1).select(*[F.struct(*[(F.lit(None).cast("date") if x is None else x).alias(n) for n, x in zip("ab", v)]).alias(k) for k, v in filters.temporal_presets(F.lit("2024-03-15").cast("date")).items()]).first()
+    D = dt.date
+    assert (found.last_30_days.a, found.this_year.a, found.last_year.a, found.last_year.b) == (D(2024, 2, 14), D(2024, 1, 1), D(2023, 1, 1), D(2023, 12, 31)) and found.this_year.b is None
+    with pytest.raises(ValueError):
+        filters.apply_filter(spark.createDataFrame([("2024-01-01",)], "date string"), {"date": {"gte": "yesterday"}})
