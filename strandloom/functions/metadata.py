@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions import rules
+
 # Display names of section types.
 DISPLAY = (
     ("eligibility", "Eligibility Criteria"), ("benefits", "Benefits & Features"), ("premium", "Premium Payment"), ("sum_assured", "Sum Assured"), ("policy_term", "Policy Term"),
@@ -18,6 +20,21 @@ GENERIC = (
 )
 
 
+# Patterns of plan names, plan types in order, keywords.
+PLAN_NAMES = (
+    r"jeevan\s*(?:utsav|labh|akshay|shanti|umang|tarun|anand)", r"bima\s*(?:ratna|shree|kavach|bachat|jyoti)", r"nivesh\s*plus", r"amritbaal", r"index\s*plus", r"smart\s*pension", r"saral\s*(?:pension|jeevan)",
+)
+PLAN_TYPES = (
+    ("Whole Life", r"whole\s*life|lifelong"), ("Endowment", r"endowment|savings\s*plan"), ("Money Back", r"money\s*back|survival\s*benefit"), ("Term Insurance", r"term\s*(?:insurance|assurance|plan)"),
+    ("Pension/Annuity", r"pension|annuity|retirement"), ("ULIP", r"ulip|unit\s*linked|market\s*linked|nav"), ("Child Plan", r"child|amritbaal|minor"),
+)
+KEYWORDS = (
+    "death benefit", "maturity benefit", "survival benefit", "guaranteed addition", "loyalty addition", "bonus", "premium waiver", "tax benefit", "loan facility", "surrender value", "paid-up", "revival",
+)
+# Vocabularies of filters.
+CATEGORIES = ("Policy", "Circular", "SOP", "Manual", "Report", "Sales Brochure", "Claim Guide", "FAQ", "Other")
+
+
 def titled(name: Column) -> Column:
     """A name like sum_assured in words with capitals (names of letters and underscores)."""
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
@@ -73,3 +90,46 @@ def chunk_title(text: Column, header: Column, tags: Column, hints: Column, plan:
     short = F.when(F.length(whole) > 100, F.concat(F.substring(whole, 1, 97), F.lit("..."))).otherwise(whole)
     none = F.when(section != "general", display_name(section)).otherwise(F.concat(F.lit("Section "), (index + 1).cast("string")))
     return F.when(base.isNull(), none).otherwise(short)
+
+
+def document_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFrame:
+    """doc_id, plan_name, plan_type, category, keywords (7 at most), plan_number, uin by rules, without a model. The plan
+    is sought in the file name, then in the beginning of the text; a document about no single plan has the name of its
+    file."""
+    low_file, text = F.lower(file_col), F.col(text_col)
+    low, head, start = F.lower(text), F.lower(F.substring(text, 1, 2000)), F.lower(F.substring(text, 1, 5000))
+    plan = F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in PLAN_NAMES for x in (low_file, head)])
+    kind = F.coalesce(*[F.when(start.rlike(p), F.lit(n)) for n, p in PLAN_TYPES])
+    words = F.transform(F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in KEYWORDS])), 1, 7), F.initcap)
+    generic = generic_category(F.col(file_col))
+    category = F.when(low_file.rlike("brochure|sales"), "Sales Brochure").when(F.contains(low_file, F.lit("claim")), "Claim Guide").when(F.contains(low_file, F.lit("grievance")), "Support").otherwise("Policy")
+    first = F.substring(text, 1, 5000)
+    return docs.select(
+        "doc_id", F.when(generic.isNotNull(), document_title(F.col(file_col))).otherwise(F.initcap(F.replace(plan, F.lit("  "), F.lit(" ")))).alias("plan_name"), kind.alias("plan_type"),
+        F.coalesce(generic, category).alias("category"), words.alias("keywords"), rules.plan_number(first).alias("plan_number"), rules.uin(first).alias("uin"),
+    )
+
+
+def fallback_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFrame:
+    """What stands in where a model fails: the file name as plan name, number and uin by rules, and empty fields."""
+    first = F.substring(F.col(text_col), 1, 5000)
+    empty = [F.lit(None).cast("string").alias(k) for k in ("plan_type", "premium_type", "target_audience", "document_date", "effective_date", "notification_date", "membership_type", "participation_type", "risk_classification")]
+    lists = [F.array().cast("array<string>").alias(k) for k in ("keywords", "key_benefits", "organizations", "persons_mentioned")]
+    name = F.translate(F.replace(F.col(file_col), F.lit(".pdf"), F.lit("")), "_-", "  ")
+    return docs.select("doc_id", name.alias("plan_name"), rules.plan_number(first).alias("plan_number"), rules.uin(first).alias("uin"), F.lit("Other").alias("category"), F.lit("").alias("summary"), *empty, *lists)
+
+
+def payloads(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_index, total, chunk, section_type, tags) with the metadata of their document, inherited where
+    they have none of their own, with title, prefix and neighbours. One document's row meets all of its chunks."""
+    own = {"plan_number": rules.plan_number(F.col("chunk")), "uin": rules.uin(F.col("chunk"))}
+    docs = documents.select("doc_id", *[F.col(c).alias(f"doc_{c}") for c in ("plan_name", "plan_type", "plan_number", "uin", "category")])
+    rows = chunks.withColumns(own).join(docs, "doc_id")
+    for name in own:
+        rows = rows.withColumn(name, F.coalesce(name, f"doc_{name}"))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "title": chunk_title(F.col("chunk"), F.lit(None).cast("string"), F.col("tags"), none, F.col("doc_plan_name"), F.col("section_type"), F.col("chunk_index")),
+        "prefix": context_prefix(F.col("doc_plan_name"), F.col("doc_plan_type"), F.col("section_type"), F.lit(1)), "n_chars": F.length("chunk"),
+        "prev_index": F.when(F.col("chunk_index") > 0, F.col("chunk_index") - 1), "next_index": F.when(F.col("chunk_index") < F.col("total") - 1, F.col("chunk_index") + 1),
+    })
