@@ -133,6 +133,28 @@ def parents(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", "idx", F.coalesce(*[open_(k) for k in range(top, 0, -1)]).alias("parent_idx"), depth.alias("depth"))
 
 
+# Lines of sections of questions; section types that are chunked with their parents.
+FAQ_LINES = (r"^\s*(?:Q[\s.:]*\d*|Question)[:.\s]+", r"^\s*\d+\.\s+.+\?\s*$", r"faq|frequently\s+asked")
+WITH_PARENTS = ("benefits", "death_benefit", "maturity_benefit", "survival_benefit", "bonus", "rider", "loan", "surrender", "exclusions", "eligibility")
+
+
+def section_patterns(rows: DataFrame, section_rules) -> DataFrame:
+    """Major sections (levels 1 and 2) with their type and the way in which each is best chunked."""
+    found = sections(rows, top=2)
+    inner = rows.join(found.select("page_id", "section", "start_idx", "end_idx"), "page_id").where(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    inner = inner.groupBy("page_id", "section").agg(F.count_if(F.col("level") >= 3).alias("n_deep"), F.sum(F.when(F.col("tag").isin(*CELLS), F.length("content")).otherwise(0)).alias("n_cells"))
+    both = found.join(inner, ["page_id", "section"])
+    text, chars = F.col("text"), F.length("text")
+    faq = [F.regexp_count(text, F.lit("(?imd)" + p)) for p in FAQ_LINES]
+    by_heading = section_rules(F.coalesce("heading", F.lit("")))
+    both = both.withColumn("section_type", F.when(by_heading != "general", by_heading).otherwise(section_rules(F.substring(text, 1, 500))))
+    pattern = (
+        F.when(sum(faq[1:], faq[0]) >= 3, "qa").when(F.col("section_type").isin(*WITH_PARENTS) & (chars > CHUNK_SIZE), "hierarchical").when(F.col("n_cells") > 0.5 * chars, "tabular")
+        .when((F.col("n_deep") >= 2) & (chars > CHUNK_SIZE), "hierarchical").otherwise("narrative")
+    )
+    return both.select("page_id", "section", "heading", "text", "section_type", pattern.alias("pattern"))
+
+
 def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
 
@@ -152,15 +174,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "idx", F.when(F.col("idx") > 0, F.col("idx") - 1).alias("prev_idx"), F.when(F.col("idx") < F.col("n") - 1, F.col("idx") + 1).alias("next_idx"), F.length("sentence").alias("n_chars"))
 
 
-def packed(parts: Column, size: int = CHUNK_SIZE) -> Column:
+def packed(parts: Column, size: int | Column = CHUNK_SIZE, overlap: int = 2) -> Column:
     """Greedy packing of sentences into chunks of `size` characters (spaces between don't count); a new chunk begins with
-    the last two sentences of the one before."""
+    the last `overlap` sentences of the one before."""
     text = F.array().cast("array<string>")
     start = F.struct(text.alias("done"), text.alias("now"), F.lit(0).alias("n"))
 
     def step(acc, s):
         full = (acc["n"] + F.length(s) > size) & (F.size(acc["now"]) > 0)
-        kept = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - 1, F.lit(1)), 2)
+        kept = F.slice(acc["now"], F.greatest(F.size(acc["now"]) + 1 - overlap, F.lit(1)), overlap)
         kept_n = F.aggregate(kept, F.lit(0), lambda a, x: a + F.length(x))
         return F.when(full, F.struct(F.array_append(acc["done"], F.array_join(acc["now"], " ")).alias("done"), F.array_append(kept, s).alias("now"), (kept_n + F.length(s)).alias("n"))).otherwise(
             F.struct(acc["done"].alias("done"), F.array_append(acc["now"], s).alias("now"), (acc["n"] + F.length(s)).alias("n")))

@@ -220,3 +220,63 @@ def recursive_chunks(spark, sf):
 @query()
 def structured_chunks(spark, sf):
     return chunking.structured_chunks(table(spark, sf, "pages"))
+
+
+@query()
+def semantic_chunks(spark, sf):
+    """Segments of unlike sentences, by the hashing embedder; held against a plain version in the tests."""
+    return chunking.semantic_chunks(table(spark, sf, "documents"))
+
+
+@query()
+def layout_chunks(spark, sf):
+    return chunking.layout_chunks(table(spark, sf, "documents"))
+
+
+@query()
+def question_chunks(spark, sf):
+    return chunking.question_chunks(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"))
+
+
+@query()
+def table_chunks(spark, sf):
+    return chunking.table_chunks_of(table(spark, sf, "documents"))
+
+
+@query()
+def hierarchical_chunks(spark, sf):
+    """Sections with parents and children; held against a plain recursion in the tests."""
+    return chunking.hierarchical_chunks(structure.blocks(table(spark, sf, "pages")))
+
+
+@query()
+def smart_chunks(spark, sf):
+    """Every page by its own chunker."""
+    return chunking.smart_chunks(table(spark, sf, "pages"))
+
+
+@query(f"WITH {BLOCKS}, {METRICS}, s AS (SELECT *, depth >= 2 AND n_headings >= 3 AND mean_section >= 500 AS deep, CASE WHEN n_qa >= 3 THEN 'qa' WHEN table_coverage > 0.4 THEN 'tabular' WHEN n_headings >= 3 AND depth >= 2 THEN 'hierarchical' WHEN list_coverage > 0.3 THEN 'list' WHEN mean_paragraph > 400 AND n_headings < 3 THEN 'narrative' WHEN n_headings > 0 OR table_coverage > 0 THEN 'mixed' ELSE 'unknown' END AS k FROM met) "
+       "SELECT k AS structure, deep, count(*) AS n_pages, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM s GROUP BY 1, 2")
+def structures(spark, sf):
+    """Pages and characters of each structure."""
+    m = structure.metrics(structure.blocks(table(spark, sf, "pages")))
+    found = structure.structure(m).join(m.select("page_id", "n_chars"), "page_id")
+    return found.groupBy("structure", F.col("supports_hierarchy").alias("deep")).agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("n_chars"))
+
+
+_FAQ = " + ".join(f"len(regexp_extract_all(text, '(?im){p}'))" for p in structure.FAQ_LINES)
+_WITH_PARENTS = ", ".join(f"'{s}'" for s in structure.WITH_PARENTS)
+
+
+def _typed(column: str) -> str:
+    return _first(rules.SECTION_RULES).replace("low", f"trim(lower({column}), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+@query(f"""WITH {BLOCKS}, {_sections(2)}, n AS (SELECT s.page_id, s.section, count(*) FILTER (b.level >= 3) AS n_deep, sum(CASE WHEN b.tag IN ('td', 'th') THEN length(b.content) ELSE 0 END) AS n_cells FROM sec s JOIN blk b ON b.page_id = s.page_id AND b.idx BETWEEN start_idx AND end_idx GROUP BY 1, 2),
+t AS (SELECT page_id, section, heading, text, n_deep, n_cells, {_typed("coalesce(heading, '')")} AS by_heading, {_typed("substr(text, 1, 500)")} AS by_text FROM sec JOIN n USING (page_id, section)),
+u AS (SELECT *, CASE WHEN by_heading <> 'general' THEN by_heading ELSE by_text END AS section_type FROM t)
+SELECT page_id, section, heading, section_type, CASE WHEN {_FAQ} >= 3 THEN 'qa' WHEN section_type IN ({_WITH_PARENTS}) AND length(text) > 800 THEN 'hierarchical' WHEN n_cells > 0.5 * length(text) THEN 'tabular' WHEN n_deep >= 2 AND length(text) > 800 THEN 'hierarchical' ELSE 'narrative' END AS pattern FROM u""")
+def section_patterns(spark, sf):
+    """How each major section is chunked."""
+    found = structure.section_patterns(structure.blocks(table(spark, sf, "pages")), lambda text: rules.first_match(text, rules.SECTION_RULES))
+    return found.select("page_id", "section", "heading", "section_type", "pattern")
