@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 # Abbreviations whose full stop does not end a sentence, and what they become in a sentence.
 ABBREVIATIONS = (("Rs.", "Rs"), ("Dr.", "Dr"), ("Mr.", "Mr"), ("Mrs.", "Mrs"), ("No.", "No"), ("Sr.", "Sr"), ("Jr.", "Jr"), ("vs.", "vs"), ("i.e.", "ie"), ("e.g.", "eg"), ("etc.", "etc"))
 # Words that don't count as keywords.
-STOPWORDS = tuple(
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can of in to for with on at by from as or and if it its this that not no but so than".split()
-)
+STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "of", "in", "to", "for",
+    "with", "on", "at", "by", "from", "as", "or", "and", "if", "it", "its", "this", "that", "not", "no", "but", "so", "than",
+)
 MARK = "\x01"
 
 
+def embedding_text(text: Column, prefix: str = "") -> Column:
+    """What is embedded of a text: new lines as spaces; of a question, after the prefix that its model wants."""
+    return F.concat(F.lit(prefix), F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9; all else separates."""
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda x: x != "")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from strandloom.functions import rules
 from strandloom.functions.text import sentences
@@ -251,6 +251,12 @@ def semantic_udf(parts: pd.Series) -> pd.Series:
     return parts.map(lambda x: semantic(list(x)))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def embed_udf(texts: pd.Series) -> pd.Series:
+    """Vectors of texts by the hashing embedder."""
+    return pd.Series(list(hashed_vectors(texts.fillna("").tolist())))
+
+
 @F.pandas_udf(LAYOUT)
 def layout_udf(lines: pd.Series) -> pd.Series:
     """Of (line, kind, whether it marks a page)."""

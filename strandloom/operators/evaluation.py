@@ -12,11 +12,11 @@ SIZES = (0, 100, 400, 800, 1200, 2000, 5000)
 # Phrases of a refusal.
 REFUSALS = ("i don't have sufficient information", "not in the provided documents", "no information in the provided", "cannot answer", "not available in the context")
 # Words that don't count in a sentence's grounding.
-GROUNDING_STOPWORDS = tuple(
-    "the a an is are was were be been of to in for on with at by from and or not this that it its as can will may if has have had do does did but no so up out all also than then into over such only very just about which their there these those they them we you your under plan policy shall should would could per".split()
-)
-
-
+GROUNDING_STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "of", "to", "in", "for", "on", "with", "at", "by", "from", "and", "or", "not", "this", "that", "it", "its", "as", "can", "will", "may",
+    "if", "has", "have", "had", "do", "does", "did", "but", "no", "so", "up", "out", "all", "also", "than", "then", "into", "over", "such", "only", "very", "just", "about", "which", "their", "there",
+    "these", "those", "they", "them", "we", "you", "your", "under", "plan", "policy", "shall", "should", "would", "could", "per",
+)
 # Plan names and categories by which a question is about a document, in order.
 PLANS = (
     "jeevan utsav", "jeevan umang", "jeevan akshay", "jeevan shanti", "bima shree", "bima ratna", "bima kavach", "bima jyoti", "amritbaal", "index plus", "nivesh plus", "new pension plus", "smart pension",

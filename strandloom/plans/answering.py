@@ -23,12 +23,14 @@ NO_CONTEXT = "No relevant passages were found."
 @dataclass(frozen=True)
 class Models:
     """Plug-ins. gate: whether a question is allowed (null fails open); rewrite: the text that is searched for;
-    rerank: a score from question, text and prior score; generate: an answer from question and context."""
+    rerank: a score from question, text and prior score; generate: an answer from question and context; critic: a better
+    answer from question and answer, null where there is nothing to correct. A null answer is a failure."""
 
     gate: Callable[[Column], Column] = lambda q: F.lit(None).cast("boolean")
     rewrite: Callable[[Column], Column] = lambda q: q
     rerank: Callable[[Column, Column, Column], Column] = lambda q, text, score: score
     generate: Callable[[Column, Column], Column] = lambda q, best: F.element_at(sentences(best), 1)
+    critic: Callable[[Column, Column], Column] = lambda q, answer: F.lit(None).cast("string")
 
 
 def allowed(question: Column, models: Models) -> Column:
@@ -63,13 +65,18 @@ def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Model
     )
     every = questions.withColumn("allowed", allowed(F.col("question"), models)).join(cited, "query_id", "left")
     answer = F.when(F.col("allowed") & F.col("best").isNotNull(), models.generate(F.col("question"), F.col("best"))).otherwise(F.lit(NO_CONTEXT))
-    return every.select("query_id", "allowed", answer.alias("answer"), F.coalesce("citations", F.slice("citations", 1, 0), F.array().cast("array<struct<rank:int,doc_id:bigint,source:string,confidence:double>>")).alias("citations"))
+    every = every.withColumn("answer", answer)
+    return every.select("query_id", "allowed", "answer", models.critic(F.col("question"), F.col("answer")).alias("correction"), F.coalesce("citations", F.slice("citations", 1, 0), F.array().cast("array<struct<rank:int,doc_id:bigint,source:string,confidence:double>>")).alias("citations"))
 
 
 def events(found: DataFrame) -> DataFrame:
-    """The rows of streamed answers, in order: metadata, citations, a token for each word, done."""
+    """The rows of streamed answers, in order: metadata, citations, a token for each word, a correction if there is one,
+    done; an error in the place of tokens where there is no answer."""
     event = lambda kind, data: F.struct(F.lit(kind).alias("type"), data.alias("data"))
     tokens = F.transform(F.filter(F.split("answer", " "), lambda x: x != ""), lambda x: event("token", x))
     head = F.array(event("metadata", F.to_json(F.struct("allowed"))), event("citations", F.to_json("citations")))
-    rows = found.select("query_id", F.posexplode(F.concat(head, tokens, F.array(event("done", F.lit(""))))).alias("seq", "e"))
+    none = F.slice(head, 1, 0)
+    body = F.when(F.col("answer").isNull(), F.array(event("error", F.lit("no answer")))).otherwise(tokens)
+    correction = F.when(F.col("correction").isNotNull(), F.array(event("correction", F.col("correction")))).otherwise(none)
+    rows = found.select("query_id", F.posexplode(F.concat(head, body, correction, F.array(event("done", F.lit(""))))).alias("seq", "e"))
     return rows.select("query_id", "seq", "e.type", "e.data")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.text import keyword_overlap
-from strandloom.operators import evaluation, filters, retrieval
+from strandloom.functions.text import embedding_text, keyword_overlap
+from strandloom.operators import chunking, evaluation, filters, retrieval
 from strandloom.plans.quality_queries import _KEYWORDS, RELEVANT, judged
 from strandloom.plans.registry import Registry, table
 from strandloom.plans.retrieval_queries import BM25, FUSED, LENGTHS, TOP10, bm25, by_length, index
@@ -127,3 +127,12 @@ def hybrid_filtered(spark, sf):
         retrieval.rrf([retrieval.vector_search(points, queries, 3 * limit), filters.apply_filter(words, {"lang": ["en", "de"]}, strict=True)], 2 * limit),
         docs.select("doc_id", F.col("text").alias("found")), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), F.round(keyword_overlap(F.col("question"), F.col("found")), 6), limit,
     )
+
+
+@query()
+def embedded_search(spark, sf):
+    """Vector search over embedded texts, by the hashing embedder in the place of a model."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    points = docs.select("doc_id", chunking.embed_udf(embedding_text(F.col("text"))).alias("v"))
+    queries = items.select(F.col("item_id").alias("query_id"), chunking.embed_udf(embedding_text(F.col("text"))).alias("q"))
+    return retrieval.vector_search(points, queries, 5).select("query_id", "doc_id", "score", "rank")

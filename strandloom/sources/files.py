@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,45 @@ def category_of(folder: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("General")).otherwise(F.regexp_replace(trimmed, "/+", " > "))
 
 
-def parsed_text(files: DataFrame) -> DataFrame:
-    """name, text of plain-text and HTML files; other kinds need a parser of their own and are left out."""
-    text = F.decode("content", "UTF-8")
-    html = F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
-    return files.where(F.col("extension").isin(".txt", ".html")).select("name", "path", F.when(F.col("extension") == ".html", html).otherwise(text).alias("text"))
+def listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """path, size and time of change of the files below a path, without reading them."""
+    return scan(spark, path, extensions).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+
+
+def plain(content: Column) -> Column:
+    return F.decode(content, "UTF-8")
+
+
+def without_tags(content: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(plain(content), r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
+
+
+#: Parsers of contents by extension; parsers of other kinds (a pandas UDF of binary contents, say) are added to them.
+PARSERS: dict[str, Callable[[Column], Column]] = {".txt": plain, ".html": without_tags}
+
+
+def parsed_text(files: DataFrame, parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """name, path, text of files, by the parser of each extension; a file without a parser raises."""
+    text = F.raise_error(F.concat(F.lit("no parser for "), F.col("path"))).cast("string")
+    for extension, parser in (PARSERS if parsers is None else parsers).items():
+        text = F.when(F.col("extension") == extension, parser(F.col("content"))).otherwise(text)
+    return files.select("name", "path", text.alias("text"))
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """question, expected, plan of a question sheet, CSV with a header or Parquet."""
+    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {"sample questions": "question", "expected answers": "expected", "plan": "plan"}
+    return questions(rows.select(*[F.col(f"`{c}`").cast("string").alias(names.get(c.strip().lower(), c.strip().lower())) for c in rows.columns]))
+
+
+def export_results(results: DataFrame, path: str, nested: str = "retrieved_chunks") -> None:
+    """Results as nested JSON, and one CSV row for each element of their nested array."""
+    results.write.mode("overwrite").json(f"{path}/json")
+    flat = results.select(*[c for c in results.columns if c != nested], F.explode_outer(nested).alias("_element"))
+    fields = results.schema[nested].dataType.elementType.names
+    out = flat.select("*", *[F.col(f"_element.{f}").alias(f if f not in flat.columns else f"{nested}_{f}") for f in fields]).drop("_element")
+    out.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
 def questions(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,12 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = files.scan(spark, str(tmp_path))
     assert sorted(r.name for r in found.collect()) == ["c.PDF", "x.txt", "x.txt", "y.html"]
-    once = files.parsed_text(files.one_of_each_name(found))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path)).where("size > 0 AND last_modified IS NOT NULL").collect()) == ["c.PDF", "x.txt", "x.txt", "y.html"]
+    with pytest.raises(Exception, match="no parser for"):
+        files.parsed_text(found).collect()
+    pdf = files.PARSERS | {".pdf": lambda content: F.concat(F.lit("parsed "), F.decode(content, "UTF-8"))}
+    assert files.parsed_text(found.where("extension = '.pdf'"), pdf).first().text == "parsed pdf"
+    once = files.parsed_text(files.one_of_each_name(found).where("extension <> '.pdf'"))
     assert sorted((r.name, r.text.strip()) for r in once.collect()) == [("x.txt", "one"), ("y.html", "hi")]
 
 
@@ -32,6 +37,17 @@ def test_questions(spark):
     assert files.questions(df).count() == 1
 
 
+def test_sheets_and_exports(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Sample Questions,Expected Answers,Plan\n"What, so?",yes,a\n,x,b\nnan,y,c\n')
+    rows = files.read_questions(spark, str(tmp_path / "q.csv"))
+    assert [tuple(r) for r in rows.collect()] == [("What, so?", "yes", "a")]
+    spark.createDataFrame([("q", "HIT", [(1, "s", 0.5), (2, "t", 0.25)]), ("r", "MISS", [])], "question string, status string, retrieved_chunks array<struct<rank:int,source:string,score:double>>").createOrReplaceTempView("results")
+    files.export_results(spark.table("results"), str(tmp_path / "out"))
+    flat = spark.read.option("header", True).csv(str(tmp_path / "out/csv")).collect()
+    assert sorted((r.question, r.rank, r.source) for r in flat if r.rank) == [("q", "1", "s"), ("q", "2", "t")] and len(flat) == 3
+    assert spark.read.json(str(tmp_path / "out/json")).count() == 2
+
+
 def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k in range(2):
