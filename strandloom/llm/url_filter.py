@@ -6,8 +6,9 @@ the entries that were active when it was fetched.
 
 The join is on (host, first segment): the few thousand intervals that concern a distinct place are brought together once
 per place, so that captures are joined by one equality, one row to one row at most, and pick their active entries from
-an array. A host with a third of all captures is a skewed left side of an outer join, which adaptive execution splits;
-the distinct places are counted with map-side combining. The array of a place is bounded by the history of its patterns.
+an array. The places' arrays are written first, so that a host with a third of all captures is the left side of a join of
+two plain tables, which adaptive execution splits, or needs no shuffle at all where the arrays are small; the distinct
+places are counted with map-side combining. The array of a place is bounded by the history of its patterns.
 
 Hosts have no case; paths have. Addresses (IPv4, or IPv6 in brackets) have no domains above them.
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
@@ -63,7 +64,8 @@ def active_entries(captures: DataFrame, actions: DataFrame, id_col: str, url_col
     seen = captures.select(F.col(id_col).alias("id"), F.col(time_col).alias("at"), host_of(F.col(url_col)).alias("host"), segment_of(F.col(url_col)).alias("segment"))
     places = seen.where(F.col("host").isNotNull()).select("host", "segment").distinct()
     entry = F.struct(F.concat_ws(":", "category", "pattern").alias("name"), "valid_from", "valid_to")
-    timelines = places.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("segment")))).join(intervals(actions), "pattern").groupBy("host", "segment").agg(F.collect_list(entry).alias("entries"))
+    met = places.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("segment")))).join(intervals(actions), "pattern")
+    timelines = written(met.groupBy("host", "segment").agg(F.collect_list(entry).alias("entries")))
     joined = seen.join(timelines, ["host", "segment"], "left")
     active = F.filter("entries", lambda e: (e["valid_from"] <= F.col("at")) & (e["valid_to"].isNull() | (F.col("at") < e["valid_to"])))
     joined = joined.withColumn("active", F.coalesce(active, F.slice("entries", 1, 0)))
