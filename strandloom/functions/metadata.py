@@ -84,12 +84,12 @@ def chunk_title(text: Column, header: Column, tags: Column, hints: Column, plan:
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.btrim), lambda x: F.length(x) > 3)
     line = F.substring(F.btrim(F.ltrim(F.get(lines, 0), F.lit("#*-• "))), 1, 60)
     base = given(F.coalesce(F.when(given(header).isNotNull(), F.substring(F.btrim(header), 1, 60)), F.get(tags, 0), line))
-    with_plan = F.concat_ws(" - ", F.when(~F.contains(F.lower(base), F.lower(given(plan))), plan), base)
     hint = F.get(hints, 0)
-    whole = F.when(hint.isNotNull() & (F.length(with_plan) < 60) & ~F.contains(base, hint), F.concat(with_plan, F.lit(" - ("), hint, F.lit(")"))).otherwise(with_plan)
-    short = F.when(F.length(whole) > 100, F.concat(F.substring(whole, 1, 97), F.lit("..."))).otherwise(whole)
     none = F.when(section != "general", display_name(section)).otherwise(F.concat(F.lit("Section "), (index + 1).cast("string")))
-    return F.when(base.isNull(), none).otherwise(short)
+    with_plan = lambda b: F.concat_ws(" - ", F.when(~F.contains(F.lower(b), F.lower(given(plan))), plan), b)
+    with_hint = lambda b, p: F.when(hint.isNotNull() & (F.length(p) < 60) & ~F.contains(b, hint), F.concat(p, F.lit(" - ("), hint, F.lit(")"))).otherwise(p)
+    short = lambda w: F.when(F.length(w) > 100, F.concat(F.substring(w, 1, 97), F.lit("..."))).otherwise(w)
+    return rules.once(base, lambda b: F.when(b.isNull(), none).otherwise(rules.once(with_plan(b), lambda p: rules.once(with_hint(b, p), short))))
 
 
 def document_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,12 +62,40 @@ PROSE_TAGS: Rules = (
 )
 
 
+def leads(pattern: str) -> tuple[str, ...] | None:
+    """Plain beginnings of all alternatives of a pattern, one of which any match has; None if an alternative has none."""
+    parts, depth, k = [""], 0, 0
+    while k < len(pattern):
+        step = 2 if pattern[k] == "\\" else pattern.find("]", k + 1) + 1 - k if pattern[k] == "[" else 1
+        char = pattern[k : k + step]
+        depth += (char == "(") - (char == ")")
+        if char == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += char
+        k += step
+    out = []
+    for part in parts:
+        part = part.removeprefix("\\b")
+        n = next((k for k, c in enumerate(part) if c in "\\.[](){}*+?^$|"), len(part))
+        out.append(part[: n - 1] if n < len(part) and part[n] in "*?{" else part[:n])
+    return tuple(dict.fromkeys(out)) if all(len(x) > 1 for x in out) else None
+
+
+def matches(low: Column, pattern: str) -> Column:
+    """Whether a pattern is found. The plain beginnings of its alternatives are looked for first, as that is much cheaper,
+    and most texts have none."""
+    starts = [F.contains(low, F.lit(lead)) for lead in leads(pattern) or ()]
+    found = low.rlike("(?d)" + pattern)
+    return reduce(Column.__or__, starts) & found if starts else found
+
+
 def first_match(text: Column, rules: Rules, default: str = "general") -> Column:
     """The first rule in order that matches the lower-case text; the default for texts of under 3 characters."""
     low = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
     out = F.when(F.length(low) < 3, F.lit(default))
     for name, pattern in rules:
-        out = out.when(low.rlike("(?d)" + pattern), F.lit(name))
+        out = out.when(matches(low, pattern), F.lit(name))
     return out.otherwise(F.lit(default))
 
 
@@ -82,7 +111,7 @@ def flat(text: Column) -> Column:
 
 def all_matches(text: Column, rules: Rules) -> Column:
     """Names of all rules that match the lower-case, space-collapsed text, in the rules' order."""
-    return once(flat(text), lambda low: F.array_compact(F.array(*[F.when(low.rlike("(?d)" + pattern), F.lit(name)) for name, pattern in rules])))
+    return once(flat(text), lambda low: F.array_compact(F.array(*[F.when(matches(low, pattern), F.lit(name)) for name, pattern in rules])))
 
 
 def tags(text: Column, rules: Rules, section: Column) -> Column:
@@ -117,7 +146,7 @@ FIELDS = {
 
 def signs(text: Column) -> Column:
     """Which of the signs a text has: an array of their names."""
-    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(low.rlike("(?d)" + pattern), F.lit(name)) for name, pattern in HINT_RULES])))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(matches(low, pattern), F.lit(name)) for name, pattern in HINT_RULES])))
 
 
 def hints(text: Column) -> Column:

@@ -155,3 +155,15 @@ def test_filter_split_and_presets(spark):
     assert (found.last_30_days.a, found.this_year.a, found.last_year.a, found.last_year.b) == (D(2024, 2, 14), D(2024, 1, 1), D(2023, 1, 1), D(2023, 12, 31)) and found.this_year.b is None
     with pytest.raises(ValueError):
         filters.apply_filter(spark.createDataFrame([("2024-01-01",)], "date string"), {"date": {"gte": "yesterday"}})
+
+
+def test_leads_are_in_every_match():
+    from strandloom.functions.content_tags import CONTENT_TAGS
+
+    assert rules.leads(r"policy\s*loan|alf|\bnav\b|non.?disclosure|top.?up|colou?r") == ("policy", "alf", "nav", "non", "top", "colo")
+    assert rules.leads(r"(?:a|b)c|de") is None and rules.leads(r"[ab|c]|de") is None and rules.leads("a|bc") is None
+    assert sum(rules.leads(p) is not None for _, p in CONTENT_TAGS) > 50 and len(CONTENT_TAGS) == 57
+    for _, pattern in (*CONTENT_TAGS, *rules.SECTION_RULES):
+        for example in ("policy loan interest", "loan facility", "age at entry", "section 80", "paid-up value", "free look", "jeevan labh", "minimum entry age 5", "kyc", "15 days"):
+            if re.search(pattern, example) and rules.leads(pattern):
+                assert any(x in example for x in rules.leads(pattern))
