@@ -180,8 +180,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int) -> DataFrame:
-    """Arrow map over (…, text): `each(columns, sets, seen)` gives the columns of the output from those of a batch."""
+def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int, wanted=None) -> DataFrame:
+    """Arrow map over (…, text): `each(columns, sets, seen)` gives the columns of the output from those of a batch.
+    `wanted(batch)` takes rows out before; it runs in the same worker, as a second map would hold a second one a task."""
     struct = StructType.fromDDL(schema)
     target = arrow_schema(struct)
 
@@ -189,6 +190,7 @@ def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int) -> Dat
         np.seterr(over="ignore")
         tokens, seen = Tokens(), set()
         for batch in batches:
+            batch = wanted(batch) if wanted else batch
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
                 cols = [c.to_pylist() for c in part.columns]
@@ -335,16 +337,10 @@ class Linker:
         for r in words.toLocalIterator():
             bits[r["word"]] = r["bits"]
         shared = self.spark.sparkContext.broadcast(bits.view(np.uint8))
-        struct = StructType.fromDDL("doc_id bigint, text_key bigint, text string")
-        target = arrow_schema(struct)
 
-        def wanted(batches):
-            bitmap = shared.value
-            for batch in batches:
-                at = batch.column(3).to_numpy()
-                hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                if hit.any():
-                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(hit.astype(bool))).columns[:3], schema=target)
+        def wanted(batch):
+            at = batch.column(0).to_numpy()
+            return batch.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
 
         def each(cols, sets, seen):
             for s in sets:
@@ -353,8 +349,8 @@ class Linker:
                     seen.add(set_key)
                     yield int.from_bytes(set_key[:8], "big", signed=True), set_key, s.tobytes()
 
-        texts = self.docs.withColumn("slot", slot).mapInArrow(wanted, struct)
-        found = map_sets(texts.select("text"), each, "key bigint, set_key binary, elements binary", self.size, self.percent)
+        texts = self.docs.select(slot.alias("slot"), "text")
+        found = map_sets(texts, each, "key bigint, set_key binary, elements binary", self.size, self.percent, wanted)
         out = written(found.join(keys, "key", "left_semi").dropDuplicates(["set_key"]))
         discard(keys)
         return out
