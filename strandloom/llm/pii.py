@@ -42,9 +42,10 @@ IBAN_GROUP = re.compile(r"[\x20-]?[A-Z0-9]{1,34}(?![A-Za-z0-9])")
 DIGIT_GROUP = re.compile(r"[\x20-][0-9]{1,30}(?![A-Za-z0-9_@%]|[.,:/][0-9])")
 IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+NO_DIGIT = re.compile("[^0-9]")
 ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
-#: Most characters of an IBAN, and most digits of another account number of several groups.
-MOST_IBAN, MOST_DIGITS = 34, 30
+#: Least and most characters of an IBAN, and most digits of another account number of several groups.
+LEAST_IBAN, MOST_IBAN, MOST_DIGITS = 15, 34, 30
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -72,7 +73,7 @@ def iban(text: str) -> bool:
 
 
 def digits_of(text: str) -> str:
-    return re.sub("[^0-9]", "", text)
+    return NO_DIGIT.sub("", text)
 
 
 def emails(text: str, anchors: list[int]):
@@ -139,8 +140,9 @@ def urls(text: str, anchors: list[tuple[int, int]]):
 
 
 def group_ends(text: str, start: int, end: int, group: re.Pattern, most: int) -> list[int]:
-    """`end` and the ends of the groups that follow it, while they have at most so many letters and digits from `start`."""
-    ends, size = [end], sum(c.isalnum() for c in text[start:end])
+    """`end` and the ends of the groups that follow it, while they have at most so many letters and digits from `start`,
+    where an identifier, of these and hyphens, starts."""
+    ends, size = [end], end - start - text.count("-", start, end)
     while (m := group.match(text, ends[-1])) and (size := size + len(m[0].lstrip(" -"))) <= most:
         ends.append(m.end())
     return ends
@@ -155,9 +157,14 @@ def accounts(text: str, low: str, anchors: list[tuple[int, int]]):
         m = IDENTIFIER.match(text, tail.end()) if tail.end() > at + length else None
         if m:
             start = m.start()
-            groups = group_ends(text, start, start, IBAN_GROUP, MOST_IBAN) if IBAN_HEAD.match(text, start) else []
-            stop = next((e for e in reversed(groups) if iban(text[start:e])), None)
-            stop = stop or next((e for e in reversed(group_ends(text, start, m.end(), DIGIT_GROUP, MOST_DIGITS)) if len(digits_of(text[start:e])) >= 6), None)
+            stop = None
+            if IBAN_HEAD.match(text, start):
+                groups = group_ends(text, start, start, IBAN_GROUP, MOST_IBAN)
+                stop = next((e for e in reversed(groups) if e - start >= LEAST_IBAN and iban(text[start:e])), None)
+            if not stop:
+                groups = group_ends(text, start, m.end(), DIGIT_GROUP, MOST_DIGITS)
+                if len(digits_of(text[start : groups[-1]])) >= 6:  # else no shorter prefix has six
+                    stop = next(e for e in reversed(groups) if len(digits_of(text[start:e])) >= 6)
             if stop:
                 end = stop
                 yield start, stop
