@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -79,3 +79,16 @@ def discard(*tables: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ranked(df: DataFrame, tree: str, order: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with idx, the place of each row within its `tree` (from 0) in the given order (nulls first), and n, the rows of
+    that tree; without the columns `drop`, which only order it. One range-partitioned sort of all rows: a tree with any share
+    of them is spread over many tasks. `tree` is not null; `order` should tell rows apart, else equal ones share a task."""
+    ordered = df.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).drop(*drop)
+    placed = written(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    runs = placed.groupBy(tree, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    in_tree = Window.partitionBy(tree)
+    before = F.coalesce(F.sum("_rows").over(in_tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(tree, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(in_tree).alias("n"))
+    return placed.join(runs, [tree, "_part"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
