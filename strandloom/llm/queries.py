@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, license_scan, lm_score, merkle, packing, pii, prefix_trie, quality, rabitq, secret_scan, url_filter
+from . import bpe, jaccard, language_id, license_scan, lm_score, merkle, packing, pii, prefix_trie, quality, rabitq, secret_scan, url_filter
 
-MODULES = (bpe, jaccard, license_scan, lm_score, merkle, packing, pii, prefix_trie, quality, rabitq, secret_scan, url_filter)
+MODULES = (bpe, jaccard, language_id, license_scan, lm_score, merkle, packing, pii, prefix_trie, quality, rabitq, secret_scan, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
