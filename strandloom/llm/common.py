@@ -27,6 +27,13 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
+def sql_crc32(number: str) -> str:
+    """DuckDB's SQL for the unsigned CRC-32 of a number's decimal digits."""
+    bits = f"flatten([[ord(digit)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR digit IN string_split(({number})::VARCHAR, '')])"
+    step = "lambda c, b: xor(xor(c, b) >> 1, 3988292384::BIGINT * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), {step}), 4294967295::BIGINT)"
+
+
 def arrow_schema(schema: StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

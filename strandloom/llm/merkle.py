@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, table, written
+from .common import ranked, sql_crc32, table, written
 
 #: Nodes of a run, and levels of a block.
 RUN, LEVELS = 8, 3
@@ -193,3 +193,51 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     return manifest(docs, F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text")))
+
+
+def sql_field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(sql_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def sql_tree(name: str, leaves: str, tree: str) -> str:
+    """All nodes of the trees over (tree, idx, n, h)."""
+    return f"""{name} AS (
+  SELECT {tree}, 0 AS level, idx, n, h FROM {leaves}
+  UNION ALL SELECT {tree}, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY {tree}, level, idx // 8, n)"""
+
+
+def sql_fold(name: str, start: str, nodes: str, tree: str) -> str:
+    """Each row's way up: what it folds to (h), and its siblings so far (proof)."""
+    return f"""{name} AS (
+  SELECT id, {tree}, 0 AS level, idx, n, h, proof FROM {start}
+  UNION ALL
+  SELECT f.id, f.{tree}, f.level + 1, f.idx // 8, (f.n + 7) // 8, sha256(string_agg(CASE WHEN u.idx = f.idx THEN f.h ELSE u.h END, '' ORDER BY u.idx)),
+    f.proof || coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (WHERE u.idx <> f.idx), '')
+  FROM {name} f JOIN {nodes} u ON u.{tree} IS NOT DISTINCT FROM f.{tree} AND u.level = f.level AND u.idx // 8 = f.idx // 8
+  WHERE f.n > 1 GROUP BY f.id, f.{tree}, f.level, f.idx, f.n, f.h, f.proof)"""
+
+
+ORACLE_SQL = {
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {sql_leaf("text")} AS leaf,
+    {sql_leaf(f"CASE WHEN {sql_crc32('doc_id')} % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END")} AS found
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, leaf AS h
+  FROM hashed),
+{sql_tree("nodes", "leaves", "lang")},
+subroots AS (SELECT 0 AS all_langs, lang, h AS subroot, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{sql_tree("tops", "subroots", "all_langs")},
+starts AS (SELECT id, lang, idx, n, found AS h, '' AS proof FROM leaves),
+{sql_fold("in_lang", "starts", "nodes", "lang")},
+over_langs AS (SELECT f.id, 0 AS all_langs, s.idx, s.n, f.h, f.proof FROM in_lang f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1),
+{sql_fold("in_all", "over_langs", "tops", "all_langs")}
+SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM leaves l JOIN in_all f ON f.id = l.id AND f.n = 1 JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+"""
+}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, ranked, table, written
+from .common import arrow_schema, ranked, sql_crc32, table, written
 from .jaccard import mixed
 
 #: Rows of a shard, about, and the largest subtree that is not cut.
@@ -267,3 +267,31 @@ def prefix_trie(conversations: DataFrame, head_of: Column | None = None, shard:
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL = {
+    "op11_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n, {sql_crc32("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS base FROM turns GROUP BY conv_id),
+convs AS (SELECT c.conv_id, c.h, c.base, least(c.h, coalesce(b.n, 0)) AS m FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT conv_id, 0 AS depth, '' AS said, 0 AS bytes FROM convs
+  UNION ALL SELECT c.conv_id, p - h + m, said, bytes FROM turns t JOIN convs c ON t.conv_id = c.conv_id WHERE p > h
+  UNION ALL SELECT c.conv_id, p, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.base WHERE p <= h),
+paths AS (SELECT *, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM rebuilt),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids
+  FROM paths GROUP BY prefix, depth),
+linked AS (SELECT n.*, q.prefix AS parent FROM nodes n LEFT JOIN paths q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+kids AS (SELECT parent AS prefix, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT q.prefix, sum(n.own) AS saved_tokens, count(*) FILTER (WHERE k.prefix IS NULL) AS n_leaves
+  FROM nodes n JOIN paths q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN kids k ON k.prefix = n.prefix GROUP BY q.prefix)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM linked n JOIN below b ON b.prefix = n.prefix LEFT JOIN kids k ON k.prefix = n.prefix LEFT JOIN nodes p ON p.prefix = n.parent
+"""
+}
