@@ -92,11 +92,14 @@ def matches(low: Column, pattern: str) -> Column:
 
 def first_match(text: Column, rules: Rules, default: str = "general") -> Column:
     """The first rule in order that matches the lower-case text; the default for texts of under 3 characters."""
-    low = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    out = F.when(F.length(low) < 3, F.lit(default))
-    for name, pattern in rules:
-        out = out.when(matches(low, pattern), F.lit(name))
-    return out.otherwise(F.lit(default))
+
+    def first(low: Column) -> Column:
+        out = F.when(F.length(low) < 3, F.lit(default))
+        for name, pattern in rules:
+            out = out.when(matches(low, pattern), F.lit(name))
+        return out.otherwise(F.lit(default))
+
+    return once(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r")), first)
 
 
 def once(value: Column, then) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from strandloom.functions import rules
 from strandloom.functions.text import sentences
 from strandloom.operators import layout, structure
+from strandloom.sources.store import new_folder
 
 # Separators from coarse to fine, sizes in characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -272,6 +273,12 @@ def table_udf(prefixes: pd.Series, tables: pd.Series) -> pd.Series:
     return pd.Series([chunks(p, t) for p, t in zip(prefixes, tables)])
 
 
+@F.pandas_udf(TEXTS)
+def limited_udf(chunks: pd.Series) -> pd.Series:
+    """Chunks of more than LARGE characters (a sentence without an end) split recursively."""
+    return chunks.map(lambda x: [p for c in x for p in (split_recursive(c) if len(c) > LARGE else [c])])
+
+
 def recursive_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, chunk) of every document."""
     return docs.select("doc_id", F.posexplode(recursive_udf("text")).alias("chunk_index", "chunk"))
@@ -352,7 +359,7 @@ def structured_chunks(pages: DataFrame, section_rules: rules.Rules = rules.PROSE
 def section_chunks(found: DataFrame, section_rules: rules.Rules) -> DataFrame:
     """The same of sections (page_id, section, heading, text)."""
     kind = rules.first_match(F.concat_ws(" ", "heading", F.substring("text", 1, 500)), section_rules)
-    parts = F.when(F.length("text") <= LARGE, F.array("text")).otherwise(structure.packed(sentences(F.col("text"))))
+    parts = limited_udf(F.when(F.length("text") <= LARGE, F.array("text")).otherwise(structure.packed(sentences(F.col("text")))))
     rows = found.select("page_id", "section", kind.alias("kind"), parts.alias("parts"))
     one = F.transform("parts", lambda p: F.struct(F.col("kind"), p.alias("text")))
     whole = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("section", one.alias("c")))).alias("s"))
@@ -360,51 +367,19 @@ def section_chunks(found: DataFrame, section_rules: rules.Rules) -> DataFrame:
     return whole.select("page_id", F.posexplode(chunks).alias("chunk_index", "c")).select("page_id", "chunk_index", F.col("c.kind").alias("section_type"), F.col("c.text").alias("chunk"))
 
 
-def of_text(chunker: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A chunker of texts as one of blocks: a page's text is its blocks' lines."""
-
-    def run(rows: DataFrame) -> DataFrame:
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda b: b["content"]), "\n")
-        chunks = chunker(rows.groupBy("page_id").agg(text.alias("text")).withColumnRenamed("page_id", "doc_id"))
-        return chunks.select(F.col("doc_id").alias("page_id"), "chunk_index", "chunk")
-
-    return run
-
-
-def by_section(rows: DataFrame) -> DataFrame:
-    """(page_id, chunk_index, chunk): every major section in the way that suits it."""
-    found = structure.section_patterns(rows, lambda text: rules.first_match(text, rules.SECTION_RULES))
-    text = F.col("text")
-    parts = (
-        F.when(F.col("pattern") == "hierarchical", F.array_prepend(structure.packed(sentences(text), SIZE, 1), F.substring(text, 1, PARENT)))
-        .when(F.length(text) <= LARGE, F.array(text)).otherwise(structure.packed(sentences(text)))
-    )
-    plain = found.where("pattern <> 'qa'").select("page_id", "section", F.posexplode(parts).alias("n", "chunk"))
-    asked = found.where("pattern = 'qa'").select(F.struct("page_id", "section").alias("doc_id"), "text")
-    pairs = question_chunks(asked).select("doc_id.page_id", "doc_id.section", F.col("chunk_index").alias("n"), "chunk")
-    index = F.row_number().over(Window.partitionBy("page_id").orderBy("section", "n")) - 1
-    return plain.unionByName(pairs).select("page_id", index.alias("chunk_index"), "chunk")
-
-
-def numbered_hierarchy(rows: DataFrame) -> DataFrame:
-    chunks = hierarchical_chunks(rows)
-    return chunks.select("page_id", (F.substring("chunk_id", 4, 20).cast("int") - 1).alias("chunk_index"), "chunk")
-
-
-#: Chunkers of blocks by name: each gives page_id, chunk_index, chunk. Others may be registered.
-CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "structured": lambda rows: section_chunks(structure.sections(rows), rules.SECTION_RULES).select("page_id", "chunk_index", "chunk"),
-    "semantic": of_text(recursive_chunks), "qa": of_text(question_chunks), "hierarchical": numbered_hierarchy, "hybrid_section": by_section, "table_aware": by_section,
-}
-
-
-def smart_chunks(pages: DataFrame, chunkers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(page_id, chunker, chunk_index, chunk): every page by the chunker that its structure asks for."""
+def smart_chunks(pages: DataFrame, chunkers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(page_id, chunker, chunk_index, chunk): every page by the one of these chunkers of blocks that its structure asks for.
+    Blocks and routes are written once; each chunker reads its own part. `page_chunks` does the same page by page, without
+    a shuffle, by chunkers of single pages."""
+    spark = pages.sparkSession
     rows = structure.blocks(pages)
     routes = structure.structure(structure.metrics(rows)).select("page_id", "chunker")
+    path = new_folder(spark, "blocks")
+    rows.join(routes, "page_id").write.partitionBy("chunker").parquet(path)
+    written = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, chunker string").parquet(path)
     out = None
-    for name, chunker in (CHUNKERS if chunkers is None else chunkers).items():
-        part = chunker(rows.join(routes.where(F.col("chunker") == name).select("page_id"), "page_id", "left_semi")).withColumn("chunker", F.lit(name))
+    for name, chunker in chunkers.items():
+        part = chunker(written.where(F.col("chunker") == name).drop("chunker")).withColumn("chunker", F.lit(name))
         part = part.select("page_id", "chunker", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk")
         out = part if out is None else out.unionByName(part)
     return out

@@ -86,10 +86,10 @@ def is_slides(pages: Column, landscape: Column, chars: Column, font: Column) ->
     return (pages >= 3) & (sign(landscape) + sign(chars / pages < 500) + sign(font > 16) >= 2)
 
 
-def structure(m: DataFrame) -> DataFrame:
+def structure(m: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of metrics: the primary and secondary structure, the confidence, whether sections may have parents, the chunker and
     the factor of its chunk size, and notes. Pages of HTML are one page in portrait; parsed files bring the columns
-    n_pages, landscape and font."""
+    n_pages, landscape and font. Columns in `keep` stay."""
     for name, value in (("n_pages", F.lit(1)), ("landscape", F.lit(False)), ("font", F.lit(12.0))):
         m = m if name in m.columns else m.withColumn(name, value)
     tables, headings, depth, qa = F.col("table_coverage"), F.col("n_headings"), F.col("depth"), F.col("n_qa")
@@ -116,7 +116,7 @@ def structure(m: DataFrame) -> DataFrame:
         F.when(tables > 0, F.concat(F.lit("Tables: "), percent, F.lit("% coverage"))), F.when(qa > 0, F.concat(F.lit("Q&A pairs: "), qa.cast("string"))),
         F.when(depth > 0, F.concat(F.lit("Heading depth: "), depth.cast("string"))), F.when(F.col("deep"), F.lit("Supports parent-child chunking")),
     )
-    return m.select("page_id", "structure", "secondary", F.round(sure, 6).alias("confidence"), F.col("deep").alias("supports_hierarchy"), chunker.alias("chunker"), factor.alias("size_factor"), (F.lit(CHUNK_SIZE) * factor).cast("int").alias("chunk_size"), notes.alias("notes"))
+    return m.select("page_id", *keep, "structure", "secondary", F.round(sure, 6).alias("confidence"), F.col("deep").alias("supports_hierarchy"), chunker.alias("chunker"), factor.alias("size_factor"), (F.lit(CHUNK_SIZE) * factor).cast("int").alias("chunk_size"), notes.alias("notes"))
 
 
 def parents(rows: DataFrame) -> DataFrame:

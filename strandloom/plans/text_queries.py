@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import rules
 from strandloom.functions.text import ABBREVIATIONS
-from strandloom.operators import chunking, structure
+from strandloom.operators import chunking, page_chunks, structure, tables
 from strandloom.plans.registry import Registry, table
 
 REGISTRY = query = Registry()
@@ -251,8 +251,37 @@ def hierarchical_chunks(spark, sf):
 
 @query()
 def smart_chunks(spark, sf):
-    """Every page by its own chunker."""
-    return chunking.smart_chunks(table(spark, sf, "pages"))
+    """Every page by its own chunker; held against plain versions of each route in the tests."""
+    return page_chunks.smart_page_chunks(table(spark, sf, "pages"))
+
+
+def order_pages(spark, sf):
+    """A page for each order: a heading, a paragraph and a table with cells that span rows and columns."""
+    cell = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    html = cell(
+        "<html><body><h1>Order ", F.col("o_orderkey"), "</h1><p>Placed by customer ", F.col("o_custkey"), ".</p><table border='1'><caption>Order ", F.col("o_orderkey"), "</caption>",
+        "<tr><th>Field</th><th colspan='2'>Value</th></tr><tr><td rowspan=\"2\">state</td><td>status<td><b>", F.col("o_orderstatus"), "</b></td></tr><tr><td>priority</td><td>", F.col("o_orderpriority"),
+        "</td></tr><tr><td>customer &amp; key</td><td colspan=2> ", F.col("o_custkey"), " </td></tr></table></body></html>",
+    )
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS page_id, unnest([
+    {'r': 0, 'c': ['Field', 'Value', 'Value']}, {'r': 1, 'c': ['state', 'status', o_orderstatus]}, {'r': 2, 'c': ['state', 'priority', o_orderpriority]},
+    {'r': 3, 'c': ['customer & key', o_custkey::VARCHAR, o_custkey::VARCHAR]}]) AS x FROM orders)
+SELECT page_id, 0 AS table_no, x.r AS row_no, k - 1 AS col_no, x.r = 0 AS is_header, x.c[k] AS cell FROM r, unnest([1, 2, 3]) AS u(k)""")
+def table_grid(spark, sf):
+    """Cells of tables by row and column. Pages have no tables, so one is made of each order."""
+    return tables.table_grid(order_pages(spark, sf))
+
+
+@query("""SELECT o_orderkey AS page_id, 'table_aware' AS chunker, 0 AS chunk_index, 'table' AS content_type, 'general' AS section_type,
+'Section: Order ' || o_orderkey || chr(10) || 'Table: Order ' || o_orderkey || chr(10) || 'Placed by customer ' || o_custkey || '.' || chr(10) || chr(10)
+|| '| Field | Value | Value |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| state | status | ' || o_orderstatus || ' |' || chr(10) || '| state | priority | ' || o_orderpriority || ' |' || chr(10)
+|| '| customer & key | ' || o_custkey || ' | ' || o_custkey || ' |' AS chunk FROM orders""")
+def table_page_chunks(spark, sf):
+    """Pages that are mostly a table: one chunk with its context, which is taken out of the text."""
+    return page_chunks.smart_page_chunks(order_pages(spark, sf)).select("page_id", "chunker", "chunk_index", "content_type", "section_type", "chunk")
 
 
 @query(f"WITH {BLOCKS}, {METRICS}, s AS (SELECT *, depth >= 2 AND n_headings >= 3 AND mean_section >= 500 AS deep, CASE WHEN n_qa >= 3 THEN 'qa' WHEN table_coverage > 0.4 THEN 'tabular' WHEN n_headings >= 3 AND depth >= 2 THEN 'hierarchical' WHEN list_coverage > 0.3 THEN 'list' WHEN mean_paragraph > 400 AND n_headings < 3 THEN 'narrative' WHEN n_headings > 0 OR table_coverage > 0 THEN 'mixed' ELSE 'unknown' END AS k FROM met) "

@@ -2,7 +2,7 @@ import random
 import re
 
 from strandloom.operators import chunking as C
-from strandloom.operators import structure
+from strandloom.operators import page_chunks, structure
 
 from .helpers import SF
 
@@ -134,13 +134,11 @@ def test_hierarchy_equals_recursion(spark):
     assert {k: found.get(k, []) for k in docs} == {k: recursion(v) for k, v in docs.items()}
 
 
-def test_smart_chunks_cover_all_pages(spark):
+def test_chunkers_of_blocks_get_their_own_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    rows = C.smart_chunks(pages).collect()
     routes = {r.page_id: r.chunker for r in structure.structure(structure.metrics(structure.blocks(pages))).collect()}
-    assert {(r.page_id, r.chunker) for r in rows} <= set(routes.items()) and len({r.page_id for r in rows}) >= 0.9 * len(routes)
-    only = C.smart_chunks(pages, {name: (lambda rows: rows.selectExpr("page_id", "idx AS chunk_index", "content AS chunk")) for name in C.CHUNKERS})
-    assert only.count() == structure.blocks(pages).count()
+    only = C.smart_chunks(pages, {name: (lambda rows: rows.selectExpr("page_id", "idx AS chunk_index", "content AS chunk")) for name in page_chunks.CHUNKERS}).collect()
+    assert len(only) == structure.blocks(pages).count() and {(r.page_id, r.chunker) for r in only} == set(routes.items())
 
 
 def test_structured(spark):
