@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.text import search_tokens
 from strandloom.operators import filters, retrieval
+from strandloom.operators.search_index import IndexStore
 from strandloom.plans import answering
 from strandloom.plans.registry import Registry, table
+from strandloom.sources.store import new_folder
 
 REGISTRY = query = Registry()
 
@@ -43,6 +45,31 @@ def bm25_topk(spark, sf):
     return bm25(spark, sf, 5).select("query_id", "doc_id", "score", "rank")
 
 
+def changed_index(spark, sf) -> IndexStore:
+    """The documents in three batches: most of them; the others and changes of some; deletions."""
+    store, docs = IndexStore(spark, new_folder(spark, "kept")), table(spark, sf, "documents").select("doc_id", "text")
+    changed = F.concat(F.coalesce("text", F.lit("")), F.lit(" amended amended"))
+    store.apply(docs.where("doc_id % 5 <> 0"))
+    store.apply(docs.where("doc_id % 5 = 0 OR doc_id % 7 = 1").withColumn("text", F.when(F.col("doc_id") % 7 == 1, changed).otherwise(F.col("text"))))
+    store.apply(docs.where("doc_id % 11 = 3").withColumn("deleted", F.lit(True)))
+    return store
+
+
+LEFT = "left_docs AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN coalesce(text, '') || ' amended amended' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3)"
+CHANGED = BM25.replace("FROM documents", "FROM left_docs")
+
+
+@query(f"WITH {LEFT}, {CHANGED} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 5 AND score > 0")
+def kept_index_topk(spark, sf):
+    """A search in an index that took insertions, changes and deletions equals one in an index of what is left."""
+    return retrieval.bm25_search(changed_index(spark, sf).open(), table(spark, sf, "benchmark"), 5).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"WITH {LEFT}, {CHANGED} SELECT term, df, round(idf, 6) AS idf, CAST(sum(tf) AS BIGINT) AS total FROM tf JOIN idf USING (term) GROUP BY term, df, idf")
+def kept_index_terms(spark, sf):
+    return changed_index(spark, sf).open().weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"), "total")
+
+
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, CAST(sum(tf) AS BIGINT) AS total FROM tf JOIN idf USING (term) GROUP BY term, df, idf")
 def bm25_corpus_stats(spark, sf):
     return index(spark, sf).weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"), "total")
@@ -155,10 +182,11 @@ def confidence_prefix(spark, sf):
     return retrieval.confident_prefix(retrieval.confidence(bm25(spark, sf, 5))).select("query_id", "doc_id", "rank", "confidence")
 
 
-@query(f"""WITH {BM25} SELECT query_id, string_agg('[' || rank || '] Source: ' || source || ' | Language: ' || lang || ' (relevance: ' || printf('%.2f', score) || ')' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context
+@query(f"""WITH {BM25} SELECT query_id, string_agg('[' || rank || '] Source: ' || source || ' | Language: ' || lang || ' (relevance: ' || printf('%.2f', score) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 AND score > 0 GROUP BY query_id""")
 def context_block(spark, sf):
-    rows = bm25(spark, sf, 3).join(table(spark, sf, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 200).alias("text")), "doc_id")
+    """The whole texts that were found, each below a line on its source."""
+    rows = bm25(spark, sf, 3).join(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     line = F.format_string("[%d] Source: %s | Language: %s (relevance: %.2f)\n%s", "rank", "source", "lang", "score", "text")
     parts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("p"))
     return parts.select("query_id", F.array_join(F.transform("p", lambda p: p["line"]), "\n\n").alias("context"))

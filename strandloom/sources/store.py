@@ -18,3 +18,34 @@ def new_folder(spark: SparkSession, kind: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as Hadoop has it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, at = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def commit(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Put a small text into a new file that appears whole; an error if there is one of that name already."""
+    fs, to = file_system(spark, f"{folder}/{name}")
+    _, draft = file_system(spark, f"{folder}/_{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(to) or not fs.rename(draft, to):
+        fs.delete(draft, False)
+        raise FileExistsError(f"{folder}/{name} was committed by another writer")

@@ -1,35 +1,29 @@
-"""Incremental ingestion: new document files become chunks and postings, each id once."""
+"""Incremental ingestion: new document files become chunks and postings of an index that is kept up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from strandloom.operators import retrieval, structure
+from strandloom.operators import structure
+from strandloom.operators.search_index import IndexStore
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, deleted boolean, version bigint"
 
-def upsert(new: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table at `path` lacks; ids are hashes of contents, so equal keys are equal rows."""
-    try:
-        known = new.sparkSession.read.parquet(path).select(key)
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = None
-    fresh = new.dropDuplicates([key])
-    (fresh if known is None else fresh.join(known, key, "left_anti")).write.mode("append").parquet(path)
 
+def index_at(spark: SparkSession, target: str) -> IndexStore:
+    """The index and chunks that `ingest_stream` keeps at `target`."""
+    return IndexStore(spark, target, structure.greedy_chunks)
 
-def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id bigint, text string, lang string, source string, n_chars bigint") -> StreamingQuery:
-    """Read new Parquet files of documents and keep `target`/chunks and `target`/postings up to date; ends when all
-    files at hand are taken. A batch that is run again after a failure changes nothing."""
 
-    def take(batch: DataFrame, _: int) -> None:
-        upsert(structure.greedy_chunks(batch), f"{target}/chunks", "chunk_id")
-        rows = retrieval.postings(batch).withColumn("posting_id", F.sha2(F.concat_ws("|", "doc_id", "term", "tf"), 256))
-        upsert(rows, f"{target}/postings", "posting_id")
+def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = SCHEMA) -> StreamingQuery:
+    """Read new Parquet files of documents and keep the index at `target` up to date: a document that comes again replaces
+    the one of its id, one that is marked as deleted goes. Ends when all files at hand are taken. A batch that is run again
+    after a failure changes nothing."""
+    store = index_at(spark, target)
+
+    def take(batch: DataFrame, number: int) -> None:
+        store.apply(batch, checkpoint, number)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
