@@ -35,7 +35,6 @@ def test_every_sentence_has_a_cue_and_is_found(spark):
     assert all(any(cue in s for cue in L.CUES) for _, s in L.SENTENCES)
     out = report(spark, [s for _, s in L.SENTENCES])
     assert all(name in out[k].sentence_ids.split(",") for k, (name, _) in enumerate(L.SENTENCES))
-    assert sum(out[k].n_sentences for k in range(len(L.SENTENCES))) == len(L.SENTENCES) + 2  # "... or later" has the version as well
     assert {i for _, ids in L.RULES for i in ids.split()} == {i for i, _ in L.SENTENCES}
 
 
@@ -97,7 +96,50 @@ HEADERS = [
 def test_rules_on_headers(spark):
     out = report(spark, [text for _, text in HEADERS])
     assert [(out[k].licences, out[k].unmatched) for k in range(len(HEADERS))] == [(name, "") for name, _ in HEADERS]
-    assert {name for name, _ in HEADERS} - {""} == {name for name, _ in L.RULES}
+
+
+GPL_ONLY = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version {v} as\npublished by the Free Software Foundation."
+ASF = """/* Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with the License.  You may obtain a copy of the License at */"""
+BSD4 = NUMBERED.format(endorse="\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement: This product includes software.\n4. Neither the name of X nor others may be used.")
+tag = "// SPDX-License-Identifier: "
+#: Licences as a reader would name them.
+BY_HAND = [
+    ("BSD-4-Clause", BSD4), ("MIT OR Apache-2.0", tag + "MIT OR Apache-2.0"), ("MIT-0", tag + "MIT-0"), ("BSD-3-Clause-LBNL", tag + "BSD-3-Clause-LBNL"), ("", "This is not, and never was, licensed under the MIT License."),
+    ("", "No part of this is licensed under the MIT License."), ("GPL-2.0", GPL_ONLY.format(v=2)), ("LGPL-2.0-or-later", GPL.format(what="library", kind="Library ", version="2")), ("LGPL-2.1-or-later", tag + "LGPL-2.1-or-later"),
+    ("AGPL-3.0", tag + "AGPL-3.0-only"), ("EPL-2.0", tag + "EPL-2.0"), ("Apache-2.0", ASF), ("MIT", "MIT License"), ("MIT", "Licensed under MIT"), ("MIT", "The MIT License\n\n" + MIT), ("MIT", "Licensed under MIT."),
+    ("GPL-3.0", GPL_ONLY.format(v=3)), ("GPL-2.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+    ("LGPL-2.1", GPL_ONLY.format(v="2.1").replace("GNU General", "GNU Lesser General")), ("(MIT OR Apache-2.0) AND BSD-3-Clause", tag + "( MIT  or Apache-2.0 ) and BSD-3-Clause */ int x"),
+    ("GPL-2.0 WITH Classpath-exception-2.0", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"), ("GPL-2.0-or-later", tag + "GPL-2.0+"), ("MIT", tag + "MIT and what follows is text".replace("and", "is")),
+    ("LicenseRef-Own", tag + "LicenseRef-Own."), ("", tag + "NONE"), ("", tag + "NOASSERTION\n"), ("MIT,ISC", tag + "MIT\n" + tag + "ISC\n" + tag + "MIT"), ("MIT", MIT + "\n" + tag + "MIT"),
+    ("", "Neither this nor that is licensed under the Apache License, Version 2.0."), ("MIT", "It is not free of cost, but licensed under the MIT License."), ("Apache-2.0", "This is not part of Spark and is licensed under the Apache License, Version 2.0."),
+    ("", "The code isn't licensed under the BSD License."), ("", "It is no longer licensed under the ISC license."), ("MIT-0", "Licensed under the MIT-0 license."), ("MIT OR Apache-2.0", "Licensed under the MIT license or the Apache License, Version 2.0."),
+    ("MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright"), ("MIT", "License: MIT"), ("Apache-2.0", "License: Apache-2.0\n"),
+    ("MIT-0", MIT.replace("The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", "")), ("MIT", "This library is available under the MIT license."),
+    ("", "A mitigation license was discussed."), ("", "Ask for permission; the MIT press holds a copyright."), ("", "licensed under MIT terms that we changed"), ("", "The licence of the driver."), ("Apache-2.0,MIT", "Licensed under the Apache License, Version 2.0. The rest is licensed under the MIT License."),
+    ("", "None of it is released under the MIT License."), ("ISC", "ISC License\n\n" + ISC), ("CC-BY-4.0", "Text: licensed under CC BY 4.0."), ("MPL-2.0", tag + "MPL-2.0 -->"), ("MIT,BSD-4-Clause", MIT + "\n\n" + BSD4), ("LicenseRef-BSD-advertising", BSD4.replace("\n4. Neither the name of X nor others may be used.", "")),
+]
+
+
+def test_licences_by_hand(spark):
+    out = report(spark, [text for _, text in BY_HAND])
+    found = [(",".join(sorted(out[k].licences.split(","))), text) for k, (_, text) in enumerate(BY_HAND)]
+    assert found == [(",".join(sorted(name.split(","))), text) for name, text in BY_HAND] and len(found) >= 50
+    assert {name for name, _ in (*HEADERS, *BY_HAND)} >= {name for name, _ in L.RULES}
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    texts = [t for _, t in (*BY_HAND, *HEADERS) if "v. " not in t.lower() and "v.\n" not in t.lower()]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rows = db.execute(f"SELECT doc_id, licences, unmatched, spdx, sentence_ids FROM ({L.ORACLE_SQL['op9_license_scan']})").fetchall()
+    out = report(spark, texts)
+    assert sorted(rows) == sorted((k, r.licences, r.unmatched, r.spdx, r.sentence_ids) for k, r in out.items())
 
 
 def test_edge_rows(spark):
