@@ -187,6 +187,19 @@ def encode_and_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: st
     return map_rows(docs.select(id_col, text_col), rows, schema + ", ids array<bigint>" * with_ids)
 
 
+def token_counts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_tokens of every row; a null or empty text has none."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocab_path))
+    encoders: list[Encoder] = []
+
+    def rows(columns):
+        if not encoders:
+            encoders.append(Encoder(vocabulary.value, pattern))
+        return ((doc_id, len(encoders[0].encode(text)) // 4) for doc_id, text in zip(*columns))
+
+    return map_rows(docs.select(id_col, text_col), rows, "doc_id bigint, n_tokens bigint")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

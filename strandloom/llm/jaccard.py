@@ -33,6 +33,7 @@ read; an empty table gives no rows; other columns are ignored. n-grams are compa
 from __future__ import annotations
 
 import math
+import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -475,7 +476,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """The rows of `docs` without near duplicates: of each component the row of the least id stays (rows without an id
     come last, then the first row), and every row without words. The row numbers are written once with the rows, as they
     follow the partitions of a scan, which change with the executors that are alive."""
-    columns, row = docs.columns, "_strandloom_row"
+    columns, row = docs.columns, f"row_{uuid.uuid4().hex}"
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = similar_documents(docs, size, percent, row, text_col).withColumnRenamed("doc_id", row)
     named = groups.join(docs.select(row, F.col(id_col).alias("id")), row)

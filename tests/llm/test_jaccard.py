@@ -155,3 +155,8 @@ def test_one_of_each_when_partitions_change(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.doc_id, r.text) for r in out) == sorted((k, texts[k]) for k in range(60))
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 77, 5), (2, "a b c d e f", 78, 6)], "doc_id bigint, text string, _strandloom_row bigint, row bigint")
+    assert [tuple(r) for r in J.one_of_each(df).collect()] == [(1, "a b c d e f", 77, 5)]
