@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.sources.store import plain_unions
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,6 +20,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let a union count as partitioned in no way. Spark 4.1 takes a union of inputs with one partitioning as so partitioned
+    even where adaptive execution has put their partitions together differently, and then groups rows of one key apart."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as Hadoop has it."""
     context = spark.sparkContext
