@@ -96,18 +96,19 @@ def document_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFram
     """doc_id, plan_name, plan_type, category, keywords (7 at most), plan_number, uin by rules, without a model. The plan
     is sought in the file name, then in the beginning of the text; a document about no single plan has the name of its
     file."""
-    low_file, text = F.lower(file_col), F.col(text_col)
-    low, head, start = F.lower(text), F.lower(F.substring(text, 1, 2000)), F.lower(F.substring(text, 1, 5000))
-    plan = F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in PLAN_NAMES for x in (low_file, head)])
-    kind = F.coalesce(*[F.when(start.rlike(p), F.lit(n)) for n, p in PLAN_TYPES])
-    words = F.transform(F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in KEYWORDS])), 1, 7), F.initcap)
-    generic = generic_category(F.col(file_col))
-    category = F.when(low_file.rlike("brochure|sales"), "Sales Brochure").when(F.contains(low_file, F.lit("claim")), "Claim Guide").when(F.contains(low_file, F.lit("grievance")), "Support").otherwise("Policy")
-    first = F.substring(text, 1, 5000)
-    return docs.select(
-        "doc_id", F.when(generic.isNotNull(), document_title(F.col(file_col))).otherwise(F.initcap(F.replace(plan, F.lit("  "), F.lit(" ")))).alias("plan_name"), kind.alias("plan_type"),
-        F.coalesce(generic, category).alias("category"), words.alias("keywords"), rules.plan_number(first).alias("plan_number"), rules.uin(first).alias("uin"),
-    )
+    text = F.col(text_col)
+    rows = rules.settled(docs, {
+        "_file": F.lower(file_col), "_low": F.lower(text), "_head": F.lower(F.substring(text, 1, 2000)), "_first": F.substring(text, 1, 5000), "_generic": generic_category(F.col(file_col)),
+    })
+    plan = F.coalesce(*[F.regexp_substr(x, F.lit(p)) for p in PLAN_NAMES for x in (F.col("_file"), F.col("_head"))])
+    rows = rules.settled(rows, {"_plan": plan, "_start": F.lower("_first")})
+    kind = F.coalesce(*[F.when(F.col("_start").rlike(p), F.lit(n)) for n, p in PLAN_TYPES])
+    words = F.transform(F.slice(F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(w)), F.lit(w)) for w in KEYWORDS])), 1, 7), F.initcap)
+    category = F.when(F.col("_file").rlike("brochure|sales"), "Sales Brochure").when(F.contains("_file", F.lit("claim")), "Claim Guide").when(F.contains("_file", F.lit("grievance")), "Support").otherwise("Policy")
+    return rules.settled(rows, {
+        "plan_name": F.when(F.col("_generic").isNotNull(), document_title(F.col(file_col))).otherwise(F.initcap(F.replace("_plan", F.lit("  "), F.lit(" ")))), "plan_type": kind,
+        "category": F.coalesce("_generic", category), "keywords": words, "plan_number": rules.plan_number(F.col("_first")), "uin": rules.uin(F.col("_first")),
+    }).select("doc_id", "plan_name", "plan_type", "category", "keywords", "plan_number", "uin")
 
 
 def fallback_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFrame:
@@ -119,13 +120,21 @@ def fallback_metadata(docs: DataFrame, file_col: str, text_col: str) -> DataFram
     return docs.select("doc_id", name.alias("plan_name"), rules.plan_number(first).alias("plan_number"), rules.uin(first).alias("uin"), F.lit("Other").alias("category"), F.lit("").alias("summary"), *empty, *lists)
 
 
+#: Keys of a document's metadata that its chunks carry as `doc_…`, and those that they inherit under the same name.
+NAMED = ("plan_name", "plan_type", "plan_number", "uin", "category")
+INHERITED = ("organizations", "persons_mentioned", "document_date", "effective_date", "notification_date", "date_taxonomy", "membership_type", "participation_type", "risk_classification", "additional_metadata")
+
+
 def payloads(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks (doc_id, chunk_index, total, chunk, section_type, tags) with the metadata of their document, inherited where
-    they have none of their own, with title, prefix and neighbours. One document's row meets all of its chunks."""
-    own = {"plan_number": rules.plan_number(F.col("chunk")), "uin": rules.uin(F.col("chunk"))}
-    docs = documents.select("doc_id", *[F.col(c).alias(f"doc_{c}") for c in ("plan_name", "plan_type", "plan_number", "uin", "category")])
-    rows = chunks.withColumns(own).join(docs, "doc_id")
-    for name in own:
+    they have none of their own, with title, prefix and neighbours. Keys of INHERITED come along where `documents` has them;
+    empty texts and lists are no values. One document's row meets all of its chunks."""
+    rows = rules.settled(chunks, {"section_type": F.col("section_type"), "tags": F.col("tags"), "plan_number": rules.plan_number(F.col("chunk")), "uin": rules.uin(F.col("chunk"))})
+    filled = lambda c, kind: F.when(F.size(c) > 0, F.col(c)) if kind.startswith(("array", "map")) else F.when(F.col(c) != "", F.col(c)) if kind == "string" else F.col(c)
+    kinds = dict(documents.dtypes)
+    docs = documents.select("doc_id", *[filled(c, kinds[c]).alias(f"doc_{c}") for c in NAMED], *[filled(c, kinds[c]).alias(c) for c in INHERITED if c in kinds])
+    rows = rows.join(docs, "doc_id")
+    for name in ("plan_number", "uin"):
         rows = rows.withColumn(name, F.coalesce(name, f"doc_{name}"))
     none = F.array().cast("array<string>")
     return rows.withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rules = Sequence[tuple[str, str]]
@@ -107,6 +107,35 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns that are evaluated once for each row, however often what follows has them: they come out of a
+    generator, which the optimizer does not take apart."""
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")).select(*keep, *[F.col(f"_settled.{n}").alias(n) for n in columns])
+
+
+# Tags of sections.
+SECTION_TAGS = (
+    ("eligibility", "Eligibility Criteria"), ("benefits", "Benefit Details"), ("premium", "Premium Details"), ("sum_assured", "Sum Assured Details"), ("policy_term", "Policy Term Details"), ("exclusions", "Exclusions & Limitations"),
+    ("loan", "Loan Terms"), ("surrender", "Surrender Terms"), ("tax", "Tax Information"), ("rider", "Rider Details"), ("claim", "Claim Process"), ("contact", "Contact & Support"), ("annuity", "Annuity Options"), ("fund", "Fund Options"),
+    ("charges", "Charges & Deductions"),
+)
+
+
+def section_tag(section: Column) -> Column:
+    """The tag of a section type, null for those that have none."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, tag in SECTION_TAGS:
+        out = out.when(section == name, F.lit(tag))
+    return out
+
+
+def chunk_tags(text: Column, section: Column, rules: Rules) -> Column:
+    """All tags of a chunk's content, then its section's own tag if it is not among them."""
+    tag = section_tag(section)
+    return once(all_matches(text, rules), lambda found: F.when(tag.isNull(), found).otherwise(F.array_union(found, F.array(tag))))
+
+
 def flat(text: Column) -> Column:
     """Lower case, white space collapsed."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
@@ -163,12 +192,17 @@ def hints(text: Column) -> Column:
     return once(signs(text), of)
 
 
+def first_of(text: Column, pattern: str, group: int) -> Column:
+    """The group of the first match, null where there is none."""
+    return once(F.regexp_extract(text, pattern, group), lambda x: F.nullif(x, F.lit("")))
+
+
 def plan_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, FIELDS["plan_number"], 1), F.lit(""))
+    return first_of(text, FIELDS["plan_number"], 1)
 
 
 def uin(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, FIELDS["uin"], 1), F.lit(""))
+    return first_of(text, FIELDS["uin"], 1)
 
 
 def every(text: Column, field: str, group: int = 1) -> Column:

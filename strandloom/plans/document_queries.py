@@ -66,6 +66,18 @@ def content_tags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(rules.all_matches(F.col("text"), CONTENT_TAGS), ",").alias("tags"))
 
 
+_SECTION_TAG = " ".join(f"WHEN '{n}' THEN '{t}'" for n, t in rules.SECTION_TAGS)
+
+
+@query(f"""WITH {LOW}, s AS (SELECT doc_id, ['claim', 'tax', 'general', 'rider', 'made_up'][1 + doc_id % 5] AS section, regexp_replace(low, '\s+', ' ', 'g') AS flat, text FROM low),
+g AS (SELECT doc_id, section, (SELECT {_flags(CONTENT_TAGS)} FROM (SELECT regexp_replace(lower(coalesce(s.text, '')), '\s+', ' ', 'g') AS low)) AS tg, CASE section {_SECTION_TAG} END AS tag FROM s)
+SELECT doc_id, array_to_string(CASE WHEN tag IS NULL OR list_contains(tg, tag) THEN tg ELSE list_append(tg, tag) END, ',') AS tags FROM g""")
+def chunk_tags(spark, sf):
+    """Content tags and the tag of a section, which here goes by number."""
+    section = F.get(F.array(*map(F.lit, ("claim", "tax", "general", "rider", "made_up"))), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(rules.chunk_tags(F.col("text"), section, CONTENT_TAGS), ",").alias("tags"))
+
+
 _NAME = "source || '_document-' || doc_id || '.pdf'"
 
 
@@ -112,7 +124,7 @@ def chunk_payloads(spark, sf):
     docs = named(table(spark, sf, "documents"))
     lines = docs.select("doc_id", F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(layout.BLANKS)) != "").alias("parts"))
     chunks = lines.select("doc_id", F.size("parts").alias("total"), F.posexplode("parts").alias("chunk_index", "chunk"))
-    chunks = chunks.withColumns({"section_type": rules.first_match(F.col("chunk"), rules.PROSE_RULES), "tags": rules.all_matches(F.col("chunk"), rules.PROSE_TAGS)})
+    chunks = rules.settled(chunks, {"section_type": rules.first_match(F.col("chunk"), rules.PROSE_RULES), "tags": rules.all_matches(F.col("chunk"), rules.PROSE_TAGS)})
     return metadata.payloads(chunks, metadata.document_metadata(docs, "file", "t")).select("doc_id", "chunk_index", "section_type", "prev_index", "next_index", "n_chars", "title", "prefix")
 
 
