@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import document_queries, evaluation_queries, quality_queries, request_queries, retrieval_queries, text_queries
+from strandloom.plans import document_queries, evaluation_queries, failure_queries, quality_queries, request_queries, retrieval_queries, text_queries
 
-MODULES = (retrieval_queries, text_queries, quality_queries, document_queries, evaluation_queries, request_queries)
+MODULES = (retrieval_queries, text_queries, quality_queries, document_queries, evaluation_queries, request_queries, failure_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
