@@ -8,8 +8,10 @@ prior of weight `MU`), all from probed counts.
 
 The filter grows with the corpus, in segments sized on the number of words of all training texts. It is broadcast only
 while its measured size is at most `MOST_FILTER_BYTES`; beyond, it stays in its segments: blocks of texts send their
-distinct n-grams to the segments, each once for a block however frequent it is, where they are counted and then probed in
-the segment's bits by the same code, and the levels go back to the block. So scores are the same at every size.
+distinct n-grams, each once for a block however frequent it is, to groups of segments (at most 2 ** GROUPS_POWER of them, so
+a block sends that many rows at most). There batches of many blocks are cut into segments, so that few rows go to each; in
+the segments n-grams are counted and then probed in the segment's bits by the same code, and the levels go back over the
+batches to the blocks. So scores are the same at every size.
 Exact counts for the base score: at most `MOST_HEAVY` frequent words are broadcast (the threshold rises until that
 holds), and the rarer words of each text are joined, in which no key is frequent.
 
@@ -47,6 +49,8 @@ MU = 3000.0
 CHUNK, SEGMENT = 3_000_000, 3_000_000
 #: Text bytes of a block, about; n-grams for each byte of the bound from which on blocks are made without measuring first.
 BLOCK_BYTES, CLEARLY = 8 << 20, 8
+#: Groups of segments, as a power of two at most, and blocks of a batch, about.
+GROUPS_POWER, BATCH_BLOCKS = 10, 1024
 #: Words of a text.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -248,10 +252,10 @@ def rows_of(block: bytes):
             yield batch.slice(start, BATCH_ROWS)
 
 
-def counted_blocks(blocks: DataFrame, power: int) -> DataFrame:
-    """What `counted` gives of each segment (with block null), and the levels of every block's n-grams in the segment's
-    filter, in the order of the hashes."""
-    sent = StructType.fromDDL("block bigint, segment bigint, grams binary, counts binary")
+def sent_blocks(blocks: DataFrame, groups: int) -> DataFrame:
+    """(block, grp, grams, counts): the distinct n-grams of each block in order, with their counts in its training rows, cut
+    by group; `groups` is a power of two's exponent."""
+    sent = StructType.fromDDL("block bigint, grp bigint, grams binary, counts binary")
     target = arrow_schema(sent)
 
     def send(batches):
@@ -269,13 +273,53 @@ def counted_blocks(blocks: DataFrame, power: int) -> DataFrame:
                 grams = np.union1d(known, np.concatenate(rest))
                 counts = np.zeros(len(grams), np.uint32)
                 counts[np.searchsorted(grams, known)] = c
-                cuts = np.searchsorted(segment_of(grams, power), np.arange((1 << power) + 1))
+                cuts = np.searchsorted(segment_of(grams, groups), np.arange((1 << groups) + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 for part in np.array_split(full, max(1, len(full) // 64)):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([block.as_py()] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([grams[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary()),
                         pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary())], schema=target)
 
+    return blocks.mapInArrow(send, sent)
+
+
+BATCHES = "grp bigint, slot bigint, segment bigint, grams binary, counts binary, block bigint, places binary"
+
+
+def batched(sent: DataFrame, power: int, slots: int) -> DataFrame:
+    """Rows of blocks put together in batches of a group: for each segment the batch's distinct n-grams in order and their
+    counts (with block null), and for each block the places of its n-grams among the batch's (with segment null)."""
+    target = arrow_schema(StructType.fromDDL(BATCHES))
+
+    def of(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
+        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(grams)).astype(np.uint32)
+        ends = np.cumsum([len(p) for p in parts])
+        segment = segment_of(grams, power)
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        cuts = [*first.tolist(), len(grams)]
+        n, m = len(first), len(parts)
+        key = [rows.column(c)[0].as_py() for c in ("grp", "slot")]
+        columns = [
+            [key[0]] * (n + m), [key[1]] * (n + m), [*segment[first].tolist(), *[None] * m], [*(grams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])), *[None] * m], [*(counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])), *[None] * m],
+            [*[None] * n, *rows.column("block").to_pylist()], [*[None] * n, *(at[e - len(p) : e].astype(np.uint32).tobytes() for e, p in zip(ends, parts))],
+        ]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    return sent.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).groupBy("grp", "slot").applyInArrow(of, BATCHES)
+
+
+SUMMED = "grp bigint, slot bigint, segment bigint, levels binary, words binary, word_counts binary, tokens bigint, distinct bigint"
+
+
+def counted_blocks(blocks: DataFrame, power: int) -> tuple[DataFrame, DataFrame]:
+    """What `counted` gives of each segment but its bits, and the levels of every block's n-grams (block, grp, levels) in the
+    order of the hashes."""
+    groups = min(power, GROUPS_POWER)
+    slots = max(1, math.ceil(blocks.count() / BATCH_BLOCKS))
+    batches = written(batched(sent_blocks(blocks, groups), power, slots))
+
     def add_up(part: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         every = np.frombuffer(b"".join(part["grams"]), np.uint64)
@@ -286,12 +330,22 @@ def counted_blocks(blocks: DataFrame, power: int) -> DataFrame:
         found = Filter({0: bits.tobytes()}, 0).levels(grams).astype(np.uint8)[at]
         word = known & ((grams & _ONE) == 0)
         cuts = np.cumsum([0, *(len(g) // 8 for g in part["grams"])])
-        head = {"block": [None], "segment": [part["segment"].iloc[0]], "levels": [b""], "words": [grams[word].tobytes()], "word_counts": [counts[word].tobytes()], "tokens": [int(counts[word].sum())], "distinct": [int(word.sum())]}
-        back = {"block": part["block"], "segment": part["segment"], "levels": [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+        head = {"grp": [None], "slot": [None], "segment": [part["segment"].iloc[0]], "levels": [b""], "words": [grams[word].tobytes()], "word_counts": [counts[word].tobytes()], "tokens": [int(counts[word].sum())], "distinct": [int(word.sum())]}
+        back = {"grp": part["grp"], "slot": part["slot"], "segment": part["segment"], "levels": [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
         out = {k: [*v, *back.get(k, [None] * len(part))] for k, v in head.items()}
-        return pd.DataFrame({k: pd.array(v, "Int64") if k in ("block", "segment", "tokens", "distinct") else v for k, v in out.items()})
+        return pd.DataFrame({k: pd.array(v, "Int64") if k in ("grp", "slot", "segment", "tokens", "distinct") else v for k, v in out.items()})
+
+    messages = batches.where("segment IS NOT NULL").select("grp", "slot", "segment", "grams", "counts")
+    both = written(messages.groupBy("segment").applyInPandas(add_up, SUMMED))
+
+    def deliver(members: pa.Table, replied: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(replied.sort_by("segment").column("levels").to_pylist()), np.uint8)
+        back = [found[np.frombuffer(p, np.uint32)].tobytes() for p in members.column("places").to_pylist()]
+        return pa.Table.from_arrays([members.column("block"), members.column("grp"), pa.array(back, pa.binary())], names=["block", "grp", "levels"])
 
-    return blocks.mapInArrow(send, sent).groupBy("segment").applyInPandas(add_up, "block bigint, segment bigint, levels binary, words binary, word_counts binary, tokens bigint, distinct bigint")
+    members = batches.where("block IS NOT NULL").select("grp", "slot", "block", "places")
+    replies = both.where("grp IS NOT NULL").select("grp", "slot", "segment", "levels")
+    return both.where("grp IS NULL"), members.groupBy("grp", "slot").cogroup(replies.groupBy("grp", "slot")).applyInArrow(deliver, "block bigint, grp bigint, levels binary")
 
 
 def unpacked(rows: DataFrame, hashes: str, values: str, kind, name: str, keep=None) -> DataFrame:
@@ -328,8 +382,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         filter_bytes = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     if grams > CLEARLY * most_filter_bytes or filter_bytes > most_filter_bytes:
         blocks = written(blocks_of(docs))
-        both = written(counted_blocks(blocks, power))
-        segments, replies = both.where("block IS NULL"), both.where("block IS NOT NULL").select("block", "segment", "levels")
+        segments, replies = counted_blocks(blocks, power)
     sizes = segments.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     total, distinct = sizes["n"], sizes["v"]
 
@@ -385,7 +438,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             for part in parts:
                 tokens, n = tokens_of(part.column(3).to_pylist(), memo)
                 grams.append(np.union1d(tokens, pairs_of(tokens, n)[1]))
-            replied = replied.sort_by("segment")
+            replied = replied.sort_by("grp")
             model = Table(np.unique(np.concatenate(grams)), np.frombuffer(b"".join(replied.column("levels").to_pylist()), np.uint8).astype(np.int64))
             return pa.Table.from_batches([scores_of(p, memo, lambda _, tokens, n: log_probabilities(tokens, n, model, total, distinct)) for p in parts], target)
 

@@ -100,6 +100,27 @@ def test_segments_are_sized_on_all_texts(spark, monkeypatch):
         assert a[:5] == b[:5] == c[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
 
 
+def test_many_segments_cost_few_rows(spark, docs, monkeypatch):
+    """With far more segments than groups a block sends a row to each group at most, batches put several blocks' n-grams of a
+    segment together, and scores stay as they are."""
+    seen = {}
+    for name, value in (("SEGMENT", 40), ("GROUPS_POWER", 3), ("BATCH_BLOCKS", 2)):
+        monkeypatch.setattr(M, name, value)
+    sent, batched = M.sent_blocks, M.batched
+    monkeypatch.setattr(M, "sent_blocks", lambda blocks, groups: seen.setdefault("sent", (sent(blocks, groups), groups, blocks.count()))[0])
+    monkeypatch.setattr(M, "batched", lambda rows, power, slots: seen.setdefault("batched", (batched(rows, power, slots), power, slots))[0])
+    beyond, _ = run(spark, docs[:120], most_filter_bytes=1, most_heavy=50)
+    rows, groups, blocks = seen["sent"]
+    batches, power, slots = seen["batched"]
+    assert groups == 3 and power > 8 and slots == -(-blocks // 2) >= 2
+    assert rows.count() <= 2**groups * blocks and rows.groupBy("block").count().agg({"count": "max"}).first()[0] <= 2**groups
+    assert batches.where("block IS NOT NULL").count() == rows.count()
+    monkeypatch.undo()
+    below, _ = run(spark, docs[:120], most_heavy=50)
+    for a, b in zip(below, beyond, strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and b[6] == pytest.approx(a[6], rel=0.03, abs=0.5)
+
+
 def test_filter_has_all_levels_and_few_others():
     rng = np.random.default_rng(0)
     np.seterr(over="ignore")
