@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.text import sentences
-from strandloom.operators import retrieval
+from strandloom.operators import requests, retrieval
+from strandloom.operators.filters import HARD_KEYS
 
 NO_CONTEXT = "No relevant passages were found."
 
@@ -57,9 +58,51 @@ def retrieved(docs: DataFrame, questions: DataFrame, limit: int, models: Models,
     return retrieval.confident_prefix(retrieval.confidence(cut)).select("query_id", "rank", "doc_id", "source", F.col("found").alias("text"), "score", "confidence")
 
 
-def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Models = Models(), index: retrieval.SearchIndex | None = None) -> DataFrame:
-    """One row for each question: allowed, answer, and its citations in order."""
-    rows = retrieved(docs, questions, limit, models, index)
+def split_json(filters: Column, keys: tuple[str, ...]) -> Column:
+    """The part of a JSON filter that has these keys, and the tenants' keys; null without any."""
+    kept = F.map_filter(F.from_json(filters, "map<string,string>"), lambda k, v: k.isin(*keys, *requests.TENANTS))
+    return F.when(F.cardinality(kept) > 0, F.to_json(kept))
+
+
+def ladder(filters: Column) -> Column:
+    """The levels of relaxation that a filter has: all of it, its hard part, nothing but the tenants; a level that would
+    restrict nothing is left out, but for the last."""
+    given = F.when(F.cardinality(F.from_json(filters, "map<string,string>")) > 0, filters)
+    level = lambda n, f: F.struct(F.lit(n).alias("level"), f.alias("filters"))
+    all_, hard, last = level(0, given), level(1, split_json(filters, HARD_KEYS)), level(2, split_json(filters, ()))
+    return F.concat(F.filter(F.array(all_, hard), lambda x: x["filters"].isNotNull()), F.array(last))
+
+
+def decomposed(index: retrieval.SearchIndex, points: DataFrame, vectors: DataFrame, questions: DataFrame, models: Models, limit: int = 5, mode: str = "hybrid", rerank: bool = False, asked: DataFrame | None = None,
+               least_score: float = 0.4, hard: float = 0.5) -> DataFrame:
+    """(query_id, rank, doc_id, source, text, score, confidence, ord, level) of questions (query_id, question, filters, and
+    perhaps `sub_reply`, a model's lines of sub-queries). Every sub-query goes through each level of its filter's relaxation as
+    a request of one search; what the first level that ends its ladder has is gathered in the order of the sub-queries,
+    once for each source and beginning, cut, and with confidences. `asked` has vectors of sub-queries (query_id, ord, q)."""
+    reply = F.col("sub_reply") if "sub_reply" in questions.columns else F.lit(None).cast("string")
+    open_ = questions.where(allowed(F.col("question"), models)).select("query_id", "question", "filters", F.posexplode(sub_queries(F.coalesce(reply, F.lit("")), F.col("question"))).alias("ord", "sub"))
+    each = open_.select("query_id", "question", "ord", F.coalesce(models.rewrite(F.col("sub")), F.col("sub")).alias("sub"), F.explode(ladder(F.col("filters"))).alias("l"))
+    each = requests.written(each.select("query_id", "question", "ord", "sub", "l.level", "l.filters").withColumn("request", F.monotonically_increasing_id()))
+    wanted = each.select(F.col("request").alias("query_id"), F.col("sub").alias("question"), F.lit(mode).alias("mode"), F.lit(limit).alias("k"), "filters", F.lit(rerank).alias("rerank"))
+    if asked is None:
+        asked = each.select(F.col("request").alias("query_id"), F.array().cast("array<double>").alias("q")).limit(0)
+    else:
+        asked = each.join(asked, ["query_id", "ord"]).select(F.col("request").alias("query_id"), "q")
+    hits = requests.search(index, points, vectors, wanted, asked, models.rerank(F.col("question"), F.col("text"), F.lit(0.0)))
+    hits = requests.written(hits.select(F.col("query_id").alias("request"), "rank", "doc_id", "score").join(each.select("request", "query_id", "ord", "level"), "request"))
+    # The ladder of a sub-query, by its first request.
+    first = each.groupBy("query_id", "ord").agg(F.min("request").alias("sub_id"))
+    rows = hits.join(first, ["query_id", "ord"]).select(F.col("sub_id").alias("query_id"), "level", "rank", "doc_id", "score")
+    ended = retrieval.relaxed([rows.where(F.col("level") == k).drop("level") for k in (0, 1, 2)], 2, least_score, hard)
+    found = ended.withColumnRenamed("query_id", "sub_id").join(first, "sub_id").join(points.select("doc_id", "source", "text"), "doc_id")
+    order = [F.col("ord"), F.col("rank")]
+    once = retrieval.first_of(found, [F.col("query_id"), F.col("source"), F.substring("text", 1, 100)], order)
+    cut = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
+    return retrieval.confident_prefix(retrieval.confidence(cut)).select("query_id", "rank", "doc_id", "source", "text", "score", "confidence", "ord", "level")
+
+
+def answered(questions: DataFrame, rows: DataFrame, models: Models = Models()) -> DataFrame:
+    """One row for each question: allowed, answer, correction, and its citations in order, of what was retrieved for it."""
     cited = rows.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source", "confidence"))).alias("citations"), F.min_by("text", "rank").alias("best"),
     )
@@ -69,6 +112,11 @@ def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Model
     return every.select("query_id", "allowed", "answer", models.critic(F.col("question"), F.col("answer")).alias("correction"), F.coalesce("citations", F.slice("citations", 1, 0), F.array().cast("array<struct<rank:int,doc_id:bigint,source:string,confidence:double>>")).alias("citations"))
 
 
+def answers(docs: DataFrame, questions: DataFrame, limit: int = 5, models: Models = Models(), index: retrieval.SearchIndex | None = None) -> DataFrame:
+    """One row for each question: allowed, answer, correction, and its citations in order."""
+    return answered(questions, retrieved(docs, questions, limit, models, index), models)
+
+
 def events(found: DataFrame) -> DataFrame:
     """The rows of streamed answers, in order: metadata, citations, a token for each word, a correction if there is one,
     done; an error in the place of tokens where there is no answer."""

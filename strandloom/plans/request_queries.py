@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import rules
 from strandloom.operators import batched, layout, requests
+from strandloom.plans import answering
+from strandloom.plans.evaluation_queries import SUBS
 from strandloom.plans.registry import Registry, table
 from strandloom.plans.retrieval_queries import BM25, index
 from strandloom.plans.text_queries import LOW, _first
@@ -58,6 +60,39 @@ def dispatched_search(spark, sf):
     return requests.search(index(spark, sf), points, vectors, asked, questions, score)
 
 
+#: Filters of decomposed questions by number: hard, soft and tenants' keys, and their levels in SQL.
+LADDERS = ((None, None, None, "true"), ('{"source": "src0", "section_type": "en"}', "source = 'src0' AND lang = 'en'", "source = 'src0'", "true"), ('{"section_type": ["fr", "de"], "project_ids": ["p0", "p1"]}', "lang IN ('fr', 'de') AND p IN ('p0', 'p1')", "p IN ('p0', 'p1')", "p IN ('p0', 'p1')"))
+_LEVELS = " UNION ALL ".join(
+    f"SELECT query_id, {k - 1} AS level, doc_id, rank, score FROM sb WHERE question_id % 3 = {f} AND {ladder[k]}" for f, ladder in enumerate(LADDERS) for k in (1, 2, 3) if ladder[k])
+
+
+@query(f"""WITH {SUBS}, {BM25.replace("FROM benchmark)", "FROM sub)")},
+pay AS (SELECT doc_id, text, lang, source, 'p' || (doc_id % 3) AS p FROM documents),
+sb AS (SELECT query_id, query_id // 2 AS question_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, score, lang, source, p FROM bm JOIN pay USING (doc_id) WHERE rank <= 5 AND score > 0),
+lv AS ({_LEVELS}),
+st AS (SELECT query_id, level, count(*) AS n, max(score) AS t FROM lv GROUP BY 1, 2),
+fin AS (SELECT query_id, min(level) AS level FROM st WHERE t < 5 OR (n >= 2 AND t >= 8) OR level = 2 GROUP BY 1),
+ok AS (SELECT query_id // 2 AS question_id, query_id % 2 AS ord, level, doc_id, rank, score FROM lv JOIN fin USING (query_id, level) JOIN st USING (query_id, level) WHERE t >= 5),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source, substr(text, 1, 100) ORDER BY ord, rank) AS k FROM ok JOIN pay USING (doc_id)) WHERE k = 1),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ord, rank) AS place FROM o) WHERE place <= 5),
+conf AS (SELECT *, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY question_id), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY question_id) AS m FROM c)),
+low AS (SELECT *, max(CASE WHEN confidence < 0.1 AND place > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY place) AS x FROM conf)
+SELECT question_id AS query_id, CAST(place AS INTEGER) AS rank, doc_id, CAST(ord AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, confidence FROM low WHERE x = 0""")
+def decomposed_search(spark, sf):
+    """Questions in sub-queries (here the question and its first half), each through the levels of its own filter, put
+    together again: one plan for all. Scores are of words, so the thresholds are theirs (5 and 8)."""
+    number = F.col("item_id") % 3
+    filters = F.when(number == 1, F.lit(LADDERS[1][0])).when(number == 2, F.lit(LADDERS[2][0]))
+    # A reply has one query a line; texts of several lines are put on one, which the tokens do not see.
+    line = F.btrim(F.replace("text", F.lit("\n"), F.lit(" ")))
+    half = F.btrim(F.replace(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.lit("\n"), F.lit(" ")))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), line.alias("question"), filters.alias("filters"), F.concat_ws("\n", line, half).alias("sub_reply"))
+    points = table(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("section_type"), F.array(F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))).alias("project_ids"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    found = answering.decomposed(index(spark, sf), points, vectors, questions, answering.Models(rerank=lambda q, t, s: s), 5, "keyword", least_score=8.0, hard=5.0)
+    return found.select("query_id", "rank", "doc_id", F.col("ord").cast("int").alias("ord"), F.col("level").cast("int").alias("level"), "confidence")
+
+
 class StandIn:
     """A model without weights: a type by the first sign in a text, sure of texts with an even number of characters."""
 
