@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.functions.text import search_tokens
-from strandloom.operators import filters, retrieval
+from strandloom.operators import filters, retrieval, sequences
 from strandloom.operators.search_index import IndexStore
 from strandloom.plans import answering
 from strandloom.plans.registry import Registry, table
@@ -222,13 +221,8 @@ c AS (SELECT vec_id, label, round(CASE WHEN nxt IS NULL THEN NULL ELSE list_cosi
 SELECT vec_id, label, cosine, CAST(coalesce(sum(CASE WHEN cosine < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM c""")
 def semantic_breakpoints(spark, sf):
     """Segments of a sequence of vectors: a new one begins where neighbours are unlike."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = table(spark, sf, "embeddings").withColumn("nxt", F.lead("embedding").over(w))
-    norm = F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("nxt", "nxt"))
-    cosine = F.round(F.when(norm == 0, F.lit(0.0)).otherwise(dot("embedding", "nxt") / norm), 6)
-    rows = rows.select("vec_id", "label", cosine.alias("cosine"))
-    return rows.withColumn("segment", F.coalesce(F.sum((F.col("cosine") < 0.5).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = sequences.breakpoints(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding")
+    return rows.select("vec_id", "label", "cosine", "segment")
 
 
 def questions(spark, sf) -> DataFrame:
