@@ -10,6 +10,7 @@ from strandloom.operators import filters, retrieval, sequences
 from strandloom.operators.search_index import IndexStore
 from strandloom.plans import answering
 from strandloom.plans.registry import Registry, table
+from strandloom.plans.text_queries import SENTENCES
 from strandloom.sources.store import new_folder
 
 REGISTRY = query = Registry()
@@ -229,18 +230,26 @@ def questions(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-@query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, b.score, rank, source, text FROM bm b JOIN documents USING (doc_id) WHERE rank <= 10 AND b.score > 0),
+CONTEXT = f"""{BM25}, r AS (SELECT query_id, doc_id, b.score, rank, source, text FROM bm b JOIN documents USING (doc_id) WHERE rank <= 10 AND b.score > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, substr(text, 1, 100) ORDER BY score DESC, rank) AS k FROM r),
 c AS (SELECT query_id, doc_id, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INTEGER) AS rank FROM o WHERE k = 1),
 f AS (SELECT *, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY query_id), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM c WHERE rank <= 5)),
-p AS (SELECT *, max(CASE WHEN confidence < 0.1 AND rank > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS low FROM f)
-SELECT query_id, rank, doc_id, source, confidence FROM p WHERE low = 0""")
+p AS (SELECT *, max(CASE WHEN confidence < 0.1 AND rank > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS low FROM f)"""
+
+
+@query(f"WITH {CONTEXT} SELECT query_id, rank, doc_id, source, confidence FROM p WHERE low = 0")
 def answer_context(spark, sf):
     """What an answer is given: reranked, deduplicated, cut where confidence falls."""
     return answering.retrieved(table(spark, sf, "documents"), questions(spark, sf), 5, answering.Models(), index(spark, sf)).select("query_id", "rank", "doc_id", "source", "confidence")
 
 
-@query()
+@query(f"""WITH {CONTEXT}, {SENTENCES},
+a AS (SELECT item_id AS query_id, coalesce('[' || string_agg('{{"rank":' || rank || ',"doc_id":' || doc_id || ',"source":"' || source || '","confidence":' || confidence || '}}', ',' ORDER BY rank) || ']', '[]') AS citations,
+  min(doc_id) FILTER (rank = 1) AS best FROM benchmark LEFT JOIN (SELECT * FROM p WHERE low = 0) ON query_id = item_id GROUP BY item_id),
+w AS (SELECT query_id, citations, CASE WHEN best IS NULL THEN '{answering.NO_CONTEXT}' ELSE s[1] END AS answer FROM a LEFT JOIN st ON st.doc_id = best),
+e AS (SELECT query_id, list_concat([{{'t': 'metadata', 'd': '{{"allowed":true}}'}}, {{'t': 'citations', 'd': citations}}],
+  CASE WHEN answer IS NULL THEN [{{'t': 'error', 'd': 'no answer'}}] ELSE list_transform(list_filter(string_split(answer, ' '), lambda x: x <> ''), lambda x: {{'t': 'token', 'd': x}}) END, [{{'t': 'done', 'd': ''}}]) AS e FROM w)
+SELECT query_id, CAST(k AS INTEGER) AS seq, e[k + 1].t AS type, e[k + 1].d AS data FROM (SELECT query_id, e, unnest(range(0, len(e))) AS k FROM e)""")
 def answer_events(spark, sf):
-    """Event rows of streamed answers; their order and contents are held in the tests."""
+    """Event rows of streamed answers, in order."""
     return answering.events(answering.answers(table(spark, sf, "documents"), questions(spark, sf), index=index(spark, sf)))
