@@ -54,6 +54,7 @@ def metrics_of(blocks: Column) -> list[Column]:
     count = lambda keep: F.size(F.filter(blocks, keep)).cast("bigint")
     chars = lambda keep: F.aggregate(F.filter(blocks, keep), F.lit(0).cast("bigint"), lambda n, b: n + F.length(b["content"]))
     every = lambda b: F.lit(True)
+    at_level = lambda k: count(lambda b: b["level"] == k)
     listed = lambda b: (b["tag"] == "li") | b["content"].rlike(structure.LIST_LINE)
     celled = lambda b: b["tag"].isin(*structure.CELLS)
     body = lambda b: (b["level"] == 0) & (b["tag"] != "li") & ~celled(b) & (F.length(b["content"]) > 50)
@@ -62,12 +63,18 @@ def metrics_of(blocks: Column) -> list[Column]:
     share = lambda keep: F.round(chars(keep) / F.nullif(total, F.lit(0).cast("bigint")), 6)
     mean = F.coalesce(chars(body) / F.nullif(count(body), F.lit(0).cast("bigint")), F.lit(0.0))
     return [
-        headings.alias("n_headings"), F.coalesce(F.array_max(F.transform(blocks, lambda b: b["level"])), F.lit(0)).alias("depth"), *[count(lambda b, k=k: b["level"] == k).alias(f"n_level{k}") for k in (1, 2, 3)],
+        headings.alias("n_headings"), F.coalesce(F.array_max(F.transform(blocks, lambda b: b["level"])), F.lit(0)).alias("depth"), *[at_level(k).alias(f"n_level{k}") for k in (1, 2, 3)],
         total.alias("n_chars"), count(listed).alias("n_lists"), share(listed).alias("list_coverage"), share(celled).alias("table_coverage"), F.round(mean, 6).alias("mean_paragraph"),
         F.round(total / F.greatest(headings, F.lit(1)), 6).alias("mean_section"), structure.qa_pairs(text).alias("n_qa"),
     ]
 
 
+def page_metrics(pages: DataFrame) -> DataFrame:
+    """`structure.metrics` of pages, each from its own array of blocks: no shuffle. Pages without text have no row."""
+    rows = rules.settled(pages.select("page_id", "html"), {"blocks": F.filter(raw_blocks(F.col("html")), lambda b: b["content"] != "")})
+    return rows.where(F.size("blocks") > 0).select("page_id", *metrics_of(F.col("blocks")))
+
+
 def sentences_of(text: str) -> list[str]:
     for short, kept in ABBREVIATIONS:
         text = text.replace(short, kept + MARK)
@@ -324,9 +331,9 @@ def routed(pages: DataFrame) -> DataFrame:
     blocks where tables begin and end."""
     html = F.col("html")
     grids = tables.tables_udf(tables.events(F.when(tables.has_table(html), html)))
-    rows = pages.select("page_id", raw_blocks(html).alias("raw"), grids.alias("tables"))
+    rows = rules.settled(pages.select("page_id", "html", grids.alias("tables")), {"raw": raw_blocks(html)})
     marks = F.transform(F.filter("raw", lambda b: b["tag"].isin("table", "/table")), lambda b: F.struct(b["idx"].alias("idx"), (b["tag"] == "table").alias("opens")))
-    rows = rows.select("page_id", "tables", F.filter("raw", lambda b: b["content"] != "").alias("blocks"), marks.alias("marks"))
+    rows = rules.settled(rows.select("page_id", "tables", "raw"), {"blocks": F.filter("raw", lambda b: b["content"] != ""), "marks": marks}).drop("raw")
     kept = ("blocks", "tables", "marks")
     return structure.structure(rows.select("page_id", *kept, *metrics_of(F.col("blocks"))), keep=kept)
 

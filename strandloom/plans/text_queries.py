@@ -172,7 +172,7 @@ met AS (SELECT page_id, count(*) FILTER (level > 0) AS n_headings, CAST(max(leve
 
 @query(f"WITH {BLOCKS}, {METRICS} SELECT * FROM met")
 def doc_metrics(spark, sf):
-    return structure.metrics(structure.blocks(table(spark, sf, "pages")))
+    return page_chunks.page_metrics(table(spark, sf, "pages"))
 
 
 @query(f"""WITH {BLOCKS}, {METRICS}, s AS (SELECT *, CASE WHEN n_qa >= 3 THEN 'qa' WHEN table_coverage > 0.4 THEN 'tabular' WHEN n_headings >= 3 AND depth >= 2 THEN 'hierarchical' WHEN list_coverage > 0.3 THEN 'list'
@@ -185,7 +185,7 @@ WHEN structure = 'hierarchical' AND deep THEN 'hierarchical' WHEN structure = 'n
 concat_ws('; ', 'Structure: ' || structure, 'Pages: 1, Headings: ' || n_headings, CASE WHEN table_coverage > 0 THEN 'Tables: ' || CAST(round(100 * table_coverage) AS INTEGER) || '% coverage' END, CASE WHEN n_qa > 0 THEN 'Q&A pairs: ' || n_qa END,
   CASE WHEN depth > 0 THEN 'Heading depth: ' || depth END, CASE WHEN deep THEN 'Supports parent-child chunking' END) AS notes FROM t""")
 def chunker_route(spark, sf):
-    return structure.structure(structure.metrics(structure.blocks(table(spark, sf, "pages"))))
+    return structure.structure(page_chunks.page_metrics(table(spark, sf, "pages")))
 
 
 @query(f"""WITH RECURSIVE {BLOCKS}, p AS (SELECT c.page_id, c.idx, h.idx AS h, h.level AS hl FROM blk c JOIN blk h ON c.page_id = h.page_id AND h.idx < c.idx AND h.level > 0 AND (c.level = 0 OR h.level < c.level)
@@ -295,7 +295,7 @@ def table_page_chunks(spark, sf):
        "SELECT k AS structure, deep, count(*) AS n_pages, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM s GROUP BY 1, 2")
 def structures(spark, sf):
     """Pages and characters of each structure."""
-    m = structure.metrics(structure.blocks(table(spark, sf, "pages")))
+    m = page_chunks.page_metrics(table(spark, sf, "pages"))
     found = structure.structure(m).join(m.select("page_id", "n_chars"), "page_id")
     return found.groupBy("structure", F.col("supports_hierarchy").alias("deep")).agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("n_chars"))
 

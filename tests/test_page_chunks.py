@@ -63,6 +63,12 @@ def test_routes_equal_those_of_blocks(spark):
     assert one == two and len({r[5] for r in one}) > 1
 
 
+def test_metrics_equal_those_of_blocks(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    one, two = structure.metrics(structure.blocks(pages)), P.page_metrics(pages)
+    assert sorted(map(tuple, two.select(one.columns).collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_one_scan_and_no_shuffle(spark, capsys):
     P.smart_page_chunks(spark.read.parquet(f"{SF}/pages.parquet")).explain()
     plan = capsys.readouterr().out
