@@ -69,8 +69,8 @@ def content_tags(spark, sf):
 _SECTION_TAG = " ".join(f"WHEN '{n}' THEN '{t}'" for n, t in rules.SECTION_TAGS)
 
 
-@query(f"""WITH {LOW}, s AS (SELECT doc_id, ['claim', 'tax', 'general', 'rider', 'made_up'][1 + doc_id % 5] AS section, regexp_replace(low, '\s+', ' ', 'g') AS flat, text FROM low),
-g AS (SELECT doc_id, section, (SELECT {_flags(CONTENT_TAGS)} FROM (SELECT regexp_replace(lower(coalesce(s.text, '')), '\s+', ' ', 'g') AS low)) AS tg, CASE section {_SECTION_TAG} END AS tag FROM s)
+@query(f"""WITH {LOW}, s AS (SELECT doc_id, ['claim', 'tax', 'general', 'rider', 'made_up'][1 + doc_id % 5] AS section, regexp_replace(low, '\\s+', ' ', 'g') AS flat, text FROM low),
+g AS (SELECT doc_id, section, (SELECT {_flags(CONTENT_TAGS)} FROM (SELECT regexp_replace(lower(coalesce(s.text, '')), '\\s+', ' ', 'g') AS low)) AS tg, CASE section {_SECTION_TAG} END AS tag FROM s)
 SELECT doc_id, array_to_string(CASE WHEN tag IS NULL OR list_contains(tg, tag) THEN tg ELSE list_append(tg, tag) END, ',') AS tags FROM g""")
 def chunk_tags(spark, sf):
     """Content tags and the tag of a section, which here goes by number."""

@@ -134,7 +134,7 @@ _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[CAST('0x'
 
 
 @query(f"""WITH txt AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
-wd AS (SELECT k, id, unnest(string_split_regex(lower(coalesce(text, '')), '\s+')) AS w FROM txt), hs AS (SELECT w, {_CRC} AS h FROM (SELECT DISTINCT w FROM wd WHERE w <> '')),
+wd AS (SELECT k, id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS w FROM txt), hs AS (SELECT w, {_CRC} AS h FROM (SELECT DISTINCT w FROM wd WHERE w <> '')),
 vc AS (SELECT k, id, h % 64 AS dim, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM wd JOIN hs USING (w) GROUP BY 1, 2, 3), nm AS (SELECT k, id, sqrt(sum(v * v)) AS n FROM vc GROUP BY 1, 2),
 dt AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS dot FROM vc q JOIN vc d ON q.dim = d.dim AND q.k = 'q' AND d.k = 'd' GROUP BY 1, 2),
 sc AS (SELECT item_id AS query_id, documents.doc_id AS doc_id, round(coalesce(dot / nullif(a.n * b.n, 0), 0.0), 6) AS score FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN dt ON query_id = item_id AND dt.doc_id = documents.doc_id

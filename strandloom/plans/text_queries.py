@@ -40,14 +40,18 @@ def chunk_neighbors(spark, sf):
     return structure.neighbours(table(spark, sf, "documents"))
 
 
-@query(f"""WITH RECURSIVE {SENTENCES}, run AS (
-  SELECT doc_id, s, 0 AS i, CAST([] AS VARCHAR[]) AS now, 0 AS n, 0 AS k, CAST(NULL AS VARCHAR) AS chunk FROM st
+def _greedy(sentences: str) -> str:
+    """Greedy packing of (doc_id, s) as a recursion over sentences; `run` has a chunk where one ends."""
+    return f"""run AS (
+  SELECT doc_id, s, 0 AS i, CAST([] AS VARCHAR[]) AS now, 0 AS n, 0 AS k, CAST(NULL AS VARCHAR) AS chunk FROM {sentences}
   UNION ALL
   SELECT doc_id, s, i + 1, CASE WHEN i = len(s) THEN [] WHEN is_full THEN list_append(list_slice(now, -2, -1), s[i + 1]) ELSE list_append(now, s[i + 1]) END,
     CASE WHEN i = len(s) THEN 0 WHEN is_full THEN length(s[i + 1]) + coalesce(list_sum(list_transform(list_slice(now, -2, -1), lambda x: length(x))), 0) ELSE n + length(s[i + 1]) END,
     k + CASE WHEN is_full THEN 1 ELSE 0 END, CASE WHEN is_full THEN array_to_string(now, ' ') END
-  FROM (SELECT *, len(now) > 0 AND (i = len(s) OR n + length(s[i + 1]) > {structure.CHUNK_SIZE}) AS is_full FROM run WHERE i <= len(s)))
-SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_index, chunk, sha256(doc_id || '|' || (k - 1) || '|' || chunk) AS chunk_id FROM run WHERE chunk IS NOT NULL""")
+  FROM (SELECT *, len(now) > 0 AND (i = len(s) OR n + length(s[i + 1]) > {structure.CHUNK_SIZE}) AS is_full FROM run WHERE i <= len(s)))"""
+
+
+@query(f"WITH RECURSIVE {SENTENCES}, {_greedy('st')} SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_index, chunk, sha256(doc_id || '|' || (k - 1) || '|' || chunk) AS chunk_id FROM run WHERE chunk IS NOT NULL")
 def greedy_pack(spark, sf):
     """An order-dependent fold; in SQL a step for each sentence."""
     return structure.greedy_chunks(table(spark, sf, "documents"))
@@ -226,6 +230,7 @@ def recursive_chunks(spark, sf):
 
 @query()
 def structured_chunks(spark, sf):
+    """Sections, the long ones packed, small neighbours merged; held against a plain version in the tests."""
     return chunking.structured_chunks(table(spark, sf, "pages"))
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+from strandloom.functions import rules
 from strandloom.operators import chunking as C
 from strandloom.operators import page_chunks, structure
 
@@ -146,3 +147,36 @@ def test_structured(spark):
     rows = C.structured_chunks(pages).collect()
     text = {r.page_id: re.sub(r"\s+", "", r.text or "") for r in structure.sections(structure.blocks(pages)).groupBy("page_id").agg({"text": "max"}).withColumnRenamed("max(text)", "text").collect()}
     assert {r.page_id for r in rows} == set(text) and all(r.chunk for r in rows)
+
+
+def test_structured_equals_a_plain_version(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found, want, sections = {}, {}, {}
+    for r in C.structured_chunks(pages).orderBy("page_id", "chunk_index").collect():
+        found.setdefault(r.page_id, []).append((r.section_type, r.chunk))
+    for r in structure.blocks(pages).orderBy("page_id", "idx").collect():
+        own = sections.setdefault(r.page_id, [[None, []]])
+        if 1 <= r.level <= 3:
+            own.append([r.content, []])
+        else:
+            own[-1][1].append(r.content)
+    for page, own in sections.items():
+        chunks = []
+        for heading, body in own:
+            text = "\n".join(body)
+            if not body:
+                continue
+            low = " ".join(filter(None, [heading, text[:500]])).lower().strip()
+            kind = "general" if len(low) < 3 else next((n for n, p in rules.PROSE_RULES if re.search(p, low)), "general")
+            parts, now = [], []
+            for s in [*page_chunks.sentences_of(text), None] if len(text) > 1200 else []:
+                if now and (s is None or sum(map(len, now)) + len(s) > 800):
+                    parts.append(" ".join(now))
+                    now = now[-2:]
+                if s is not None:
+                    now.append(s)
+            parts = parts if len(text) > 1200 else [text]
+            chunks += [(kind, c) for p in parts for c in (C.split_recursive(p) if len(p) > 1200 else [p])]
+        if chunks:
+            want[page] = C.merge_small(chunks)
+    assert found == want and any(len(c) > 800 for v in want.values() for _, c in v)
