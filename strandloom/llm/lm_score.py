@@ -8,10 +8,10 @@ prior of weight `MU`), all from probed counts.
 
 The filter grows with the corpus, in segments sized on the number of words of all training texts. It is broadcast only
 while its measured size is at most `MOST_FILTER_BYTES`; beyond, it stays in its segments: blocks of texts send their
-distinct n-grams, each once for a block however frequent it is, to groups of segments (at most 2 ** GROUPS_POWER of them, so
-a block sends that many rows at most). There batches of many blocks are cut into segments, so that few rows go to each; in
-the segments n-grams are counted and then probed in the segment's bits by the same code, and the levels go back over the
-batches to the blocks. So scores are the same at every size.
+distinct n-grams, each once for a block however frequent it is, to the segments, where they are counted and then probed in
+the segment's bits by the same code, and the levels go back to the blocks. So scores are the same at every size. A block
+sends at most 2 ** GROUPS_POWER rows: where there are more segments than that, its rows go to groups of segments, in which
+batches of many blocks are cut into segments, so that few rows go to each, and the levels go back over the batches.
 Exact counts for the base score: at most `MOST_HEAVY` frequent words are broadcast (the threshold rises until that
 holds), and the rarer words of each text are joined, in which no key is frequent.
 
@@ -50,7 +50,7 @@ CHUNK, SEGMENT = 3_000_000, 3_000_000
 #: Text bytes of a block, about; n-grams for each byte of the bound from which on blocks are made without measuring first.
 BLOCK_BYTES, CLEARLY = 8 << 20, 8
 #: Groups of segments, as a power of two at most, and blocks of a batch, about.
-GROUPS_POWER, BATCH_BLOCKS = 10, 1024
+GROUPS_POWER, BATCH_BLOCKS = 12, 1024
 #: Words of a text.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -316,10 +316,7 @@ SUMMED = "grp bigint, slot bigint, segment bigint, levels binary, words binary,
 def counted_blocks(blocks: DataFrame, power: int) -> tuple[DataFrame, DataFrame]:
     """What `counted` gives of each segment but its bits, and the levels of every block's n-grams (block, grp, levels) in the
     order of the hashes."""
-    groups = min(power, GROUPS_POWER)
-    slots = max(1, math.ceil(blocks.count() / BATCH_BLOCKS))
-    batches = written(batched(sent_blocks(blocks, groups), power, slots))
-
+    sent = sent_blocks(blocks, min(power, GROUPS_POWER))
     def add_up(part: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         every = np.frombuffer(b"".join(part["grams"]), np.uint64)
@@ -335,6 +332,13 @@ def counted_blocks(blocks: DataFrame, power: int) -> tuple[DataFrame, DataFrame]
         out = {k: [*v, *back.get(k, [None] * len(part))] for k, v in head.items()}
         return pd.DataFrame({k: pd.array(v, "Int64") if k in ("grp", "slot", "segment", "tokens", "distinct") else v for k, v in out.items()})
 
+    if power <= GROUPS_POWER:  # a group is a segment
+        messages = sent.select("grp", F.col("block").alias("slot"), F.col("grp").alias("segment"), "grams", "counts")
+        both = written(messages.groupBy("segment").applyInPandas(add_up, SUMMED))
+        return both.where("grp IS NULL"), both.where("grp IS NOT NULL").select(F.col("slot").alias("block"), "grp", "levels")
+
+    slots = max(1, math.ceil(blocks.count() / BATCH_BLOCKS))
+    batches = written(batched(sent, power, slots))
     messages = batches.where("segment IS NOT NULL").select("grp", "slot", "segment", "grams", "counts")
     both = written(messages.groupBy("segment").applyInPandas(add_up, SUMMED))
 
@@ -401,9 +405,9 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     schema = StructType.fromDDL("row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_heavy bigint, logs double, score double, rare array<struct<h:bigint,tf:bigint>>")
     target = arrow_schema(schema)
 
-    def scores_of(part, memo, logs_of):
+    def scores_of(part, counted_tokens, logs_of):
         heavy_h, heavy_c = heavy.value
-        tokens, n = tokens_of(part.column(3).to_pylist(), memo)
+        tokens, n = counted_tokens
         firsts = np.cumsum(n) - n
         logs = logs_of(part, tokens, n)
         if len(heavy_h):
@@ -426,7 +430,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             memo = Tokens()
             for batch in batches:
                 for start in range(0, batch.num_rows, BATCH_ROWS):
-                    yield scores_of(batch.slice(start, BATCH_ROWS), memo, logs_of)
+                    part = batch.slice(start, BATCH_ROWS)
+                    yield scores_of(part, tokens_of(part.column(3).to_pylist(), memo), logs_of)
 
         return source.mapInArrow(run, schema)
 
@@ -434,13 +439,12 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
         def of_block(block: pa.Table, replied: pa.Table) -> pa.Table:
             np.seterr(over="ignore")
-            memo, grams, parts = Tokens(), [], [p for rows in block.column("rows") for p in rows_of(rows.as_py())]
-            for part in parts:
-                tokens, n = tokens_of(part.column(3).to_pylist(), memo)
-                grams.append(np.union1d(tokens, pairs_of(tokens, n)[1]))
+            memo, parts = Tokens(), [p for rows in block.column("rows") for p in rows_of(rows.as_py())]
+            read = [tokens_of(p.column(3).to_pylist(), memo) for p in parts]
+            grams = np.unique(np.concatenate([x for tokens, n in read for x in (tokens, pairs_of(tokens, n)[1])]))
             replied = replied.sort_by("grp")
-            model = Table(np.unique(np.concatenate(grams)), np.frombuffer(b"".join(replied.column("levels").to_pylist()), np.uint8).astype(np.int64))
-            return pa.Table.from_batches([scores_of(p, memo, lambda _, tokens, n: log_probabilities(tokens, n, model, total, distinct)) for p in parts], target)
+            model = Table(grams, np.frombuffer(b"".join(replied.column("levels").to_pylist()), np.uint8).astype(np.int64))
+            return pa.Table.from_batches([scores_of(p, c, lambda _, tokens, n: log_probabilities(tokens, n, model, total, distinct)) for p, c in zip(parts, read)], target)
 
         scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(of_block, schema)
     else:
