@@ -75,11 +75,21 @@ def test_walk_that_touches_a_word():
     assert S.guess_cost("passwordfghjkl") < 4.5 and S.guess_cost("passwordddddd") < 4
 
 
+def cpu_seconds(call):
+    """The least of two runs, in the CPU time of this process: other programs do not count."""
+    best = float("inf")
+    for _ in range(2):
+        began = time.process_time()
+        call()
+        best = min(best, time.process_time() - began)
+    return best
+
+
 @pytest.mark.parametrize("text", ["token=" * 20_000, "pin:" * 20_000, "pin: " * 20_000, "pin:a" * 20_000, "pin:" + "a" * 50_000, "pin:" + "pin:aaaaaaa" * 20_000, "auth=" + "as" * 25_000, "token " + "=" * 50_000, "secret:" * 9 + "0" * 50_000])
 def test_linear_on_hostile_texts(text):
-    began = time.perf_counter()
-    S.scan(text)
-    assert time.perf_counter() - began < 2
+    """Four times the text takes about four times as long; quadratic work would take sixteen times."""
+    short, long = (cpu_seconds(lambda: S.scan(text[:n])) for n in (len(text) // 4, len(text)))
+    assert long < 10 * short + 0.1
 
 
 def test_words_of_the_documents_are_no_secrets(spark):
