@@ -4,14 +4,16 @@ A set's elements are in one global order, and a set of n needs to share at least
 partner. Then two partners have an element in common among their first n - c + 1 elements, and a pair of elements among
 their first n - c + 2. Small sets (up to a boundary) enumerate all subsets of two of these and meet where a subset is the
 same. Larger sets are posted in inverted lists of single elements, and so are the sets just below the boundary that can
-be partners of a larger one. The boundary is the one of the least estimated cost: rows of enumerated subsets against
-rows and pairs of scanned lists, on a bounded sample of texts.
+be partners of a larger one. The boundary is the one of the least cost: rows of enumerated subsets against rows and pairs
+of scanned lists, counted over all documents.
 
 Frequent elements. Lists of many sets (a passage that many documents share) would give all pairs of these. Elements
-that lead in many sets, counted over all documents, go last in the order, so that they leave most sets' first elements;
-so do elements that are in several of a bounded sample of documents, as what comes in the place of a passage's first
+that are in many sets' first elements, counted over all documents, go last in the order, so that they leave most sets'
+first elements. Counted are twice as many first elements as lead, as what comes in the place of a passage's first
 elements is mostly the rest of it. The order is global, so no link is lost whatever is in it; it decides costs alone.
 Only the frequent elements' hashes are broadcast: at most `MOST_FREQUENT`, the threshold rising until that holds.
+Tasks count what they hold and deal it out by hash, so a group has a bounded share of the elements and no element has
+more than a row for each million that a task counted.
 
 Links within a list. Equal sets are one class. In each list and size band, all classes are compared with one pivot; the
 links found give components. The pivot is the member that shares most lists with others: an original rather than an
@@ -47,12 +49,15 @@ from .common import BATCH_ROWS, arrow_schema, discard, table, written
 
 #: Sets in a list from which on its element counts as frequent; most frequent elements that are broadcast.
 FREQUENT, MOST_FREQUENT = 32, 500_000
-#: Texts, about, of which all elements are counted besides; and texts of which one has an element at least.
-COUNTED_TEXTS, COUNTED_LEAST = 12_000, 3
+#: Bytes of text, about, whose elements one group counts; elements that a task counts before it deals them out.
+GROUP_BYTES, COUNTED_AT_ONCE = 1 << 25, 1 << 20
 #: Tasks over which a frequent element's list is spread.
 SALTS = 64
-#: Texts, and characters of each, on which the boundary's costs are estimated; the largest boundary that is tried.
-SAMPLE_TEXTS, SAMPLE_CHARS, MOST_SMALL = 2000, 50_000, 64
+#: The largest boundary that is tried.
+MOST_SMALL = 64
+#: Kinds of counted elements: leading ones by the size of their set (the last is for all larger ones), those that follow
+#: them, and leading pairs by the size of their set.
+LARGE, NEXT, PAIRS = MOST_SMALL + 1, MOST_SMALL + 2, 128
 #: Slots of the filter that spares texts without candidates a second look; fixed, 8 MB.
 SLOTS = 1 << 26
 #: Tokens whose hashes a worker remembers.
@@ -115,14 +120,18 @@ def leading(ordered: np.ndarray, percent: int, subset: int) -> np.ndarray:
     return ordered[: len(ordered) - needed(len(ordered), percent) + subset]
 
 
+def leading_pairs(ordered: np.ndarray, percent: int) -> np.ndarray:
+    lead = leading(ordered, percent, 2)
+    i, j = np.triu_indices(len(lead), 1)
+    return mixed(lead[i] * _MUL + mixed(lead[j] ^ _PAIR_SPACE))
+
+
 def signatures(ordered: np.ndarray, percent: int, small: int) -> np.ndarray:
     """Lists in which a set is posted: its leading elements, or hashes of its leading pairs, or both near the boundary."""
     n = len(ordered)
     out = []
     if n > 1 and n <= small:
-        lead = leading(ordered, percent, 2)
-        i, j = np.triu_indices(len(lead), 1)
-        out.append(mixed(lead[i] * _MUL + mixed(lead[j] ^ _PAIR_SPACE)))
+        out.append(leading_pairs(ordered, percent))
     if n > (percent > 50) and 100 * n > percent * small:  # above 50, a set of one has no partner but its equals
         out.append(leading(ordered, percent, 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -157,8 +166,15 @@ def most_common(a: int, b: int, x: list[int], y: list[int]) -> int:
     return min(a - int(np.bitwise_count(p & ~q).sum()), b - int(np.bitwise_count(q & ~p).sum()))
 
 
+def least_cost(paired: np.ndarray, listed: np.ndarray, percent: int) -> int:
+    """The boundary of the least cost, from the costs of sets of each size as pairs and in lists."""
+    total = lambda x: paired[: x + 1].sum() + listed[percent * x // 100 + 1 :].sum()
+    return min(range(MOST_SMALL + 1), key=lambda x: (total(x), x))
+
+
 def boundary(texts: list[str], rows: int, size: int, percent: int) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists, on a sample of `rows` texts."""
+    """The size up to which enumerating subsets costs less than scanning lists, for texts in memory that stand for `rows`
+    of them; a plain version of what Linker counts over a table."""
     tokens = Tokens()
     sets = [s for s in {x.tobytes(): x for x in shingle_sets(texts, size, tokens)}.values() if len(s) > 1]
     if not sets or percent <= 50:  # below that, partners may share less than a pair
@@ -173,8 +189,7 @@ def boundary(texts: list[str], rows: int, size: int, percent: int) -> int:
         n = min(len(s), MOST_SMALL + 1)
         listed[n] += len(x) + scale * x.sum()
         paired[n] += math.comb(len(x) + 1, 2)
-    total = lambda x: paired[: x + 1].sum() + listed[percent * x // 100 + 1 :].sum()
-    return min(range(MOST_SMALL + 1), key=lambda x: (total(x), x))
+    return least_cost(paired, listed, percent)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -202,6 +217,81 @@ def map_sets(docs: DataFrame, each, schema: str, size: int, percent: int, wanted
     return docs.mapInArrow(run, struct)
 
 
+def counted(s: np.ndarray, percent: int):
+    """(kind, elements) of a set that are counted for the order and the boundary."""
+    n = len(s)
+    if n > (percent > 50):
+        lead = len(leading(s, percent, 1))
+        yield min(n, LARGE), s[:lead]
+        yield NEXT, s[lead : 2 * lead]
+        if 1 < n <= MOST_SMALL and percent > 50:
+            yield PAIRS + n, leading_pairs(s, percent)
+
+
+def dealt(held: list[tuple[int, np.ndarray]], groups: int) -> pa.RecordBatch:
+    """Counts of (element, kind), packed by the group that an element is in."""
+    sigs = np.concatenate([x for _, x in held])
+    sigs = (sigs << np.uint64(32)) | (sigs >> np.uint64(32))  # leading elements are the low ones
+    kinds = np.repeat(np.array([k for k, _ in held], np.uint8), [len(x) for _, x in held])
+    order = np.lexsort((kinds, sigs))
+    sigs, kinds = sigs[order], kinds[order]
+    at = np.flatnonzero(np.r_[True, (sigs[1:] != sigs[:-1]) | (kinds[1:] != kinds[:-1])])
+    counts = np.diff(np.r_[at, len(sigs)]).astype(np.uint32)
+    sigs, kinds = sigs[at], kinds[at]
+    group = ((sigs >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    cuts = np.searchsorted(group, np.arange(groups + 1).astype(np.uint64))
+    some = [(g, i, j) for g, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+    packed = [pa.array([x[i:j].tobytes() for _, i, j in some], pa.binary()) for x in (sigs, kinds, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in some], pa.int32()), *packed], names=["part", "sigs", "kinds", "counts"])
+
+
+def tallies(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Over all (text): (sig, c) of elements and pairs that are in FREQUENT sets' counted ones at least, c times; and rows
+    without sig for each set size n up to MOST_SMALL, of what such sets cost in lists and as pairs. Sets are counted once a task."""
+    groups = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES
+    frequent, at_once = FREQUENT, COUNTED_AT_ONCE
+    schema = StructType.fromDDL("sig bigint, c bigint, n int, listed double, paired double")
+    target = arrow_schema(schema)
+
+    def deal(batches):
+        np.seterr(over="ignore")
+        tokens, seen, held, amount = Tokens(), set(), [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                for s in shingle_sets(batch.column(0).slice(start, BATCH_ROWS).to_pylist(), size, tokens):
+                    if (mark := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                        continue
+                    seen.add(mark)
+                    for kind, x in counted(s, percent):
+                        held.append((kind, x.copy()))
+                        amount += len(x)
+                    if amount >= at_once:
+                        yield dealt(held, groups)
+                        held, amount = [], 0
+        if amount:
+            yield dealt(held, groups)
+
+    def add(group: pa.Table) -> pa.Table:
+        sigs, kinds, counts = (np.frombuffer(b"".join(group.column(name).to_pylist()), kind) for name, kind in (("sigs", np.uint64), ("kinds", np.uint8), ("counts", np.uint32)))
+        order = np.argsort(sigs, kind="stable")
+        sigs, kinds, counts = sigs[order], kinds[order], counts[order].astype(np.int64)
+        at = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+        lead = np.where(kinds <= LARGE, counts, 0)
+        others = np.repeat(np.minimum(np.add.reduceat(lead, at) - 1, frequent), np.diff(np.r_[at, len(sigs)]))
+        small, pair = kinds <= MOST_SMALL, kinds >= PAIRS
+        listed = np.bincount(kinds[small], (lead * (1 + others))[small], MOST_SMALL + 1)
+        paired = np.bincount(kinds[pair] - PAIRS, counts[pair], MOST_SMALL + 1)
+        c = np.add.reduceat(counts, at)
+        hot = np.flatnonzero(c >= frequent)
+        back = (sigs[at[hot]] << np.uint64(32)) | (sigs[at[hot]] >> np.uint64(32))
+        none = [None] * len(hot)
+        columns = [[*signed(back).tolist(), *[None] * len(listed)], [*c[hot].tolist(), *[None] * len(listed)], [*none, *range(len(listed))], [*none, *listed.tolist()], [*none, *paired.tolist()]]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, target)], schema=target)
+
+    packed = docs.select("text").mapInArrow(deal, "part int, sigs binary, kinds binary, counts binary")
+    return packed.groupBy("part").applyInArrow(add, schema)
+
+
 def repeated(posted: DataFrame) -> DataFrame:
     """Of (sig, key, n), the rows of lists of two classes or more; n is negative in lists of frequent elements.
 
@@ -272,39 +362,22 @@ class Linker:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         text = F.col(text_col)
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-        some = self.docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_TEXTS)
-        self.n_docs = self.docs.count()
-        self.small = boundary([r[0] for r in some], self.n_docs, size, percent) if some else 0
+        self.tallies = written(tallies(self.docs, size, percent))
+        costs = self.tallies.where("n IS NOT NULL").groupBy("n").agg(F.sum("paired").alias("paired"), F.sum("listed").alias("listed")).collect()
+        paired, listed = np.zeros(MOST_SMALL + 1), np.zeros(MOST_SMALL + 1)
+        for r in costs:
+            paired[r["n"]], listed[r["n"]] = r["paired"], r["listed"]
+        self.small = least_cost(paired, listed, percent) if percent > 50 else 0  # below that, partners may share less than a pair
 
     def frequent(self) -> np.ndarray:
         """Hashes of frequent elements (and leading pairs), sorted; at most MOST_FREQUENT."""
-        percent, small = self.percent, self.small
-
-        def leads(cols, sets, seen):
-            for s in sets:
-                if (mark := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
-                    seen.add(mark)
-                    yield (signed(signatures(s, percent, small)),)
-
-        def whole(cols, sets, seen):
-            for s in sets:
-                if (mark := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
-                    seen.add(mark)
-                    yield (signed(s),)
-
-        some = self.docs.where(F.pmod("text_key", F.lit(max(1, self.n_docs // COUNTED_TEXTS))) == 0)
-        counted = [(self.docs, leads, FREQUENT), (some, whole, COUNTED_LEAST)]
-        hot = np.zeros(0, np.uint64)
-        for docs, each, least in counted:
-            sigs = map_sets(docs.select("text"), each, "sigs array<bigint>", self.size, percent).select(F.explode("sigs").alias("sig"))
-            counts = written(sigs.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= least))
-            steps = {r["power"]: r["count"] for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().collect()}
-            while sum(n for power, n in steps.items() if 2 ** (power + 1) > least) > MOST_FREQUENT - len(hot):
-                least *= 2
-            more = [r[0] for r in counts.where(F.col("c") >= least).select("sig").toLocalIterator()]
-            discard(counts)
-            hot = np.union1d(hot, np.array(more, np.int64).view(np.uint64))
-        return hot
+        least, counts = FREQUENT, self.tallies.where("sig IS NOT NULL")
+        steps = {r["power"]: r["count"] for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().collect()}
+        while sum(n for power, n in steps.items() if 2 ** (power + 1) > least) > MOST_FREQUENT:
+            least *= 2
+        hot = [r[0] for r in counts.where(F.col("c") >= least).select("sig").toLocalIterator()]
+        discard(self.tallies)
+        return np.sort(np.array(hot, np.int64).view(np.uint64))
 
     def rows(self) -> DataFrame:
         """doc_id, text_key, key (64 bits of the set), set_key (128 bits), n, and once for each class and task its
@@ -455,8 +528,8 @@ class Linker:
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that is reachable by links."""
-    linker = Linker(docs, size, percent, id_col, text_col)
     with small_batches(docs.sparkSession):
+        linker = Linker(docs, size, percent, id_col, text_col)
         wide = written(linker.rows())
         lists, bits = written(linker.lists(wide)), written(wide.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"]))
         rows = written(wide.select("doc_id", "text_key", "key", "set_key", "n"))

@@ -160,3 +160,25 @@ def test_one_of_each_when_partitions_change(spark, tmp_path, monkeypatch):
 def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 77, 5), (2, "a b c d e f", 78, 6)], "doc_id bigint, text string, _strandloom_row bigint, row bigint")
     assert [tuple(r) for r in J.one_of_each(df).collect()] == [(1, "a b c d e f", 77, 5)]
+
+
+def all_texts(seed):
+    """Long texts first, then short ones that are alike, more than any sample of the first rows has."""
+    rnd = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    long = [" ".join(rnd.choice(words) for _ in range(80)) for _ in range(2100)]
+    return long + [" ".join(["a b c d e f g h i j k l m n"] + [rnd.choice(words) for _ in range(2)]) for _ in range(900)]
+
+
+def test_boundary_and_frequent_elements_follow_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "COUNTED_AT_ONCE", 5000)
+    monkeypatch.setattr(J, "GROUP_BYTES", 200_000)
+    texts = all_texts(2)
+    linker = J.Linker(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), 5, 80, "doc_id", "text")
+    assert linker.small == J.boundary(texts, 0, 5, 80) > 0 == J.boundary(texts[:2000], 0, 5, 80)
+    counts = {}
+    for s in {x.tobytes(): x for x in J.shingle_sets(texts, 5, J.Tokens())}.values():
+        first = s[: 2 * len(J.leading(s, 80, 1))]
+        for x in np.concatenate([first, J.leading_pairs(s, 80)] if len(s) <= J.MOST_SMALL else [first]).tolist():
+            counts[x] = counts.get(x, 0) + 1
+    assert linker.frequent().tolist() == sorted(x for x, c in counts.items() if c >= J.FREQUENT) != []
