@@ -19,8 +19,9 @@ Links within a list. Equal sets are one class. In each list and size band, all c
 links found give components. The pivot is the member that shares most lists with others: an original rather than an
 edited copy. Then, in lists that still span components, the members outside of the list's main component are compared
 with those of other components. Pairs in one component need no comparison, so a group of m near copies
-costs about m comparisons, and no link between different components is missed. A pair is first bounded by bitmaps of both
-sets (an element of one whose bit the other lacks can't be common), then compared exactly on the sets.
+costs about m comparisons, and no link between different components is missed. A pair is first bounded by parities of both
+sets (a bit or two for each element, flipped by each element there is; bits that differ stand for as many elements that
+are not common at least), then compared exactly on the sets.
 
 Hot keys. A list, a pivot, a class of copies or a component may be very large. What is counted for each of these is
 combined before it is shuffled and written as a table, so that every join on such a key is one of two plain tables, whose
@@ -150,20 +151,19 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]]) if last.any() else s
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of a set's elements, about four for each, 64 to 8192."""
-    size = 1 << min(13, max(6, (4 * len(s) - 1).bit_length()))
-    bits = np.zeros(size, bool)
-    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bits, 256 to 8192, one or two for each element of a set if these are enough; each element flips one."""
+    size = 1 << min(13, max(8, (len(s) - 1).bit_length()))
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
 def most_common(a: int, b: int, x: list[int], y: list[int]) -> int:
-    """The most elements that sets of sizes a and b with bitmaps x and y can share."""
+    """The most elements that sets of sizes a and b with parities x and y can share."""
     p, q = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
     size = min(len(p), len(q))
-    p, q = (np.bitwise_or.reduce(v.reshape(-1, size), 0) for v in (p, q))
-    return min(a - int(np.bitwise_count(p & ~q).sum()), b - int(np.bitwise_count(q & ~p).sum()))
+    p, q = (np.bitwise_xor.reduce(v.reshape(-1, size), 0) for v in (p, q))
+    return min(a, b, (a + b - int(np.bitwise_count(p ^ q).sum())) // 2)
 
 
 def least_cost(paired: np.ndarray, listed: np.ndarray, percent: int) -> int:
@@ -344,15 +344,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of few rows for what is run within, as a row may hold a long text or two sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
+def step_settings(spark: SparkSession):
+    """Settings for what is run within: Arrow batches of few rows, as a row may hold a long text or two sets; a query's shuffle
+    files go once it has ended, as each step is a table by then."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name) for name in now}
+    for name, value in now.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Linker:
@@ -381,7 +384,7 @@ class Linker:
 
     def rows(self) -> DataFrame:
         """doc_id, text_key, key (64 bits of the set), set_key (128 bits), n, and once for each class and task its
-        bitmap and signatures, negative n marking those of frequent elements."""
+        parities and signatures, negative n marking those of frequent elements."""
         percent, small = self.percent, self.small
         shared = self.spark.sparkContext.broadcast(self.frequent())
 
@@ -392,7 +395,7 @@ class Linker:
                 fresh = set_key not in seen
                 seen.add(set_key)
                 sigs = signatures(ordered(s, shared.value), percent, small) if fresh else None
-                yield doc_id, text_key, key, set_key, len(s), bitmap(s) if fresh else None, signed(sigs) if fresh else None, member(shared.value, sigs) if fresh else None
+                yield doc_id, text_key, key, set_key, len(s), parities(s) if fresh else None, signed(sigs) if fresh else None, member(shared.value, sigs) if fresh else None
 
         return map_sets(self.docs, each, "doc_id bigint, text_key bigint, key bigint, set_key binary, n int, bits array<bigint>, sigs array<bigint>, hot array<boolean>", self.size, percent)
 
@@ -430,7 +433,7 @@ class Linker:
         return out
 
     def linked(self, pairs: DataFrame, rows: DataFrame, bits: DataFrame) -> DataFrame:
-        """Of pairs of keys (x, y), the linked pairs of sets (a, b): bounded by bitmaps, then compared exactly."""
+        """Of pairs of keys (x, y), the linked pairs of sets (a, b): bounded by parities, then compared exactly."""
         percent = self.percent
         both = pairs.join(bits.toDF("x", "n", "p"), "x").join(bits.toDF("y", "m", "q"), "y").select("x", "y", "n", "m", "p", "q")
 
@@ -493,13 +496,14 @@ class Linker:
         return out
 
     def possible(self) -> Column:
-        """Whether bitmaps p and q of sizes m and n leave a link possible; those of different length are left for later."""
-        missing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
-        common = F.least(F.col("m") - missing("p", "q"), F.col("n") - missing("q", "p"))
-        return F.when(F.size("p") == F.size("q"), common * 100 >= (F.col("m") + F.col("n") - common) * self.percent).otherwise(True)
+        """Whether parities p and q of sets of m and n elements leave a link possible; those of different length are left for
+        later. Where d elements are not common, 100 times the m + n - d of both sets' common ones is `percent` of all m + n + d."""
+        differing = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = (F.col("m") + F.col("n")).cast("bigint")
+        return F.when(F.size("p") == F.size("q"), (both - differing) * 100 >= (both + differing) * self.percent).otherwise(True)
 
     def rest_pairs(self, spanning: DataFrame, bits: DataFrame) -> DataFrame:
-        """Members outside of a list's main component with members of other components, as far as bitmaps allow it."""
+        """Members outside of a list's main component with members of other components, as far as parities allow it."""
         spanning = spanning.join(bits.select("key", "bits"), "key")
         rest = spanning.where("label <> main").select(F.col("sig").alias("list"), F.col("key").alias("x"), F.col("n").alias("m"), F.col("label").alias("lx"), F.col("bits").alias("p"))
         every = spanning.select("sig", F.col("key").alias("y"), "n", F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), F.col("bits").alias("q"))
@@ -528,7 +532,7 @@ class Linker:
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that is reachable by links."""
-    with small_batches(docs.sparkSession):
+    with step_settings(docs.sparkSession):
         linker = Linker(docs, size, percent, id_col, text_col)
         wide = written(linker.rows())
         lists, bits = written(linker.lists(wide)), written(wide.where("bits IS NOT NULL").select("key", "n", "bits").dropDuplicates(["key"]))

@@ -182,3 +182,31 @@ def test_boundary_and_frequent_elements_follow_all_rows(spark, monkeypatch):
         for x in np.concatenate([first, J.leading_pairs(s, 80)] if len(s) <= J.MOST_SMALL else [first]).tolist():
             counts[x] = counts.get(x, 0) + 1
     assert linker.frequent().tolist() == sorted(x for x, c in counts.items() if c >= J.FREQUENT) != []
+
+
+def test_parities_bound_what_is_common():
+    """Never below what sets share; below 80 per cent for unlike sets, also for sets just below a size; two bits for an element at most from 128 on."""
+    rng = np.random.default_rng(4)
+    for n in [*range(40), 63, 64, 100, 127, 128, 255, 256, 500, 511, 512, 3000, 9000]:
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        part = np.unique(np.r_[s[rng.random(n) > 0.1], rng.integers(0, 2**63, n // 20).astype(np.uint64)])
+        other = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        bits = J.parities(s)
+        assert J.most_common(len(s), len(part), bits.tolist(), J.parities(part).tolist()) >= len(np.intersect1d(s, part))
+        assert 64 * len(bits) <= max(256, 2 * n)
+        if n >= 100:
+            assert J.most_common(n, n, bits.tolist(), J.parities(other).tolist()) < J.needed(2 * n, 80) / 1.8
+
+
+def test_steps_remove_their_shuffle_files(spark, monkeypatch):
+    """Every step is written while Spark removes the shuffle files of ended queries; the session keeps its own setting."""
+    name, at, real = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], J.written
+    before = spark.conf.get(name)
+
+    def watched(df):
+        at.append(spark.conf.get(name))
+        return real(df)
+
+    monkeypatch.setattr(J, "written", watched)
+    J.similar_documents(spark.createDataFrame(corpus(1, 30), "doc_id bigint, text string")).count()
+    assert set(at) == {"true"} and spark.conf.get(name) == before
