@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators import retrieval
 from strandloom.operators.filters import DATE_KEYS, OPERATORS
-from strandloom.sources.store import new_folder, plain_unions
+from strandloom.sources.store import plain_unions, written
 
 #: Keys whose arrays are compared with a choice even after a rank cut (tenants).
 TENANTS = ("project_ids",)
@@ -109,12 +109,6 @@ def met_filters(points: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_list("filter_id").alias("filter_ids"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = new_folder(df.sparkSession, "requests")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search(index: retrieval.SearchIndex, points: DataFrame, vectors: DataFrame, requests: DataFrame, asked: DataFrame, score: Column, text: str = "text") -> DataFrame:
     """(query_id, mode, rank, doc_id, score) of all requests.
 
@@ -136,9 +130,12 @@ def search(index: retrieval.SearchIndex, points: DataFrame, vectors: DataFrame,
     held = vectors.join(points.select("doc_id"), "doc_id", "left_semi").join(met_filters(facts, filters), "doc_id", "left")
     near = retrieval.vector_search(held, by_vector.drop("leg"), widest).join(known.select("query_id", "leg", "mode", "rerank"), "query_id").where("rank <= leg")
 
+    # Equal questions of several requests, as on the levels of a ladder, are searched for once.
     by_words = known.where("mode IN ('keyword', 'hybrid') AND k > 0")
-    hits = retrieval.bm25_search(index, by_words.select("query_id", F.col("question").alias("text")), widest, "query_id")
-    hits = hits.join(by_words.select("query_id", "found", "leg", "mode", "rerank"), "query_id").where("rank <= leg").join(facts, "doc_id").where(meets(F.col("payload"), F.col("found"), strict=True))
+    texts = by_words.groupBy(F.coalesce("question", F.lit("")).alias("text")).agg(F.min("query_id").alias("text_id"))
+    by_words = by_words.join(texts, F.coalesce("question", F.lit("")) == F.col("text")).drop("text")
+    hits = retrieval.bm25_search(index, texts, widest, "text_id").withColumnRenamed("query_id", "text_id")
+    hits = retrieval.few(hits.join(by_words.select("query_id", "text_id", "found", "leg", "mode", "rerank"), "text_id").where("rank <= leg").drop("text_id")).join(facts, "doc_id").where(meets(F.col("payload"), F.col("found"), strict=True))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
     of = lambda df, mode: df.where(F.col("mode") == mode).select("query_id", "doc_id", "rank", "score")

@@ -94,7 +94,7 @@ def decomposed(index: retrieval.SearchIndex, points: DataFrame, vectors: DataFra
     first = each.groupBy("query_id", "ord").agg(F.min("request").alias("sub_id"))
     rows = hits.join(first, ["query_id", "ord"]).select(F.col("sub_id").alias("query_id"), "level", "rank", "doc_id", "score")
     ended = retrieval.relaxed([rows.where(F.col("level") == k).drop("level") for k in (0, 1, 2)], 2, least_score, hard)
-    found = ended.withColumnRenamed("query_id", "sub_id").join(first, "sub_id").join(points.select("doc_id", "source", "text"), "doc_id")
+    found = retrieval.few(ended.withColumnRenamed("query_id", "sub_id").join(first, "sub_id")).join(points.select("doc_id", "source", "text"), "doc_id")
     order = [F.col("ord"), F.col("rank")]
     once = retrieval.first_of(found, [F.col("query_id"), F.col("source"), F.substring("text", 1, 100)], order)
     cut = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)

@@ -110,7 +110,7 @@ top2 AS (SELECT * FROM by_len WHERE rank <= 10)
 def by_length(spark, sf) -> DataFrame:
     """A second ranking: shares of a document's words that a query has."""
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(search_tokens(F.col("text"))).alias("term")).distinct()
-    return retrieval.ranked(index(spark, sf).meet(terms).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") / F.col("dl")), 6).alias("score")), 10)
+    return index(spark, sf).best(terms.withColumn("weight", F.lit(1.0)), 10, lambda tf, dl: tf / dl)
 
 
 FUSED = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -20,6 +20,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, kind: str = "rows") -> DataFrame:
+    """Rows in a new folder, read from there."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plain_unions(spark: SparkSession) -> None:
     """Let a union count as partitioned in no way. Spark 4.1 takes a union of inputs with one partitioning as so partitioned
     even where adaptive execution has put their partitions together differently, and then groups rows of one key apart."""
