@@ -39,7 +39,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN doc_id % 2 =
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l, rank) AS INTEGER) AS rank, doc_id FROM k WHERE n = 1""")
 def evaluation_dedup(spark, sf):
     """Results of two lists, one for each id, or beginning of the text where there is no id (here: odd ones)."""
-    rows = bm25(spark, sf).withColumn("l", F.lit(0)).unionByName(by_length(spark, sf).withColumn("l", F.lit(1)))
+    rows = retrieval.few(bm25(spark, sf).withColumn("l", F.lit(0)).unionByName(by_length(spark, sf).withColumn("l", F.lit(1))))
     rows = rows.join(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 100).alias("beginning")), "doc_id")
     key = F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")), F.col("beginning"))
     once = retrieval.first_of(rows, [F.col("query_id"), key], [F.col("l"), F.col("rank")])
@@ -92,7 +92,7 @@ def compared(spark, sf) -> DataFrame:
         part = one.select(F.lit(name).alias("config"), "query_id", "doc_id", "rank")
         rows = part if rows is None else rows.unionByName(part)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expected"))
-    rows = rows.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("found")), "doc_id").join(items, "query_id")
+    rows = retrieval.few(rows).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("found")), "doc_id").join(items, "query_id")
     rows = rows.select("config", "query_id", "rank", F.contains("found", "expected").alias("relevant"), F.round(keyword_overlap(F.col("expected"), F.col("found")), 6).alias("overlap"))
     return evaluation.metrics_by_config(rows, items)
 
